@@ -178,7 +178,7 @@ def hidden_info_residual(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     Two context policies are compared on the same rows, without and with the
     strength difference; the gain is centred over the opponents live at the action.
     """
-    x = x.withColumns({
+    x = x.drop(*[f"p{k}" for k in range(5)]).withColumns({
         "c_street": F.col("street"),
         "c_own": F.when(F.col("strength") < 34, 0).when(F.col("strength") < 67, 1).otherwise(2),
         "c_agg": as_int(F.col("last_agg").isNotNull()), "c_facing": as_int(F.col("facing")),

@@ -10,6 +10,7 @@ from dyad.functions.ordered import (median_positions, medians, melt, minus_own,
                                     top_rows, value_ranks)
 from dyad.functions.tails import neg_log10_binom_sf, neg_log10_chi2_sf
 from dyad.operators.pairs import PAIR, both_directions, fold_directions
+from dyad.session import settle
 
 TABLE = ["phase", "table_id"]
 SMOOTH = 0.5
@@ -332,7 +333,7 @@ def dyadic_residual(pairs: DataFrame, columns: list[str]) -> DataFrame:
     for p in ("p1", "p2"):
         side = of_member.withColumnsRenamed({"member": p, "med": f"med_{p}"})
         d = d.join(side, [*TABLE, p, "signal"])
-    d = d.withColumn("r", F.col("x") - F.col("med_p1") - F.col("med_p2") + F.col("med_t"))
+    d = settle(d.withColumn("r", F.col("x") - F.col("med_p1") - F.col("med_p2") + F.col("med_t")))
     centre = medians(d, [*TABLE, "signal"], "r", "med_r")
     d = d.join(centre, [*TABLE, "signal"]).withColumn("dev", F.abs(F.col("r") - F.col("med_r")))
     mad = medians(d, [*TABLE, "signal"], "dev", "mad")

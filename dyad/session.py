@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,11 @@ def staged(spark: SparkSession, source: str, name: str, build: Callable[[], Data
         build().write.mode("overwrite").option("compression", "zstd").parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes an intermediate once and reads it back, for a table several branches would recompute."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/dyad/{spark.sparkContext.applicationId}/tmp/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
