@@ -19,7 +19,7 @@ def pair_profile(ph: DataFrame, concessions: DataFrame, co_aggression: str = "fi
     One row per ordered (player, partner). Every count toward the field is the
     player's total over all partners minus the partner's own.
     """
-    given = concessions.groupBy(*TABLE, "hand_id", F.col("folder").alias("player"), F.col("to").alias("other")).agg(
+    given = concessions.groupBy(*TABLE, "hand_id", F.col("folder").alias("player"), F.col("target").alias("other")).agg(
         F.count("*").alias("folds"), F.sum("better").alias("conceded"))
     a, b = F.least("player", "other").alias("p1"), F.greatest("player", "other").alias("p2")
     forward = F.col("player") < F.col("other")

@@ -188,7 +188,7 @@ def concessions(context: DataFrame, seats: DataFrame) -> DataFrame:
     a, b = s(F.col("street"), "m"), s(F.col("street"), "t")
     comparable = (F.col("street") > 0) & a.isNotNull() & b.isNotNull()
     return x.select(
-        "hand_id", "table_id", "phase", "street", F.col("player_id").alias("folder"), F.col("last_agg").alias("to"),
+        "hand_id", "table_id", "phase", "street", F.col("player_id").alias("folder"), F.col("last_agg").alias("target"),
         (F.col("last_agg_amount") / F.col("big_blind")).alias("to_bet_bb"),
         F.col("last_agg_street").alias("to_street"), a.alias("folder_strength"), b.alias("aggressor_strength"),
         as_int(comparable).alias("comparable"), as_int(comparable & (a > b)).alias("better"))

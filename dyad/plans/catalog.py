@@ -143,7 +143,7 @@ def consecutive_aggression(spark, sf):
 @query
 def concessions(spark, sf):
     return sq.concessions(b.context(spark, sf), b.seats(spark, sf)).select(
-        "hand_id", "street", "folder", "to", "to_bet_bb", "to_street", "folder_strength", "aggressor_strength",
+        "hand_id", "street", "folder", "target", "to_bet_bb", "to_street", "folder_strength", "aggressor_strength",
         "comparable", "better")
 
 

@@ -17,7 +17,7 @@ HAND_SECONDS = 21_600
 STREET_SECONDS = 5_400
 DEVELOPMENT_DAYS = 18
 BIG_BLIND = 10_000
-STARTING_STACK = 2_000_000
+STARTING_STACK = 1_000_000
 
 # Fixed mapping of event types to action kinds.
 KIND_OF = {"error": "fold", "view": "check", "click": "call", "signup": "bet", "purchase": "raise"}
