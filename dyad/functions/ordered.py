@@ -155,6 +155,27 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .drop("__in", "__off", SEGMENT))
 
 
+def ident_segment(df: DataFrame, ident: str, prefix: int = 6) -> Column:
+    """Order-preserving coarse code of an identifier, by magnitude or by leading characters."""
+    if dict(df.dtypes)[ident] == "string":
+        return F.substring(F.col(ident), 1, prefix)
+    return magnitude_segment(ident)
+
+
+def ordinal_ranks(df: DataFrame, keys: Sequence[str], value: str, ident: str, out: str) -> DataFrame:
+    """1-based rank by (value desc, ident asc), nulls left unranked.
+
+    Smaller values are counted on distinct values, then ties are numbered by
+    ident, so neither many rows nor one very common value meets a single task.
+    """
+    d = df.withColumn("__neg", -F.col(value))
+    below = value_ranks(d, keys, "__neg").select(*keys, "__neg", "below")
+    tied = row_numbers(d.where(F.col("__neg").isNotNull()), [*keys, "__neg"], [F.col(ident)],
+                       ident_segment(d, ident), "__in")
+    return (tied.join(below, [*keys, "__neg"])
+            .withColumn(out, (F.col("below") + F.col("__in")).cast("bigint")).drop("below", "__in", "__neg"))
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], ident: Sequence[str],
                 columns: Sequence[str], prefix: str = "pct_") -> DataFrame:
     """Average rank divided by the row count of the key, for many columns at once.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import FAMILIES, as_int, md5_key
-from dyad.functions.ordered import (magnitude_segment, melt, percentiles, row_numbers, running,
+from dyad.functions.ordered import (ident_segment, magnitude_segment, melt, percentiles, row_numbers, running,
                                     top_rows)
 
 # Fixed weights of the composite score.
@@ -17,16 +17,21 @@ def average_precision(df: DataFrame, score: str, y: str, ident: str, by: list[st
                       weight: str | None = None) -> DataFrame:
     """Mean precision at the positives, ordered by (score desc, id asc); zero without positives.
 
-    The order is cut into score ranges, then id ranges, so one global ranking
-    needs no single-task sort. `weight` repeats a row that many times.
+    Distinct scores are ordered first, then the rows tied at a score by id, so
+    one global ranking needs no single-task sort even when most scores are equal.
+    `weight` repeats a row that many times.
     """
     keys = by or ["__all"]
     d = df if by else df.withColumn("__all", F.lit(1))
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     d = d.withColumns({"__neg": -F.col(score).cast("double"), "__y": as_int(F.col(y) == 1), "__w": w})
-    d = running(d, keys, ["__neg", ident], {
-        "__rows": ("sum", F.col("__w")), "__hits": ("sum", F.col("__w") * F.col("__y"))},
-        segment=F.struct(magnitude_segment("__neg").alias("s"), magnitude_segment(F.col(ident)).alias("i")))
+    by_score = d.groupBy(*keys, "__neg").agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col("__y")).alias("h"))
+    above = running(by_score, keys, ["__neg"], {"__n0": ("sum", F.col("n")), "__h0": ("sum", F.col("h"))},
+                    segment=magnitude_segment("__neg")).select(*keys, "__neg", "__n0", "__h0")
+    d = running(d, [*keys, "__neg"], [ident], {
+        "__n1": ("sum", F.col("__w")), "__h1": ("sum", F.col("__w") * F.col("__y"))},
+        segment=ident_segment(d, ident)).join(above, [*keys, "__neg"])
+    d = d.withColumns({"__rows": F.col("__n0") + F.col("__n1"), "__hits": F.col("__h0") + F.col("__h1")})
     gain = (F.col("__hits") + 1) / (F.col("__rows") + 1)
     if weight:
         gain = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("__w")), F.lit(0.0),

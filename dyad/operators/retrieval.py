@@ -49,7 +49,7 @@ def changed_elsewhere(before: DataFrame, after: DataFrame, columns: list[str]) -
 
 
 def _check(name: str, bad: Column) -> Column:
-    return F.struct(F.lit(name).alias("check"), bad.cast("bigint").alias("n_bad"))
+    return F.struct(F.lit(name).alias("rule"), bad.cast("bigint").alias("n_bad"))
 
 
 def validate(result: DataFrame, template: DataFrame, hands: DataFrame, seats: DataFrame,

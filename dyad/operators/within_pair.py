@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import as_int
-from dyad.functions.ordered import (DAY, magnitude_segment, minus_own, neighbourhood, percentiles, row_numbers,
+from dyad.functions.ordered import (DAY, minus_own, neighbourhood, ordinal_ranks, percentiles, row_numbers,
                                     running, time_segment, top_rows, with_totals)
 from dyad.operators.pairs import PAIR
 
@@ -94,8 +94,7 @@ def rolling_means(ph: DataFrame, column: str, widths: tuple[int, ...]) -> DataFr
 
 def score_ranks(hs: DataFrame, score: str, out: str) -> DataFrame:
     """Ordinal rank inside the pair, best first, ties by hand id."""
-    return row_numbers(hs, PAIR, [F.col(score).desc(), F.col("hand_id")],
-                       magnitude_segment(-F.col(score)), out)
+    return ordinal_ranks(hs, PAIR, score, "hand_id", out)
 
 
 def candidate_features(hs: DataFrame, n: int = 50,

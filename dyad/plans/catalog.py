@@ -42,7 +42,7 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in ("int", "smallint", "tinyint", "boolean"):
             c = c.cast("bigint")
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double") * 1e6, 3)) / 1e6 + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -771,7 +771,7 @@ def seed_bag_placebo(spark, sf):
     two = s.select(*HAND_KEY, F.col("score2").alias("v"))
     bag = bg.seed_bag([one, two], HAND_KEY, ["v"])
     lent = bg.placebo(s, ["score"], "placebo").withColumnRenamed("score", "placebo_score")
-    bag = bag.withColumn("v", F.round("v", 6))
+    bag = bag.withColumn("v", F.round("v", 9))
     pct = percentiles(bag, PAIR, HAND_KEY, ["v"])
     return bag.join(pct, HAND_KEY).join(lent, HAND_KEY)
 

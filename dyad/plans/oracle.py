@@ -18,7 +18,7 @@ def _needed(text: str) -> list[str]:
 
     def visit(t: str) -> None:
         for name in CTES:
-            if name not in found and re.search(rf"(?:FROM|JOIN|,)\s+{name}\b", t):
+            if name not in found and re.search(rf"(?:FROM|JOIN)\s+{name}\b", t):
                 visit(CTES[name])
                 if name not in found:
                     found.append(name)
@@ -31,7 +31,7 @@ def oracle(name: str, columns: str, body: str) -> None:
     out = []
     for c in columns.split():
         if c[0] == "~":
-            out.append(f"ROUND(CAST({c[1:]} AS DOUBLE), 6) + 0.0 AS {c[1:]}")
+            out.append(f"ROUND(ROUND(CAST({c[1:]} AS DOUBLE) * 1e6, 3)) / 1e6 + 0.0 AS {c[1:]}")
         elif c[0] == "$":
             out.append(f"CAST({c[1:]} AS VARCHAR) AS {c[1:]}")
         else:
@@ -499,3 +499,1016 @@ SELECT *, hi_rate - field AS hi_delta, (hi_rate - field) * sqrt(least(n, 400)) A
   SELECT *, s / n AS hi_rate, (sum(s) OVER a - s) / greatest(sum(n) OVER a - n, 1) AS field FROM (
     SELECT phase, table_id, player_id AS actor, opp AS partner, sum(hi) AS s, max(hi) AS hi_max, count(*) AS n
     FROM hidden_gain GROUP BY 1, 2, 3, 4) AS x WINDOW a AS (PARTITION BY phase, table_id, actor)) AS y""")
+
+# ---------------------------------------------------------------- surprise on pair-hands, signals
+
+_S = ["surprise", "fold_surprise", "call_surprise", "aggr_surprise", "aggression_excess"]
+cte("phs", "SELECT h.*, " + ", ".join(f"coalesce(s{i}.{c}, 0) AS {c}_{i}" for c in _S for i in (1, 2)) + ", "
+    + ", ".join(f"coalesce(t{a}.{c}, 0) AS v_{c}_{a}_to_{3 - a}" for c in _S for a in (1, 2))
+    + " FROM ph AS h"
+    + "".join(f" LEFT JOIN byseat AS s{i} ON h.hand_id = s{i}.hand_id AND h.p{i} = s{i}.player_id" for i in (1, 2))
+    + "".join(f" LEFT JOIN bytarget AS t{a} ON h.hand_id = t{a}.hand_id AND h.p{a} = t{a}.player_id"
+              f" AND h.p{3 - a} = t{a}.target" for a in (1, 2)))
+
+
+def _either(e: str) -> str:
+    return f"({e}_1_to_2 OR {e}_2_to_1)"
+
+
+cte("sig0", f"""
+SELECT *, surprise_1 + surprise_2 AS pair_surprise, fold_surprise_1 + fold_surprise_2 AS pair_fold_surprise,
+  aggression_excess_1 + aggression_excess_2 AS pair_aggr_excess,
+  v_surprise_1_to_2 + v_surprise_2_to_1 AS surprise_vs_partner,
+  greatest(v_surprise_1_to_2, v_surprise_2_to_1) AS surprise_vs_partner_hi,
+  v_fold_surprise_1_to_2 + v_fold_surprise_2_to_1 AS fold_vs_partner,
+  v_call_surprise_1_to_2 + v_call_surprise_2_to_1 AS call_vs_partner,
+  v_aggr_surprise_1_to_2 + v_aggr_surprise_2_to_1 AS aggr_vs_partner,
+  v_aggression_excess_1_to_2 + v_aggression_excess_2_to_1 AS excess_vs_partner,
+  CASE WHEN strength_rank_1 <= strength_rank_2 THEN -aggression_excess_1 ELSE -aggression_excess_2 END AS stronger_side_deficit,
+  abs(surprise_1 - surprise_2) AS surprise_imbalance, {_either('fold_better')}::INT AS fold_better_flag,
+  {_either('paid')}::INT AS paid_flag, {_either('conceded')}::INT AS conceded_flag,
+  {_either('ahead_fold')}::INT AS ahead_fold, ({_either('fold_better')} OR {_either('paid')})::INT AS transfer_event,
+  greatest(concession_weight_1, concession_weight_2) AS concession_weight,
+  (vpip_actions_1 > 0 OR vpip_actions_2 > 0)::INT AS any_vpip,
+  (vpip_actions_1 > 0 AND vpip_actions_2 > 0)::INT AS both_vpip,
+  (n_actions_1 > 0 AND n_actions_2 > 0 AND aggressive_actions_1 + aggressive_actions_2 + calls_1 + calls_2 > 0)::INT AS interacted,
+  (folded_1_to_2 OR folded_2_to_1 OR (vpip_actions_1 > 0 AND vpip_actions_2 > 0))::INT AS contact,
+  coalesce(weaker_raiser, 1) AS weaker_raiser_strength, abs(transfer_signed) AS abs_transfer,
+  abs(net_gap) AS abs_net_gap, abs(strength_gap) AS abs_strength_gap,
+  CASE WHEN {_either('paid')} THEN transfer_gross ELSE 0 END AS value_against_strength,
+  least(strength_rank_1, strength_rank_2) AS min_strength_rank,
+  greatest(strength_rank_1, strength_rank_2) AS max_strength_rank,
+  postflop_checks_1 + postflop_checks_2 AS postflop_checks_both,
+  CASE WHEN net_1 < net_2 THEN contribution_1 ELSE contribution_2 END AS loser_contribution,
+  (net_1 > 0 OR net_2 > 0)::INT AS winner_is_partner,
+  CASE WHEN net_1 <= net_2 THEN strength_rank_1 ELSE strength_rank_2 END AS donor_weakness,
+  CASE WHEN net_1 <= net_2 THEN strength_rank_2 ELSE strength_rank_1 END AS receiver_weakness,
+  CASE WHEN net_1 <= net_2 THEN surprise_1 ELSE surprise_2 END AS donor_surprise,
+  CASE WHEN net_1 <= net_2 THEN surprise_2 ELSE surprise_1 END AS receiver_surprise,
+  CASE WHEN net_1 <= net_2 THEN contribution_1 ELSE contribution_2 END AS donor_contribution,
+  CASE WHEN net_1 <= net_2 THEN calls_facing_bet_1 ELSE calls_facing_bet_2 END AS donor_calls,
+  (surprise_1 + surprise_2) / (n_actions_1 + n_actions_2 + 1) AS surprise_per_action,
+  CASE WHEN outsider_folds > 0 THEN outsiders_folded_to_pair::DOUBLE / outsider_folds ELSE 0 END AS outsider_clear_rate,
+  ((aggressive_actions_1 > 0 AND strength_rank_1 >= 4) OR (aggressive_actions_2 > 0 AND strength_rank_2 >= 4))::INT AS aggr_with_weak_hand,
+  ((net_1 > 0 OR net_2 > 0) AND pot_bb < 40)::INT AS won_small_pot
+FROM phs""")
+
+cte("sig", """
+SELECT *, donor_contribution * donor_weakness / 6.0::DOUBLE AS unjustified_investment,
+  round(pair_surprise, 6) AS score, round(surprise_vs_partner, 6) AS score2,
+  row_number() OVER (PARTITION BY phase, table_id, p1, p2 ORDER BY started_at, hand_id) AS pair_rn
+FROM sig0""")
+
+oracle("hand_signals", _K + "~pair_surprise ~pair_fold_surprise ~surprise_vs_partner ~surprise_vs_partner_hi "
+       "~fold_vs_partner ~call_vs_partner ~aggr_vs_partner ~excess_vs_partner ~pair_aggr_excess "
+       "~stronger_side_deficit ~surprise_imbalance fold_better_flag paid_flag conceded_flag ahead_fold transfer_event "
+       "~concession_weight any_vpip both_vpip interacted contact ~weaker_raiser_strength abs_transfer abs_net_gap "
+       "abs_strength_gap value_against_strength min_strength_rank max_strength_rank postflop_checks_both "
+       "loser_contribution winner_is_partner donor_weakness receiver_weakness ~donor_surprise ~receiver_surprise "
+       "donor_contribution donor_calls ~surprise_per_action ~outsider_clear_rate aggr_with_weak_hand "
+       "~unjustified_investment won_small_pot", "SELECT * FROM sig")
+
+# ---------------------------------------------------------------- relational statistics
+
+_OWN = "CASE WHEN strength < 34 THEN 0 WHEN strength < 67 THEN 1 ELSE 2 END"
+_HU = "count(*) OVER (PARTITION BY hand_id, action_no) = 1"
+cte("x96", f"""
+SELECT *, y AS act, street * 24 + ({_OWN}) * 8 + coalesce(opp_str > strength, false)::INT * 4 + facing::INT * 2
+       + ({_HU})::INT AS ctx FROM live""")
+cte("cells96", """
+SELECT *, ln(p_here / p_rest) AS lr, p_here - p_rest AS dp FROM (
+  SELECT *, (n + 0.5) / (t + 3.0) AS p_here, (n_all - n + 0.5) / (t_all - t + 3.0) AS p_rest FROM (
+    SELECT c.*, sum(n) OVER (PARTITION BY phase, table_id, player_id, opp, ctx) AS t,
+           sum(n) OVER (PARTITION BY phase, table_id, player_id, ctx, act) AS n_all,
+           sum(n) OVER (PARTITION BY phase, table_id, player_id, ctx) AS t_all
+    FROM (SELECT phase, table_id, player_id, opp, ctx, act, count(*) AS n FROM x96 GROUP BY ALL) AS c) AS d) AS e""")
+oracle("relational_cells", "$phase player_id opp ctx act n t n_all t_all ~lr ~dp", "SELECT * FROM cells96")
+
+
+def g_statistic(cells: str, keys: str) -> str:
+    ahead, facing, hu = "(ctx // 4) % 2 = 1", "(ctx // 2) % 2 = 1", "ctx % 2 = 1"
+
+    def dev(kind: str, where: str) -> str:
+        return (f"coalesce(sum(n * dp) FILTER ({kind} AND {where}), 0) "
+                f"/ greatest(coalesce(sum(n) FILTER ({where}), 0), 1)")
+
+    return f"""SELECT {keys}, player_id AS actor, opp AS partner, 2 * sum(n * lr) AS g,
+  coalesce(2 * sum(n * lr) FILTER ({ahead}), 0) AS g_ahead,
+  coalesce(2 * sum(n * lr) FILTER (NOT ({ahead})), 0) AS g_behind,
+  coalesce(2 * sum(n * lr) FILTER ({facing}), 0) AS g_facing, coalesce(2 * sum(n * lr) FILTER ({hu}), 0) AS g_heads_up,
+  {dev('act = 0', ahead)} AS fold_ahead_dev, {dev('act = 2', f'NOT ({ahead})')} AS call_behind_dev,
+  {dev('act >= 3', facing)} AS aggr_facing_dev, sum(n) AS n, count(DISTINCT ctx) AS contexts,
+  {dev('act = 0', 'true')} AS fold_dev, {dev('act = 2', 'true')} AS call_dev, {dev('act >= 3', 'true')} AS aggr_dev,
+  max(n * lr) AS cell_max, 2 * sum(n * lr) / sum(n) AS g_per_action
+FROM {cells} GROUP BY {keys}, player_id, opp"""
+
+
+cte("gstat", g_statistic("cells96", "phase, table_id"))
+_G = ["g", "g_per_action", "n", "fold_dev", "call_dev", "aggr_dev", "cell_max", "g_ahead", "g_behind", "g_facing",
+      "g_heads_up", "fold_ahead_dev", "call_behind_dev", "aggr_facing_dev"]
+_D = "$phase table_id actor partner "
+_P = "$phase table_id p1 p2 "
+oracle("relational_g", _D + "~g ~g_ahead ~g_behind ~g_facing ~g_heads_up ~fold_ahead_dev ~call_behind_dev "
+       "~aggr_facing_dev n contexts ~fold_dev ~call_dev ~aggr_dev ~cell_max ~g_per_action", "SELECT * FROM gstat")
+
+
+def folded(source: str, cols: list[str], keys: str = "phase, table_id", sums: list[str] = [], lows: bool = True) -> str:
+    out = [f"max({c}) AS {c}_hi" for c in cols] + ([f"min({c}) AS {c}_lo" for c in cols] if lows else [])
+    out += [f"sum({c}) AS {c}_sum" for c in sums]
+    return (f"SELECT {keys}, least(actor, partner) AS p1, greatest(actor, partner) AS p2, {', '.join(out)} "
+            f"FROM {source} GROUP BY {keys}, least(actor, partner), greatest(actor, partner)")
+
+
+def folded_spec(cols: list[str], sums: list[str] = [], ints: tuple[str, ...] = ()) -> str:
+    mark = lambda c: "" if c in ints else "~"
+    return " ".join([f"{mark(c)}{c}_{e}" for e in ("hi", "lo") for c in cols] + [f"{mark(c)}{c}_sum" for c in sums])
+
+
+cte("gpair", folded("gstat", _G, sums=["g"]))
+oracle("relational_pair", _P + folded_spec(_G, ["g"], ("n",)), "SELECT * FROM gpair")
+oracle("relational_hand", "$hand_id player_id opp ~rel_lr ~rest_nll acts", """
+SELECT x.hand_id, x.player_id, x.opp, sum(c.lr) AS rel_lr, sum(-ln(c.p_rest)) AS rest_nll, count(*) AS acts
+FROM x96 AS x JOIN cells96 AS c USING (phase, table_id, player_id, opp, ctx, act) GROUP BY 1, 2, 3""")
+
+cte("x96b", """SELECT x.*, (t_order - 1) * 4 // table_hands AS block FROM x96 AS x JOIN
+  (SELECT hand_id, t_order, table_hands FROM hand_order) AS h USING (hand_id)""")
+cte("cells96b", """
+SELECT *, ln(p_here / p_rest) AS lr, p_here - p_rest AS dp FROM (
+  SELECT *, (n + 0.5) / (t + 3.0) AS p_here, (n_all - n + 0.5) / (t_all - t + 3.0) AS p_rest FROM (
+    SELECT c.*, sum(n) OVER (PARTITION BY phase, table_id, block, player_id, opp, ctx) AS t,
+           sum(n) OVER (PARTITION BY phase, table_id, block, player_id, ctx, act) AS n_all,
+           sum(n) OVER (PARTITION BY phase, table_id, block, player_id, ctx) AS t_all
+    FROM (SELECT phase, table_id, block, player_id, opp, ctx, act, count(*) AS n FROM x96b GROUP BY ALL) AS c) AS d) AS e""")
+cte("gstatb", g_statistic("cells96b", "phase, table_id, block"))
+_B = ["g_hi", "g_lo", "g_sum", "aggr_dev_hi", "fold_dev_hi"]
+oracle("relational_blocks", _P + " ".join(f"~blk_{c}_{f}" for f in ("sum", "max") for c in _B) + " blk_n",
+       "SELECT phase, table_id, p1, p2, " + ", ".join(f"{f}({c}) AS blk_{c}_{f}" for f in ("sum", "max") for c in _B)
+       + ", count(*) AS blk_n FROM (" + folded("gstatb", ["g", "aggr_dev", "fold_dev"], "phase, table_id, block", ["g"])
+       + ") AS q GROUP BY 1, 2, 3, 4")
+
+cte("x216", f"""
+SELECT *, CASE WHEN y = 0 THEN 0 WHEN y <= 2 THEN 1 ELSE 2 END AS act,
+  CASE WHEN last_agg IS NULL THEN 0 WHEN last_agg = player_id THEN 1 WHEN facing THEN 2 ELSE 3 END AS face,
+  ({_HU})::INT AS hu,
+  (((least(street, 2) * 3 + ({_OWN})) * 3 + CASE WHEN rel < -10 THEN 0 WHEN rel > 10 THEN 2 ELSE 1 END) * 4
+   + CASE WHEN last_agg IS NULL THEN 0 WHEN last_agg = player_id THEN 1 WHEN facing THEN 2 ELSE 3 END) * 2
+   + ({_HU})::INT AS ctx FROM live""")
+cte("cells216", """
+SELECT *, (n_ab_act + 3 * p_a) / (n_ab + 3) AS p_ab FROM (
+  SELECT *, (n_a_act - n_ab_act + 10 * p0) / (n_a - n_ab + 10) AS p_a FROM (
+    SELECT t.*, k.act, coalesce(c.n, 0) AS n_ab_act, coalesce(a.n, 0) AS n_a_act, b.n AS n_a, coalesce(z.p0, 1e-3) AS p0
+    FROM (SELECT phase, table_id, player_id, opp, ctx, count(*) AS n_ab FROM x216 GROUP BY ALL) AS t
+    CROSS JOIN (SELECT unnest([0, 1, 2]) AS act) AS k
+    LEFT JOIN (SELECT phase, table_id, player_id, opp, ctx, act, count(*) AS n FROM x216 GROUP BY ALL) AS c
+      USING (phase, table_id, player_id, opp, ctx, act)
+    LEFT JOIN (SELECT phase, table_id, player_id, ctx, act, count(*) AS n FROM x216 GROUP BY ALL) AS a
+      USING (phase, table_id, player_id, ctx, act)
+    LEFT JOIN (SELECT phase, table_id, player_id, ctx, count(*) AS n FROM x216 GROUP BY ALL) AS b
+      USING (phase, table_id, player_id, ctx)
+    LEFT JOIN (SELECT ctx, act, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY ctx) AS p0 FROM x216 GROUP BY 1, 2) AS z
+      USING (ctx, act)) AS u) AS v""")
+oracle("relational_shrunk", _P + "~g_hi ~g_lo ~g_sum opportunities ~g_rate", """
+SELECT phase, table_id, least(actor, partner) AS p1, greatest(actor, partner) AS p2, max(g) AS g_hi, min(g) AS g_lo,
+       sum(g) AS g_sum, sum(o) AS opportunities, sum(g) / sum(o) AS g_rate
+FROM (SELECT phase, table_id, player_id AS actor, opp AS partner, sum(n_ab_act * ln(p_ab / p_a)) AS g, sum(n_ab) / 3 AS o
+      FROM cells216 GROUP BY 1, 2, 3, 4) AS d GROUP BY 1, 2, 3, 4""")
+oracle("relational_loo", "$hand_id player_id opp ~llr_sum ~llr_max ~llr_pos ~llr_face_partner ~llr_face_third "
+       "~llr_heads_up ~llr_later ~llr_fold ~llr_pass ~llr_aggr", """
+SELECT hand_id, player_id, opp, sum(llr) AS llr_sum, max(llr) AS llr_max, sum(greatest(llr, 0)) AS llr_pos,
+  coalesce(sum(llr) FILTER (face = 2), 0) AS llr_face_partner, coalesce(sum(llr) FILTER (face = 3), 0) AS llr_face_third,
+  coalesce(sum(llr) FILTER (hu = 1), 0) AS llr_heads_up, coalesce(sum(llr) FILTER (street > 0), 0) AS llr_later,
+  coalesce(sum(llr) FILTER (act = 0), 0) AS llr_fold, coalesce(sum(llr) FILTER (act = 1), 0) AS llr_pass,
+  coalesce(sum(llr) FILTER (act = 2), 0) AS llr_aggr
+FROM (SELECT x.*, ln(((greatest(n_ab_act - 1, 0) + 3 * p_a) / (greatest(n_ab - 1, 0) + 3)) / p_a) AS llr
+      FROM x216 AS x JOIN cells216 AS c USING (phase, table_id, player_id, opp, ctx, act)) AS d GROUP BY 1, 2, 3""")
+
+_EV = ["transfer_event", "fold_better", "paid", "folded", "outsider_folds", "ahead_fold"]
+cte("cnt", "SELECT phase, table_id, p1, p2, count(*) AS shared_hands, " + ", ".join(f"""
+  count(*) FILTER (fold_better_{d} OR paid_{d}) AS k_transfer_event_{s}, count(*) FILTER (fold_better_{d}) AS k_fold_better_{s},
+  count(*) FILTER (paid_{d}) AS k_paid_{s}, count(*) FILTER (folded_{d}) AS k_folded_{s},
+  sum(outsiders_folded_to_p{s[0]}) AS k_outsider_folds_{s}, count(*) FILTER (ahead_fold_{d}) AS k_ahead_fold_{s}"""
+    for d, s in (("1_to_2", "12"), ("2_to_1", "21"))) + " FROM ph GROUP BY 1, 2, 3, 4")
+oracle("pair_event_counts", _P + "shared_hands " + " ".join(f"k_{e}_{s}" for s in ("12", "21") for e in _EV),
+       "SELECT * FROM cnt")
+
+
+def binomial_tail(k: str, n: str, p: str) -> str:
+    term = (f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))")
+    return (f"CASE WHEN {k} <= 0 THEN 0 WHEN {k} > {n} THEN 300 ELSE -log10(least(greatest("
+            f"list_sum(list_transform(generate_series(CAST({k} AS BIGINT), CAST({n} AS BIGINT)), "
+            f"lambda i: {term})), 1e-300), 1)) END")
+
+
+cte("dir0", "SELECT *, " + ", ".join(
+    f"least(greatest((sum(k_{e}) OVER a - k_{e})::DOUBLE / greatest(sum(n) OVER a - n, 1), 1e-6), 1 - 1e-6) AS field_{e}"
+    for e in _EV) + " FROM (" + " UNION ALL ".join(
+        f"SELECT phase, table_id, {x} AS actor, {z} AS partner, shared_hands AS n, "
+        + ", ".join(f"k_{e}_{s} AS k_{e}" for e in _EV) + " FROM cnt"
+        for x, z, s in (("p1", "p2", "12"), ("p2", "p1", "21")))
+    + ") AS u WINDOW a AS (PARTITION BY phase, table_id, actor)")
+cte("dir", "SELECT *, " + ", ".join(f"""
+  {binomial_tail(f'k_{e}', 'n', f'field_{e}')} AS s_{e}, k_{e} - n * field_{e} AS exc_{e}, k_{e}::DOUBLE / greatest(n, 1) AS rate_{e},
+  (k_{e} - n * field_{e}) / sqrt(greatest(n * field_{e} * (1 - field_{e}), 1e-9)) AS z_{e}""" for e in _EV) + " FROM dir0")
+oracle("binomial_surprise", _D + "n " + " ".join(f"~{s}_{e}" for e in _EV for s in ("s", "z", "exc", "rate")),
+       "SELECT * FROM dir")
+_BC = [f"{s}_{e}" for e in _EV for s in ("s", "z", "exc", "rate", "field")]
+cte("dirpair", folded("dir", _BC, sums=[f"s_{e}" for e in _EV]))
+oracle("binomial_surprise_pair", _P + folded_spec(_BC, [f"s_{e}" for e in _EV]), "SELECT * FROM dirpair")
+oracle("top_pairs", _P + "shared_hands ~s_transfer_event_hi ~s_folded_hi ~s_outsider_folds_hi ~z_transfer_event_hi "
+       "~s_transfer_event_sum", "SELECT d.*, c.shared_hands FROM dirpair AS d JOIN cnt AS c USING (phase, table_id, p1, p2)")
+
+# ---------------------------------------------------------------- pair aggregate and what reads it
+
+
+def _rate(c: str) -> str:
+    return f"avg(({c})::INT)"
+
+
+_EVENT = "(fold_better_1_to_2 OR fold_better_2_to_1 OR paid_1_to_2 OR paid_2_to_1)"
+_AGG = {
+    "~ahead_fold_rate": _rate("ahead_fold_1_to_2 OR ahead_fold_2_to_1"),
+    "~ahead_fold_preflop_rate": _rate("ahead_fold_preflop_1_to_2 OR ahead_fold_preflop_2_to_1"),
+    "~ahead_fold_equity_sum": "sum(ahead_fold_equity_gap)", "flow_12": "sum(transfer_1_to_2)",
+    "flow_21": "sum(transfer_2_to_1)", "~transfer_mean": "avg(transfer_gross)", "transfer_max": "max(transfer_gross)",
+    "transfer_total": "sum(transfer_gross)", "~transfer_any_rate": _rate("transfer_gross > 0"),
+    "~transfer_event_rate": _rate(_EVENT), "transfer_event_n": f"count(*) FILTER ({_EVENT})",
+    "~paid_rate": _rate("paid_1_to_2 OR paid_2_to_1"), "~fold_better_rate": _rate("fold_better_1_to_2 OR fold_better_2_to_1"),
+    "~conceded_rate": _rate("conceded_1_to_2 OR conceded_2_to_1"),
+    "~event_size": f"avg(transfer_gross) FILTER ({_EVENT})",
+    "event_value": f"coalesce(sum(transfer_gross) FILTER ({_EVENT}), 0)",
+    "~event_pot": f"avg(pot_bb) FILTER ({_EVENT})", "event_max": f"coalesce(max(transfer_gross) FILTER ({_EVENT}), 0)",
+    "~surprise_max": "max(surprise_1 + surprise_2)", "~surprise_mean": "avg(surprise_1 + surprise_2)",
+    "~surprise_sum": "sum(surprise_1 + surprise_2)", "~fold_surprise_max": "max(fold_surprise_1 + fold_surprise_2)",
+    "~fold_surprise_sum": "sum(fold_surprise_1 + fold_surprise_2)",
+    "~surprise_imbalance_max": "max(abs(surprise_1 - surprise_2))",
+    "~aggression_excess_sum": "sum(aggression_excess_1 + aggression_excess_2)",
+    "~surprise_on_events": f"avg(surprise_1 + surprise_2) FILTER ({_EVENT})",
+    "~surprise_on_events_max": f"coalesce(max(surprise_1 + surprise_2) FILTER ({_EVENT}), 0)",
+    "~both_showdown_rate": _rate("both_showdown"), "~both_in_pot_rate": _rate("both_in_pot"),
+    "~heads_up_rate": _rate("heads_up"), "~mutual_passive_rate": _rate("mutual_passive"),
+    "~one_folded_rate": _rate("one_folded"),
+    "~strong_check_rate": _rate("heads_up AND ((strength_rank_1 = 1 AND postflop_aggressive_1 = 0) OR (strength_rank_2 = 1 AND postflop_aggressive_2 = 0))"),
+    "~showdown_loss_rate": _rate("both_showdown AND sign(net_1) * sign(net_2) < 0"),
+    "~pair_aggressive_mean": "avg(pair_aggressive)", "~contribution_gap_mean": "avg(abs(contribution_gap))",
+    "~net_gap_mean": "avg(abs(net_gap))", "~both_raised_rate": _rate("both_raised_preflop"),
+    "both_raised_n": "count(*) FILTER (both_raised_preflop)", "~squeeze_rate": _rate("squeeze_sandwich"),
+    "squeeze_n": "count(*) FILTER (squeeze_sandwich)", "~weak_raise_mean": "avg(weak_raise_weight)",
+    "~weakest_double_raise": "max(1 - weaker_raiser)", "~aggressive_loss_rate": _rate("aggressive_loss"),
+    "~relay_rate": _rate("consecutive_aggression"), "relay_n": "count(*) FILTER (consecutive_aggression)",
+    "~relay_cleared_rate": _rate("relay_cleared"), "relay_cleared_n": "count(*) FILTER (relay_cleared)",
+    "~both_aggressive_rate": _rate("both_aggressive"), "~pair_net_mean": "avg(pair_net)", "pair_net_total": "sum(pair_net)",
+    "~outsider_net_mean": "avg(outsider_net)", "~pair_net_when_relay": "avg(pair_net) FILTER (consecutive_aggression)",
+    "~concession_max_1": "max(concession_weight_1)", "~concession_max_2": "max(concession_weight_2)",
+    "~concession_sum_1": "sum(concession_weight_1)", "~concession_sum_2": "sum(concession_weight_2)",
+    "~fold_odds_max_1": "max(fold_odds_declined_1)", "~fold_odds_max_2": "max(fold_odds_declined_2)",
+    "~outsiders_folded_mean": "avg(outsiders_folded_to_pair)", "outsiders_folded_n": "sum(outsiders_folded_to_pair)",
+    "~outsiders_folded_both_in": "avg(outsiders_folded_to_pair) FILTER (both_in_pot)",
+    "~outsider_folds_mean": "avg(outsider_folds)", "~outsider_aggressive_mean": "avg(outsider_aggressive)",
+    "~outsider_contribution_mean": "avg(outsider_contribution)", "~pot_mean": "avg(pot_bb)",
+    "~pot_when_transfer": "avg(pot_bb) FILTER (transfer_gross > 0)",
+    "~transfer_top3": topk("transfer_gross", 3), "~transfer_top5": topk("transfer_gross", 5),
+    "~surprise_top3": topk("(surprise_1 + surprise_2)", 3), "~surprise_top5": topk("(surprise_1 + surprise_2)", 5),
+    "~fold_surprise_top3": topk("(fold_surprise_1 + fold_surprise_2)", 3),
+    "~weak_raise_top5": topk("weak_raise_weight", 5), "~concession_top3_1": topk("concession_weight_1", 3),
+    "~concession_top3_2": topk("concession_weight_2", 3),
+    "~event_top3": topk(f"(CASE WHEN {_EVENT} THEN transfer_gross ELSE 0 END)", 3),
+    "~transfer_p95": nearest("transfer_gross", 0.95)}
+_AGG2 = {
+    "flow_hi": "greatest(flow_12, flow_21)", "flow_imbalance": "abs(flow_12 - flow_21)",
+    "~flow_oneway": "abs(flow_12 - flow_21) / (flow_12 + flow_21 + 1e-9)",
+    "~top5_share": "transfer_top5 * 5 / (transfer_total + 1e-9)", "~peakiness": "transfer_max / (transfer_mean + 1e-9)",
+    "~transfer_per_hand": "transfer_total / shared_hands", "~event_value_share": "event_value / (transfer_total + 1e-9)",
+    "~concession_max_hi": "greatest(concession_max_1, concession_max_2)",
+    "~concession_sum_hi": "greatest(concession_sum_1, concession_sum_2)",
+    "~concession_sum_both": "concession_sum_1 + concession_sum_2",
+    "~concession_top3_hi": "greatest(concession_top3_1, concession_top3_2)",
+    "~fold_odds_max_hi": "greatest(fold_odds_max_1, fold_odds_max_2)",
+    "~concession_per_hand": "greatest(concession_sum_1, concession_sum_2) / shared_hands",
+    "~event_span_ratio": "(e1 - e0) / (seen1 - seen0 + 1.0)"}
+cte("agg", "SELECT *, " + ", ".join(f"{v} AS {k.lstrip('~')}" for k, v in _AGG2.items())
+    + " FROM (SELECT phase, table_id, p1, p2, count(*) AS shared_hands, "
+    + ", ".join(f"{v} AS {k.lstrip('~')}" for k, v in _AGG.items())
+    + f", min(started_at) AS seen0, max(started_at) AS seen1, min(started_at) FILTER ({_EVENT}) AS e0, "
+      f"max(started_at) FILTER ({_EVENT}) AS e1 FROM phs GROUP BY 1, 2, 3, 4) AS base")
+oracle("pair_aggregate", _P + "shared_hands " + " ".join([*_AGG, *_AGG2]), "SELECT * FROM agg")
+
+_RATES = ["transfer_event_rate", "both_showdown_rate", "mutual_passive_rate", "both_aggressive_rate", "relay_rate",
+          "squeeze_rate", "pair_net_mean", "outsiders_folded_mean", "transfer_per_hand", "one_folded_rate",
+          "heads_up_rate", "relay_cleared_rate", "both_raised_rate", "aggressive_loss_rate", "ahead_fold_rate"]
+oracle("eb_contrast", _P + folded_spec([f"d_{r}" for r in _RATES]), folded(
+    "(SELECT *, " + ", ".join(
+        f"({r} - (sum({r} * n) OVER a - {r} * n) / (sum(n) OVER a - n + 1e-9)) * n / (n + 25.0) AS d_{r}" for r in _RATES)
+    + " FROM (" + " UNION ALL ".join(
+        f"SELECT phase, table_id, {x} AS actor, {z} AS partner, shared_hands AS n, {', '.join(_RATES)} FROM agg"
+        for x, z in (("p1", "p2"), ("p2", "p1")))
+    + ") AS u WINDOW a AS (PARTITION BY phase, table_id, actor)) AS d", [f"d_{r}" for r in _RATES]))
+
+
+def _gap(x: str, by: str) -> str:
+    return (f"{x} / greatest({by}, 1) - (sum({x}) OVER a - {x}) / greatest(sum({by}) OVER a - {by}, 1)")
+
+
+cte("contrast", f"""
+SELECT *, sv_delta * sqrt(least(actions, 400)) AS sv_excess, fs_delta * sqrt(least(folds, 200)) AS fs_excess,
+       cs_delta * sqrt(least(actions, 400)) AS cs_excess FROM (
+  SELECT *, {_gap('sv', 'actions')} AS sv_delta, {_gap('ax', 'actions')} AS ax_delta, {_gap('fs', 'folds')} AS fs_delta,
+         {_gap('cs', 'actions')} AS cs_delta FROM (
+    SELECT phase, table_id, player_id AS actor, target AS partner, sum(surprise) AS sv, max(surprise) AS sv_max,
+      max(surprise_max) AS sv_action_max, sum(actions) AS actions, sum(aggression_excess) AS ax,
+      sum(fold_surprise) AS fs, max(fold_surprise) AS fs_max, sum(call_surprise) AS cs, sum(aggr_surprise) AS ars,
+      sum(folds) AS folds FROM bytarget GROUP BY 1, 2, 3, 4) AS d
+  WINDOW a AS (PARTITION BY phase, table_id, actor)) AS e""")
+_CC = ["sv", "sv_max", "sv_action_max", "actions", "sv_delta", "sv_excess", "ax", "ax_delta", "fs", "fs_max",
+       "fs_delta", "fs_excess", "cs", "cs_delta", "cs_excess", "ars"]
+oracle("surprise_contrast", _D + " ".join(c if c == "actions" else f"~{c}" for c in _CC), "SELECT * FROM contrast")
+_CS = ["sv_excess", "sv_delta", "ax_delta", "fs_excess", "cs_excess"]
+oracle("surprise_contrast_pair", _P + folded_spec(_CC, _CS, ("actions",)), folded("contrast", _CC, sums=_CS))
+
+
+def residual(classes: int) -> str:
+    if classes == 3:
+        obs, ps = ["y = 0", "y IN (1, 2)", "y >= 3"], ["p_fold", "p_pass", "p_agg"]
+    else:
+        obs, ps = [f"y = {k}" for k in range(6)], [f"p{k}" for k in range(5)] + ["0.0::DOUBLE"]
+    both = list(enumerate(zip(obs, ps, strict=True)))
+    last = classes - 1
+    nll = " + ".join(f"CASE WHEN {o} THEN -ln(greatest({p}, 1e-9)) ELSE 0 END" for _, (o, p) in both)
+    ent = " + ".join(f"-({p}) * ln(greatest({p}, 1e-12))" for _, (o, p) in both)
+    sums = ", ".join(f"""count(*) FILTER ({o}) AS o{i}, sum({p}) AS e{i}, sum({p} * (1 - {p})) AS v{i},
+      count(*) FILTER (({o}) AND facing) AS of{i}, coalesce(sum({p}) FILTER (facing), 0) AS ef{i},
+      coalesce(sum({p} * (1 - {p})) FILTER (facing), 0) AS vf{i}""" for i, (o, p) in both)
+    probs = ", ".join(f"(o{i} + 0.5) / (n + {classes * 0.5}) AS po{i}, (e{i} + 0.5) / (n + {classes * 0.5}) AS pm{i}"
+                      for i in range(classes))
+    g = " + ".join(f"po{i} * ln(po{i} / pm{i})" for i in range(classes))
+    devs = ", ".join(f"(o{i} - e{i}) / n AS dev{i}, (o{i} - e{i}) / sqrt(greatest(v{i}, 1)) AS z{i}" for i in range(classes))
+    return f"""SELECT *, 2 * n * ({g}) AS g, greatest(2 * n * ({g}), 0) / (2 * ln(10)) AS g_tail, 2 * ({g}) AS g_per_action,
+  nll / n AS surp, (nll - ent) / n AS surp_excess, {devs}, (of0 - ef0) / sqrt(greatest(vf0, 1)) AS z0_facing,
+  (of{last} - ef{last}) / sqrt(greatest(vf{last}, 1)) AS z{last}_facing,
+  (of{last} - ef{last}) / greatest(n_facing, 1) AS dev{last}_facing
+FROM (SELECT *, {probs} FROM (
+  SELECT phase, table_id, player_id AS actor, opp AS partner, count(*) AS n, count(*) FILTER (facing) AS n_facing,
+    sum({nll}) AS nll, sum({ent}) AS ent, {sums} FROM live GROUP BY 1, 2, 3, 4) AS d) AS f"""
+
+
+cte("resid3", residual(3))
+oracle("policy_residual", _D + "n n_facing ~g ~g_tail ~g_per_action ~surp ~surp_excess ~dev0 ~dev1 ~dev2 ~z0 ~z1 ~z2 "
+       "~z0_facing ~z2_facing ~dev2_facing", "SELECT * FROM resid3")
+oracle("policy_residual_six", _D + "n ~g ~surp ~surp_excess ~dev0 ~dev1 ~dev2 ~dev3 ~dev4 ~dev5 ~z0 ~z1 ~z2 ~z3 ~z4",
+       residual(6))
+_RP = ["g", "g_tail", "surp_excess", "z0", "z2"]
+oracle("policy_residual_pair", _P + folded_spec(_RP, ["g", "g_tail"]), folded("resid3", _RP, sums=["g", "g_tail"]))
+oracle("hand_tilt", _K + "~tilt ~tilt_hi ~tilt_lo ~tilt_action_max ~nll ~nll_max ~tilt_facing acts", """
+SELECT hand_id, least(player_id, opp) AS p1, greatest(player_id, opp) AS p2, sum(t) AS tilt, max(t) AS tilt_hi,
+       min(t) AS tilt_lo, max(tm) AS tilt_action_max, sum(n) AS nll, max(nm) AS nll_max, sum(tf) AS tilt_facing, sum(c) AS acts
+FROM (SELECT hand_id, player_id, opp, sum(tilt) AS t, max(tilt) AS tm, sum(nll1) AS n, max(nll1) AS nm,
+             coalesce(sum(tilt) FILTER (facing), 0) AS tf, count(*) AS c
+      FROM (SELECT x.*, CASE WHEN y = 0 THEN ln(po0 / pm0) WHEN y <= 2 THEN ln(po1 / pm1) ELSE ln(po2 / pm2) END AS tilt,
+                   -ln(greatest(CASE WHEN y = 0 THEN p_fold WHEN y <= 2 THEN p_pass ELSE p_agg END, 1e-9)) AS nll1
+            FROM live AS x JOIN (SELECT phase, actor, partner, po0, po1, po2, pm0, pm1, pm2 FROM resid3) AS r
+              ON x.phase = r.phase AND x.player_id = r.actor AND x.opp = r.partner) AS e
+      GROUP BY 1, 2, 3) AS h GROUP BY 1, 2, 3""")
+
+_DY = ["transfer_total", "pair_net_total", "transfer_event_rate", "both_showdown_rate", "outsiders_folded_mean",
+       "contribution_gap_mean", "pair_aggressive_mean", "relay_rate"]
+cte("aggr", "SELECT phase, table_id, p1, p2, shared_hands, " + ", ".join(
+    f"round({c}::DOUBLE, 6) AS {c}" for c in _DY) + " FROM agg")
+cte("member", " UNION ALL ".join(f"SELECT *, {p} AS member FROM aggr" for p in ("p1", "p2")))
+cte("membermed", "SELECT phase, table_id, member, " + ", ".join(f"median({c}) AS {c}" for c in _DY)
+    + " FROM member GROUP BY 1, 2, 3")
+cte("dyadres", "SELECT q.phase, q.table_id, q.p1, q.p2, " + ", ".join(
+    f"q.{c} - a.{c} - b.{c} + t.{c} AS res_{c}" for c in _DY) + " FROM aggr AS q"
+    " JOIN membermed AS a ON q.phase = a.phase AND q.p1 = a.member AND q.table_id = a.table_id"
+    " JOIN membermed AS b ON q.phase = b.phase AND q.p2 = b.member AND q.table_id = b.table_id"
+    " JOIN (SELECT phase, table_id, " + ", ".join(f"median({c}) AS {c}" for c in _DY)
+    + " FROM aggr GROUP BY 1, 2) AS t ON q.phase = t.phase AND q.table_id = t.table_id")
+oracle("dyadic_residual", _P + " ".join(f"~res_{c} ~resz_{c}" for c in _DY),
+       "SELECT d.*, " + ", ".join(f"(d.res_{c} - m_{c}) / (1.4826 * mad_{c} + 1e-6) AS resz_{c}" for c in _DY)
+       + " FROM dyadres AS d JOIN (SELECT x.phase, x.table_id, " + ", ".join(
+           f"max(m_{c}) AS m_{c}, median(abs(x.res_{c} - m_{c})) AS mad_{c}" for c in _DY)
+       + " FROM dyadres AS x JOIN (SELECT phase, table_id, " + ", ".join(f"median(res_{c}) AS m_{c}" for c in _DY)
+       + " FROM dyadres GROUP BY 1, 2) AS m ON x.phase = m.phase AND x.table_id = m.table_id GROUP BY 1, 2) AS k"
+       " ON d.phase = k.phase AND d.table_id = k.table_id")
+
+_PR = ["transfer_total", "both_showdown_rate", "pair_aggressive_mean"]
+oracle("partner_rank_gap", _P + " ".join(f"{c}_rank_worst ~{c}_margin_min ~{c}_margin_max ~{c}_above_min" for c in _PR),
+       "SELECT phase, table_id, p1, p2, " + ", ".join(
+           f"max(pl_{c}) AS {c}_rank_worst, min(mg_{c}) AS {c}_margin_min, max(mg_{c}) AS {c}_margin_max, "
+           f"min(ab_{c}) AS {c}_above_min" for c in _PR) + " FROM (SELECT *, " + ", ".join(
+           f"CASE WHEN pl_{c} = 1 THEN {c} - top_{c}[2] ELSE {c} - top_{c}[1] END AS mg_{c}, {c} - med_{c} AS ab_{c}"
+           for c in _PR) + " FROM (SELECT *, " + ", ".join(
+           f"rank() OVER (PARTITION BY phase, table_id, member ORDER BY {c} DESC) AS pl_{c}, "
+           f"list_sort(list({c}) OVER (PARTITION BY phase, table_id, member), 'DESC') AS top_{c}, "
+           f"median({c}) OVER (PARTITION BY phase, table_id, member) AS med_{c}" for c in _PR)
+       + " FROM member) AS r) AS s GROUP BY 1, 2, 3, 4")
+oracle("table_percentile", _P + " ".join(f"~pct_{c}" for c in _DY),
+       "SELECT phase, table_id, p1, p2, " + ", ".join(f"{pct(c, 'phase, table_id')} AS pct_{c}" for c in _DY) + " FROM aggr")
+
+# ---------------------------------------------------------------- bags of scores, labels
+
+_KEYS = "phase, table_id, p1, p2"
+_H = "$phase table_id p1 p2 $hand_id "
+_FAM = "CASE {x} WHEN 0 THEN 'directed_transfer' WHEN 1 THEN 'soft_play' ELSE 'coordinated_isolation' END"
+
+oracle("bag_summary", _P + "n ~max ~mean ~sum n_over_500 n_over_900 ~top3 ~top5 ~top10 ~p95 ~p99", f"""
+SELECT {_KEYS}, count(*) AS n, max(score) AS max, avg(score) AS mean, sum(score) AS sum,
+  count(*) FILTER (score > 5) AS n_over_500, count(*) FILTER (score > 9) AS n_over_900,
+  {topk('score', 3)} AS top3, {topk('score', 5)} AS top5, {topk('score', 10)} AS top10,
+  {nearest('score', 0.95)} AS p95, {nearest('score', 0.99)} AS p99 FROM sig GROUP BY 1, 2, 3, 4""")
+
+cte("lab", f"""
+SELECT p1, p2, CASE WHEN (p1 * 31 + p2 * 17) % 50 = 0 THEN 1 ELSE 0 END AS label,
+       CASE WHEN (p1 * 31 + p2 * 17) % 50 = 0 THEN {_FAM.format(x='(p1 + p2) % 3')} END AS family
+FROM (SELECT DISTINCT p1, p2 FROM cnt) AS c WHERE (p1 * 31 + p2 * 17) % 50 <= 4""")
+cte("pos", "SELECT DISTINCT unnest([p1, p2]) AS player_id FROM lab WHERE label = 1")
+
+oracle("label_cohorts", "$phase table_id p1 p2 shared_hands label $family $cohort", """
+SELECT c.phase, c.table_id, c.p1, c.p2, c.shared_hands, coalesce(l.label, -1) AS label, l.family,
+  CASE WHEN l.label IS NOT NULL THEN 'labelled'
+       WHEN (c.p1 IN (FROM pos))::INT + (c.p2 IN (FROM pos))::INT = 1 THEN 'mixed'
+       WHEN c.p1 IN (FROM pos) AND c.p2 IN (FROM pos) THEN 'both_positive' ELSE 'eval_like' END AS cohort
+FROM cnt AS c LEFT JOIN lab AS l ON c.p1 = l.p1 AND c.p2 = l.p2 WHERE c.phase = 'development'""")
+
+oracle("sample_unknown", "table_id p1 p2 shared_hands", """
+SELECT c.* FROM cnt AS c LEFT JOIN lab AS l ON c.p1 = l.p1 AND c.p2 = l.p2
+WHERE c.phase = 'development' AND l.p1 IS NULL AND c.shared_hands < 24
+  AND c.p1 NOT IN (FROM pos) AND c.p2 NOT IN (FROM pos)
+ORDER BY md5(c.p1 || '|' || c.p2 || '|neg'), c.p1, c.p2 LIMIT 100""")
+
+oracle("exclusion", "table_id kept kept_unlabelled", """
+SELECT c.table_id, count(*) AS kept, count(*) FILTER (l.p1 IS NULL) AS kept_unlabelled
+FROM cnt AS c LEFT JOIN lab AS l ON c.p1 = l.p1 AND c.p2 = l.p2
+WHERE c.phase = 'development' AND NOT (l.p1 IS NULL AND c.shared_hands / 40.0 > 0.4) GROUP BY 1""")
+
+oracle("time_subsets", _P + "late_hands from_rn sampled_hands", f"""
+SELECT * FROM (
+  SELECT {_KEYS}, nullif(count(*) FILTER ((pair_rn - 1)::DOUBLE / n >= 1.0::DOUBLE - 0.4::DOUBLE), 0) AS late_hands,
+    min(pair_rn) FILTER ((pair_rn - 1)::DOUBLE / n >= 1.0::DOUBLE - 0.4::DOUBLE) AS from_rn,
+    nullif(count(*) FILTER (CAST('0x' || substr(md5(hand_id || '|half'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.5), 0) AS sampled_hands
+  FROM (SELECT *, count(*) OVER (PARTITION BY {_KEYS}) AS n FROM sig) AS s GROUP BY 1, 2, 3, 4) AS t""")
+
+cte("respair", folded("resid3", ["surp_excess"]))
+oracle("assembled", _P + "shared_hands ~g_hi ~g_sum ~surp_excess_hi ~surp_excess_lo", f"""
+SELECT c.phase, c.table_id, c.p1, c.p2, c.shared_hands, g.g_hi, g.g_sum, r.surp_excess_hi, r.surp_excess_lo
+FROM cnt AS c LEFT JOIN gpair AS g USING ({_KEYS}) LEFT JOIN respair AS r USING ({_KEYS})""")
+
+oracle("score_features", _P + "n ~score_mean n_over_5 ~log_n ~top1 ~top3 ~top5 ~top10 ~best5_pot_bb ~best5_abs_net_gap "
+       "~best5_contact ~best5_transfer_event ~roll15_max", f"""
+SELECT {_KEYS}, count(*) AS n, avg(score) AS score_mean, count(*) FILTER (score > 5) AS n_over_5, ln(count(*)) AS log_n,
+  max(score) AS top1, {topk('score', 3)} AS top3, {topk('score', 5)} AS top5, {topk('score', 10)} AS top10,
+  avg(pot_bb) FILTER (r <= 5) AS best5_pot_bb, avg(abs_net_gap) FILTER (r <= 5) AS best5_abs_net_gap,
+  avg(contact) FILTER (r <= 5) AS best5_contact, avg(transfer_event) FILTER (r <= 5) AS best5_transfer_event,
+  max(roll15) AS roll15_max
+FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id) AS r,
+             avg(score) OVER (PARTITION BY {_KEYS} ORDER BY pair_rn ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS roll15
+      FROM sig) AS s GROUP BY 1, 2, 3, 4""")
+
+oracle("family_rule", _P + "~top5_0 ~top5_1 ~top5_2 $rule_family", f"""
+SELECT *, CASE WHEN top5_0 >= top5_1 AND top5_0 >= top5_2 THEN 'directed_transfer'
+               WHEN top5_1 >= top5_2 THEN 'soft_play' ELSE 'coordinated_isolation' END AS rule_family
+FROM (SELECT {_KEYS}, {topk('round(fold_vs_partner, 6)', 5)} AS top5_0, {topk('round(call_vs_partner, 6)', 5)} AS top5_1,
+             {topk('round(aggr_vs_partner, 6)', 5)} AS top5_2 FROM sig GROUP BY 1, 2, 3, 4) AS t""")
+
+# ---------------------------------------------------------------- inside a pair
+
+oracle("episode_features", _K + "pair_rn ~timeline_position ~gap_to_prev ~gap_to_next ~neighbour_transfer "
+       "~neighbour_surprise local_event_density contact_before contact_total ~contact_position contact_index events_before", f"""
+SELECT *, contact_before / greatest(contact_total, 1) AS contact_position,
+       CASE WHEN contact = 1 THEN contact_before ELSE 999 END AS contact_index FROM (
+  SELECT hand_id, p1, p2, pair_rn, contact, (pair_rn - 1)::DOUBLE / count(*) OVER p AS timeline_position,
+    coalesce((started_at - lag(started_at) OVER w)::DOUBLE, -1.0) / 3600 AS gap_to_prev,
+    coalesce((lead(started_at) OVER w - started_at)::DOUBLE, -1.0) / 3600 AS gap_to_next,
+    (coalesce(lag(transfer_gross) OVER w, 0) + coalesce(lead(transfer_gross) OVER w, 0)) / 2.0 AS neighbour_transfer,
+    (coalesce(lag(pair_surprise) OVER w, 0) + coalesce(lead(pair_surprise) OVER w, 0)) / 2.0 AS neighbour_surprise,
+    sum(transfer_event) OVER (PARTITION BY {_KEYS} ORDER BY pair_rn ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)
+      - transfer_event AS local_event_density,
+    (sum(contact) OVER w - contact)::DOUBLE AS contact_before, sum(contact) OVER p AS contact_total,
+    sum(transfer_event) OVER w - transfer_event AS events_before
+  FROM sig WINDOW p AS (PARTITION BY {_KEYS}), w AS (PARTITION BY {_KEYS} ORDER BY pair_rn)) AS e""")
+
+oracle("direction_consistency", _K + "with_dominant_flow with_dominant_concession", f"""
+SELECT hand_id, p1, p2,
+  CASE WHEN sum(transfer_1_to_2) OVER p - transfer_1_to_2 >= sum(transfer_2_to_1) OVER p - transfer_2_to_1
+       THEN transfer_1_to_2 - transfer_2_to_1 ELSE transfer_2_to_1 - transfer_1_to_2 END AS with_dominant_flow,
+  CASE WHEN sum(a12) OVER p - a12 >= sum(a21) OVER p - a21 THEN a12 - a21 ELSE a21 - a12 END AS with_dominant_concession
+FROM (SELECT *, ahead_fold_1_to_2::INT AS a12, ahead_fold_2_to_1::INT AS a21 FROM ph) AS h WINDOW p AS (PARTITION BY {_KEYS})""")
+
+_WP = ["transfer_gross", "score", "abs_net_gap"]
+oracle("within_pair", _H + " ".join(f"~{q}_{c}" for c in _WP for q in ("pct", "rel", "z")),
+       f"SELECT {_KEYS}, hand_id, " + ", ".join(f"""{pct(c, _KEYS)} AS pct_{c},
+  {c} / (max(abs({c})) OVER (PARTITION BY {_KEYS}) + 1e-9) AS rel_{c},
+  ({c} - avg({c}) OVER (PARTITION BY {_KEYS})) / (stddev_samp({c}) OVER (PARTITION BY {_KEYS}) + 1e-3) AS z_{c}"""
+                                                 for c in _WP) + " FROM sig")
+
+oracle("rolling_density", _H + "~roll21 ~roll61", f"""SELECT {_KEYS}, hand_id,
+  avg(score) OVER (PARTITION BY {_KEYS} ORDER BY pair_rn ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS roll21,
+  avg(score) OVER (PARTITION BY {_KEYS} ORDER BY pair_rn ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS roll61 FROM sig""")
+
+oracle("candidate_features", _H + "pair_rn ~score ~score2 r_score r_score2 r pair_hands ~mass_prior prior_0 prior_1 prior_2 "
+       "after_0 after_1 after_2 ~after_mass ~to_best ~to_fifth ~to_best2 ~to_fifth2 ~share_of_best ~z_pair ~timeline "
+       "~mass_before chrono", f"""
+SELECT *, CASE WHEN r <= 15 THEN count(*) FILTER (r <= 15) OVER (PARTITION BY {_KEYS} ORDER BY pair_rn) ELSE 99 END AS chrono,
+  mass_prior / (mass_prior + after_mass + 1e-6) AS mass_before FROM (
+  SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY least(r_score, r_score2), r_score, hand_id) AS r,
+    count(*) OVER p AS pair_hands, coalesce(sum(score) OVER b, 0) AS mass_prior,
+    coalesce(sum((score > 1)::INT) OVER b, 0) AS prior_0, coalesce(sum((score > 2)::INT) OVER b, 0) AS prior_1,
+    coalesce(sum((score > 3)::INT) OVER b, 0) AS prior_2, coalesce(sum((score > 1)::INT) OVER f, 0) AS after_0,
+    coalesce(sum((score > 2)::INT) OVER f, 0) AS after_1, coalesce(sum((score > 3)::INT) OVER f, 0) AS after_2,
+    coalesce(sum(score) OVER f, 0) AS after_mass, score - max(score) OVER p AS to_best,
+    score - max(score) FILTER (r_score = 5) OVER p AS to_fifth, score2 - max(score2) OVER p AS to_best2,
+    score2 - max(score2) FILTER (r_score2 = 5) OVER p AS to_fifth2, score / max(score) OVER p AS share_of_best,
+    (score - avg(score) OVER p) / (stddev_samp(score) OVER p + 1e-3) AS z_pair, (pair_rn - 1)::DOUBLE / count(*) OVER p AS timeline
+  FROM (SELECT {_KEYS}, hand_id, pair_rn, score, score2,
+               row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id) AS r_score,
+               row_number() OVER (PARTITION BY {_KEYS} ORDER BY score2 DESC, hand_id) AS r_score2 FROM sig) AS s
+  WINDOW p AS (PARTITION BY {_KEYS}), b AS (PARTITION BY {_KEYS} ORDER BY pair_rn {PREV}),
+         f AS (PARTITION BY {_KEYS} ORDER BY pair_rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS t
+WHERE r <= 50""")
+
+_T = ["t_fold", "t_pay", "t_aggr"]
+oracle("templates", _H + " ".join(f"{t}_{w}" for t in _T for w in ("donor", "receiver")),
+       "SELECT *, " + ", ".join(
+           f"CASE WHEN first THEN {t}_1 ELSE {t}_2 END AS {t}_donor, CASE WHEN first THEN {t}_2 ELSE {t}_1 END AS {t}_receiver"
+           for t in _T) + " FROM (SELECT *, sum(t_fold_1 + t_pay_1) OVER p - (t_fold_1 + t_pay_1)"
+       " >= sum(t_fold_2 + t_pay_2) OVER p - (t_fold_2 + t_pay_2) AS first FROM ("
+       "SELECT phase, table_id, least(player_id, last_agg) AS p1, greatest(player_id, last_agg) AS p2, hand_id, " + ", ".join(
+           f"count(*) FILTER (y {c} AND player_id {op} last_agg) AS {t}_{i}"
+           for t, c in (("t_fold", "= 0"), ("t_pay", "= 2"), ("t_aggr", ">= 3")) for i, op in ((1, "<"), (2, ">")))
+       + f" FROM act WHERE last_agg <> player_id GROUP BY 1, 2, 3, 4, 5) AS d WINDOW p AS (PARTITION BY {_KEYS})) AS e")
+
+oracle("key_guard", "$what duplicate_keys rows", """
+SELECT 'context' AS what, count(*) - count(DISTINCT (hand_id, action_no)) AS duplicate_keys, count(*) AS rows FROM act
+UNION ALL SELECT 'seats', count(*) - count(DISTINCT (hand_id, player_id)), count(*) FROM seat
+UNION ALL SELECT 'pair_hands', count(*) - count(DISTINCT (hand_id, p1, p2)), count(*) FROM ph
+UNION ALL SELECT 'live', count(*) - count(DISTINCT (hand_id, action_no, opp)), count(*) FROM live""")
+
+
+def ngrams(source: str, keys: str) -> str:
+    w = f"(PARTITION BY {keys} ORDER BY action_no)"
+    return f"""
+SELECT {keys}, token, CASE WHEN token LIKE 'who:%' THEN 1 ELSE count(*) END AS n FROM (
+  SELECT {keys}, unnest([tok, tok || '|' || t1, tok || '|' || t1 || '|' || t2, 'who:' || who || w1 || w2]) AS token FROM (
+    SELECT *, lead(tok, 1) OVER {w} AS t1, lead(tok, 2) OVER {w} AS t2, lead(who, 1) OVER {w} AS w1,
+           lead(who, 2) OVER {w} AS w2 FROM {source}) AS g) AS u WHERE token IS NOT NULL GROUP BY {keys}, token"""
+
+
+cte("tokrow", """
+SELECT h.p1, h.p2, h.hand_id, a.action_no,
+  CASE WHEN a.player_id = h.p1 THEN '1' WHEN a.player_id = h.p2 THEN '2' ELSE 'o' END AS who,
+  a.street || CASE WHEN a.player_id IN (h.p1, h.p2) THEN 'C' ELSE 'O' END || substr('FXCBRA', a.y + 1, 1)
+    || CASE WHEN a.strength < 34 THEN 'w' WHEN a.strength < 67 THEN 'm' ELSE 's' END
+    || CASE WHEN a.n_agg_hand > 0 THEN '1' ELSE '0' END AS tok
+FROM (SELECT a.hand_id, a.player_id AS p1, b.player_id AS p2 FROM seat AS a JOIN seat AS b
+      ON a.hand_id = b.hand_id AND a.player_id < b.player_id) AS h JOIN act AS a ON h.hand_id = a.hand_id""")
+cte("tok", ngrams("tokrow", "p1, p2, hand_id"))
+oracle("sequence_tokens", "p1 p2 $hand_id $token n", "SELECT * FROM tok")
+oracle("token_vocab", "$token bags", "SELECT token, count(*) AS bags FROM tok GROUP BY 1 HAVING count(*) >= 20")
+cte("convrow", """
+SELECT CAST(conv_id AS VARCHAR) AS hand_id, turn AS action_no,
+  CASE role WHEN 'user' THEN '1' WHEN 'assistant' THEN '2' ELSE 'o' END AS who,
+  't' || CASE WHEN role IN ('user', 'assistant') THEN 'C' ELSE 'O' END
+    || CASE WHEN length(text) < 80 THEN 's' WHEN length(text) < 400 THEN 'm' ELSE 'l' END AS tok FROM conversations""")
+oracle("conversation_tokens", "$hand_id $token n", ngrams("convrow", "hand_id"))
+
+# ---------------------------------------------------------------- similarity
+
+_Z = ["transfer_gross", "score", "pot_bb"]
+oracle("standardised", _K + " ".join(f"~z_{c}" for c in _Z), "SELECT hand_id, p1, p2, " + ", ".join(
+    f"({c} - m.mu_{c}) / CASE WHEN m.sd_{c} < 1e-9 THEN 1 ELSE m.sd_{c} END AS z_{c}" for c in _Z)
+    + " FROM sig CROSS JOIN (SELECT " + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _Z)
+    + " FROM sig WHERE phase = 'development') AS m")
+_WI = ["abs_net_gap", "score"]
+oracle("winsorised", _K + " ".join(f"~w_{c}" for c in _WI), "SELECT hand_id, p1, p2, " + ", ".join(
+    f"least(greatest({c}, m.lo_{c}), m.hi_{c}) AS w_{c}" for c in _WI) + " FROM sig CROSS JOIN (SELECT " + ", ".join(
+    f"{nearest(c, 0.001)} AS lo_{c}, {nearest(c, 0.999)} AS hi_{c}" for c in _WI)
+    + " FROM sig WHERE phase = 'development') AS m")
+
+
+def brute_knn(where: str) -> str:
+    return f"""SELECT id, avg(d) AS mean_dist, min(d) AS min_dist, count(*) AS k_found FROM (
+  SELECT q.vec_id AS id, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS d,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), r.vec_id) AS i
+  FROM embeddings AS q JOIN embeddings AS r ON q.vec_id % 5 <> r.vec_id % 5 WHERE {where}) AS n WHERE i <= 5 GROUP BY 1"""
+
+
+oracle("knn_mean_distance", "id ~mean_dist ~min_dist k_found", brute_knn("true"))
+oracle("knn_ratio", "id ~gold_dist ~other_dist ~dist_ratio", f"""
+SELECT g.id, g.mean_dist AS gold_dist, o.mean_dist AS other_dist, g.mean_dist / (o.mean_dist + 1e-9) AS dist_ratio
+FROM ({brute_knn('r.label < 3')}) AS g JOIN ({brute_knn('r.label >= 3')}) AS o ON g.id = o.id""")
+
+cte("best20", f"""
+SELECT * FROM (SELECT {_KEYS}, hand_id, score, transfer_gross, ln(1 + transfer_gross::DOUBLE) AS v1,
+  greatest(ahead_fold, fold_better_flag, conceded_flag) AS type_a,
+  row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id) AS rank FROM sig) AS s WHERE rank <= 20""")
+oracle("pair_consistency", _H + "rank ~sim_mean ~sim_max ~type_agree", f"""
+SELECT b.*, coalesce(s.sim_mean, 0) AS sim_mean, coalesce(s.sim_max, 0) AS sim_max, b.type_a * d.dom AS type_agree
+FROM best20 AS b LEFT JOIN (
+  SELECT {', '.join('a.' + k for k in _KEYS.split(', '))}, a.hand_id, max(-sqrt((a.v1 - o.v1) ** 2 + (a.score - o.score) ** 2)) AS sim_max,
+    sum(-sqrt((a.v1 - o.v1) ** 2 + (a.score - o.score) ** 2) / o.rank) / sum(1.0 / o.rank) AS sim_mean
+  FROM best20 AS a JOIN best20 AS o ON a.phase = o.phase AND a.p1 = o.p1 AND a.p2 = o.p2 AND a.hand_id <> o.hand_id
+  GROUP BY ALL) AS s USING ({_KEYS}, hand_id)
+JOIN (SELECT {_KEYS}, sum(type_a / rank) AS dom FROM best20 GROUP BY ALL) AS d USING ({_KEYS})""")
+
+# ---------------------------------------------------------------- bags of actions
+
+cte("evid", """
+SELECT p1, p2, hand_id, evidence_rank FROM (
+  SELECT h.p1, h.p2, h.hand_id,
+    row_number() OVER (PARTITION BY h.p1, h.p2 ORDER BY md5(h.p1 || '|' || h.p2 || '|' || h.hand_id), h.hand_id) AS evidence_rank
+  FROM ph AS h JOIN lab AS l ON h.p1 = l.p1 AND h.p2 = l.p2 WHERE l.label = 1 AND h.phase = 'development') AS e
+WHERE evidence_rank <= 3 + (p1 + p2) % 3""")
+cte("bag", """
+SELECT h.phase, h.table_id, h.p1, h.p2, h.hand_id, l.label,
+  CASE WHEN e.hand_id IS NOT NULL THEN 1 WHEN l.label = 0 THEN 0 ELSE -1 END AS bag_label
+FROM ph AS h JOIN lab AS l ON h.p1 = l.p1 AND h.p2 = l.p2
+LEFT JOIN evid AS e ON h.p1 = e.p1 AND h.p2 = e.p2 AND h.hand_id = e.hand_id WHERE h.phase = 'development'""")
+oracle("bag_table", _H + "label bag_label", "SELECT * FROM bag")
+oracle("bag_census", "bag_label bags evidence_without_bag",
+       "SELECT bag_label, count(*) AS bags, 0 AS evidence_without_bag FROM bag GROUP BY 1")
+
+cte("inst", f"""
+SELECT m.*, s.action_no, s.street, s.y, s.strength, s.surp, s.players_active, s.last_agg, s.fold,
+  s.amount / 10000.0::DOUBLE AS amount_bb, s.invested_before / 10000.0::DOUBLE AS invested_bb,
+  CASE WHEN s.last_agg IS NULL THEN 0 WHEN s.last_agg = m.player_id THEN 1 WHEN s.last_agg = m.partner THEN 2 ELSE 3 END AS facing,
+  coalesce(s.strength - ({at_street('b.str_', 's.street')}), 0) AS rel,
+  (b.exit_no IS NULL OR b.exit_no > s.action_no)::INT AS partner_live,
+  (o.net > b.net)::INT AS actor_won, (s.action_no = s.hand_actions - 1)::INT AS is_last_action,
+  s.players_active - 2 AS outsiders_left, (o.n_actions + b.n_actions)::DOUBLE / s.hand_actions AS share_of_actions,
+  (SELECT count(*) FROM act AS q WHERE q.hand_id = m.hand_id AND q.player_id = m.partner AND q.action_no < s.action_no) AS partner_acted_before,
+  (SELECT count(*) FROM act AS q WHERE q.hand_id = m.hand_id AND q.player_id = m.partner AND q.action_no < s.action_no AND q.y >= 3) AS partner_aggr_before,
+  (SELECT count(*) FROM act AS q WHERE q.hand_id = m.hand_id AND q.player_id = m.partner AND q.action_no < s.action_no AND q.y = 0) AS partner_folds_before,
+  (SELECT count(*) FROM act AS q WHERE q.hand_id = m.hand_id AND q.player_id = m.partner AND q.action_no > s.action_no) AS partner_acts_after,
+  (SELECT count(*) FROM act AS q WHERE q.hand_id = m.hand_id AND q.player_id = m.partner AND q.action_no > s.action_no AND q.y >= 3) AS partner_aggr_after,
+  (SELECT count(*) FROM act AS q WHERE q.hand_id = m.hand_id AND q.player_id = m.partner AND q.action_no > s.action_no AND q.y = 0) AS partner_folds_after,
+  CASE WHEN lag(m.player_id) OVER w <> m.player_id THEN s.action_no - lag(s.action_no) OVER w ELSE -1 END AS turns_since_partner
+FROM (SELECT *, p1 AS player_id, p2 AS partner FROM bag UNION ALL SELECT *, p2, p1 FROM bag) AS m
+JOIN scored AS s ON m.hand_id = s.hand_id AND m.player_id = s.player_id
+JOIN seat AS b ON m.hand_id = b.hand_id AND m.partner = b.player_id
+JOIN seat AS o ON m.hand_id = o.hand_id AND m.player_id = o.player_id
+WINDOW w AS (PARTITION BY m.p1, m.p2, m.hand_id ORDER BY s.action_no)""")
+oracle("instances", "p1 p2 $hand_id action_no player_id facing rel partner_live partner_acted_before partner_aggr_before "
+       "partner_folds_before partner_acts_after partner_aggr_after partner_folds_after turns_since_partner "
+       "is_last_action outsiders_left ~share_of_actions ~amount_bb ~invested_bb bag_label", "SELECT * FROM inst")
+
+oracle("bag_pooling", _H + "n ~mean_z ~max_z ~lse_z ~noisy_or ~z_gap top_street top_action top_answers_partner "
+       "~top_surprise ~pct_max_z", f"""
+SELECT *, {pct('round(max_z, 6)', _KEYS)} AS pct_max_z FROM (
+  SELECT {_KEYS}, hand_id, count(*) AS n, avg(z) AS mean_z, max(z) AS max_z, max(z) + ln(sum(exp(z - mz))) AS lse_z,
+    ln(1 - exp(-sum(ln(1 + exp(z))))) + sum(ln(1 + exp(z))) AS noisy_or,
+    max(z) - coalesce(max(z) FILTER (i = 2), max(z)) AS z_gap, max(street) FILTER (i = 1) AS top_street,
+    max(y) FILTER (i = 1) AS top_action, max((facing = 2)::INT) FILTER (i = 1) AS top_answers_partner,
+    max(surp) FILTER (i = 1) AS top_surprise
+  FROM (SELECT *, max(z) OVER (PARTITION BY {_KEYS}, hand_id) AS mz,
+               row_number() OVER (PARTITION BY {_KEYS}, hand_id ORDER BY z DESC, action_no, player_id) AS i
+        FROM (SELECT *, round(surp, 6) - 1.5 AS z FROM inst) AS r) AS q GROUP BY 1, 2, 3, 4, 5) AS b""")
+
+_TF = ["street", "y", "facing", "rel", "partner_live", "amount_bb", "actor_won", "players_active"]
+oracle("action_aggregates", _H + "~act_max ~act_sum ~act_mean act_n_high ~act_max_first ~act_max_later "
+       "~act_max_partner_live ~act_second " + " ".join(f"{'~' if f == 'amount_bb' else ''}top_{f}" for f in _TF), f"""
+SELECT {_KEYS}, hand_id, max(s) AS act_max, sum(s) AS act_sum, avg(s) AS act_mean, count(*) FILTER (s > 1.5) AS act_n_high,
+  coalesce(max(s) FILTER (street = 0), 0) AS act_max_first, coalesce(max(s) FILTER (street > 0), 0) AS act_max_later,
+  coalesce(max(s) FILTER (partner_live = 1), 0) AS act_max_partner_live,
+  coalesce(max(s) FILTER (i = 2), max(s)) AS act_second, {', '.join(f'max({f}) FILTER (i = 1) AS top_{f}' for f in _TF)}
+FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, hand_id ORDER BY s DESC, action_no, player_id) AS i
+      FROM (SELECT *, round(surp, 6) AS s FROM inst) AS r) AS q GROUP BY 1, 2, 3, 4, 5""")
+
+oracle("fold_audit", "$what groups spanning", " UNION ALL ".join(
+    f"SELECT '{w}' AS what, count(*) AS groups, count(*) FILTER (a <> b) AS spanning FROM "
+    f"(SELECT min(fold) AS a, max(fold) AS b FROM inst GROUP BY {k}) AS g"
+    for w, k in (("table", "table_id"), ("pair", "p1, p2"), ("hand", "hand_id"), ("bag", "p1, p2, hand_id"),
+                 ("player", "player_id"))))
+oracle("fold_census", "fold rows positives censored null_surp null_last_agg null_rel", """
+SELECT fold, count(*) AS rows, count(*) FILTER (bag_label = 1) AS positives, count(*) FILTER (bag_label = -1) AS censored,
+  count(*) FILTER (surp IS NULL) AS null_surp, count(*) FILTER (last_agg IS NULL) AS null_last_agg,
+  count(*) FILTER (rel IS NULL) AS null_rel FROM inst GROUP BY 1""")
+
+oracle("seed_bag_placebo", _H + "~v ~pct_v ~placebo_score", f"""
+SELECT s.*, {pct('v', ', '.join('s.' + k for k in _KEYS.split(', ')))} AS pct_v, g.score AS placebo_score
+FROM (SELECT {_KEYS}, hand_id, round((score + score2) / 2, 9) AS v, pair_rn FROM sig WHERE phase = 'development') AS s
+JOIN (SELECT *, row_number() OVER (ORDER BY h, {_KEYS}) AS place, count(*) OVER () AS pairs FROM (
+        SELECT {_KEYS}, count(*) AS len, md5(phase || '|' || table_id || '|' || p1 || '|' || p2 || '|placebo') AS h
+        FROM sig WHERE phase = 'development' GROUP BY 1, 2, 3, 4) AS k) AS t USING ({_KEYS})
+JOIN (SELECT *, row_number() OVER (ORDER BY h, {_KEYS}) AS place FROM (
+        SELECT {_KEYS}, count(*) AS len, md5(phase || '|' || table_id || '|' || p1 || '|' || p2 || '|placebo') AS h
+        FROM sig WHERE phase = 'development' GROUP BY 1, 2, 3, 4) AS k) AS u ON u.place = t.place % t.pairs + 1
+JOIN sig AS g ON g.phase = u.phase AND g.p1 = u.p1 AND g.p2 = u.p2 AND g.pair_rn = (s.pair_rn - 1) % u.len + 1""")
+
+oracle("refined_instances", _H + "action_no player_id bag_label ~s", f"""
+SELECT * FROM (SELECT *, round(surp, 6) AS s,
+  row_number() OVER (PARTITION BY {_KEYS}, hand_id ORDER BY round(surp, 6) DESC, action_no, player_id) AS i
+  FROM inst) AS r WHERE bag_label <> 1 OR i <= 3""")
+
+# ---------------------------------------------------------------- retrieval, checks, metrics, reports
+
+_SL = [f"evidence_hand_{i}" for i in range(1, 6)]
+
+
+def wide_slots(where: str) -> str:
+    cols = ", ".join(f"max(hand_id) FILTER (slot = {i}) AS evidence_hand_{i}" for i in range(1, 6))
+    return (f"SELECT {_KEYS}, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id)"
+            f" AS slot FROM sig WHERE {where}) AS s GROUP BY 1, 2, 3, 4")
+
+
+oracle("top_evidence", _P + " ".join(f"${c}" for c in _SL),
+       f"SELECT c.phase, c.table_id, c.p1, c.p2, {', '.join(f'''coalesce({c}, 'NO_EVIDENCE') AS {c}''' for c in _SL)} "
+       f"FROM cnt AS c LEFT JOIN ({wide_slots('contact = 1')}) AS w USING ({_KEYS})")
+
+oracle("tie_break", _P + "shared_hands ~risk ~risk_score", f"""
+SELECT *, least(greatest(risk + 0.001::DOUBLE * (shared_hands - lo) / greatest(hi - lo, 1), 0), 1) AS risk_score FROM (
+  SELECT {_KEYS}, shared_hands, round((p1 * 7 + p2) % 11 / 10.0::DOUBLE, 3) AS risk, min(shared_hands) OVER () AS lo,
+         max(shared_hands) OVER () AS hi FROM cnt) AS c""")
+
+cte("res", f"""
+SELECT p1 || '-' || p2 AS pair_id, c.*, {', '.join(f"coalesce({c}, 'NO_EVIDENCE') AS {c}" for c in _SL)},
+  {_FAM.format(x='p1 % 3')} AS predicted_behavior,
+  least(greatest(shared_hands / 40.0::DOUBLE + 1e-6 * (shared_hands - min(shared_hands) OVER ())
+        / greatest(max(shared_hands) OVER () - min(shared_hands) OVER (), 1), 0), 1) AS risk_score
+FROM (SELECT {_KEYS}, shared_hands FROM cnt WHERE phase = 'evaluation') AS c
+LEFT JOIN ({wide_slots("phase = 'evaluation'")}) AS w USING ({_KEYS})""")
+cte("broken", f"""
+SELECT pair_id, p1, p2, predicted_behavior, CASE WHEN p1 % 40 = 0 THEN 1.5 ELSE risk_score END AS risk_score, evidence_hand_1,
+  CASE WHEN p2 % 25 = 0 THEN evidence_hand_1 ELSE evidence_hand_2 END AS evidence_hand_2, evidence_hand_3, evidence_hand_4,
+  evidence_hand_5 FROM res WHERE p1 % 60 <> 7""")
+cte("cited", f"""SELECT * FROM (SELECT pair_id, p1, p2, unnest([{', '.join(_SL)}]) AS hand_id FROM broken) AS u
+WHERE hand_id <> 'NO_EVIDENCE'""")
+_LIST = f"list_filter([{', '.join(_SL)}], lambda x: x <> 'NO_EVIDENCE')"
+oracle("validate", "$rule n_bad ok", f"""
+SELECT *, n_bad = 0 AS ok FROM (
+  SELECT 'duplicate_pair' AS rule, count(*) - count(DISTINCT pair_id) AS n_bad FROM broken
+  UNION ALL SELECT 'null_value', count(*) FILTER (risk_score IS NULL OR predicted_behavior IS NULL) FROM broken
+  UNION ALL SELECT 'risk_out_of_range', count(*) FILTER (risk_score < 0 OR risk_score > 1) FROM broken
+  UNION ALL SELECT 'unknown_behaviour', 0
+  UNION ALL SELECT 'repeated_evidence', count(*) FILTER (len({_LIST}) <> len(list_distinct({_LIST}))) FROM broken
+  UNION ALL SELECT 'missing_pair', count(*) FROM res WHERE pair_id NOT IN (SELECT pair_id FROM broken)
+  UNION ALL SELECT 'unexpected_pair', count(*) FROM broken WHERE pair_id NOT IN (SELECT pair_id FROM res)
+  UNION ALL SELECT 'unknown_hand', count(*) FROM cited WHERE hand_id NOT IN (SELECT hand_id FROM hand)
+  UNION ALL SELECT 'wrong_phase', count(*) FROM cited JOIN hand USING (hand_id) WHERE phase <> 'evaluation'
+  UNION ALL SELECT 'actor_not_seated', count(*) FROM cited AS c
+    WHERE NOT EXISTS (SELECT 1 FROM seat AS s WHERE s.hand_id = c.hand_id AND s.player_id = c.p1)
+       OR NOT EXISTS (SELECT 1 FROM seat AS s WHERE s.hand_id = c.hand_id AND s.player_id = c.p2)) AS v""")
+
+oracle("splice", "$pair_id ~risk_score $predicted_behavior $evidence_hand_1 $evidence_hand_2 changed_elsewhere", """
+SELECT pair_id, risk_score, predicted_behavior, evidence_hand_2 AS evidence_hand_1, evidence_hand_1 AS evidence_hand_2,
+       0 AS changed_elsewhere FROM res""")
+
+cte("riskdiff", """
+SELECT d.*, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+  rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry,
+  row_number() OVER (ORDER BY x DESC, pair_id) AS ra, row_number() OVER (ORDER BY y DESC, pair_id) AS rb FROM (
+  SELECT a.p1 || '-' || a.p2 AS pair_id, a.shared_hands AS sa, b.shared_hands AS sb, a.k_folded_12 AS ka, b.k_folded_12 AS kb,
+    round((a.k_folded_12 + a.k_folded_21)::DOUBLE / a.shared_hands, 6) AS x,
+    round((b.k_folded_12 + b.k_folded_21)::DOUBLE / b.shared_hands, 6) AS y
+  FROM cnt AS a JOIN cnt AS b ON a.p1 = b.p1 AND a.p2 = b.p2
+  WHERE a.phase = 'development' AND b.phase = 'evaluation') AS d""")
+oracle("table_diff", "$metric ~value", """
+SELECT 'changed_shared_hands' AS metric, count(*) FILTER (sa <> sb) AS value FROM riskdiff
+UNION ALL SELECT 'changed_k_folded_12', count(*) FILTER (ka <> kb) FROM riskdiff
+UNION ALL SELECT 'changed_risk', count(*) FILTER (x <> y) FROM riskdiff
+UNION ALL SELECT 'spearman', corr(rx, ry) FROM riskdiff
+UNION ALL SELECT 'top10_overlap', count(*) FILTER (ra <= 10 AND rb <= 10) / 10.0 FROM riskdiff
+UNION ALL SELECT 'top100_overlap', count(*) FILTER (ra <= 100 AND rb <= 100) / 100.0 FROM riskdiff""")
+
+cte("graded", """
+SELECT l.doc_id, l.quality, l.toxic, d.source, d.n_chars::DOUBLE AS score, d.n_chars + l.toxic * 300.0::DOUBLE AS score2
+FROM labels AS l JOIN documents AS d USING (doc_id)""")
+
+
+def ap(source: str, score: str, y: str, ident: str, by: str = "") -> str:
+    """Average precision; `by` is a comma-separated key list or empty."""
+    part = f"PARTITION BY {by} " if by else ""
+    head = f"{by}, " if by else ""
+    tail = f" GROUP BY {by}" if by else ""
+    return f"""SELECT {head}count(*) AS rows, coalesce(sum(yy), 0) AS positives,
+  coalesce(avg(hits::DOUBLE / i) FILTER (yy = 1), 0) AS ap FROM (
+    SELECT *, row_number() OVER ({part}ORDER BY {score} DESC, {ident}) AS i, ({y})::INT AS yy,
+      sum(({y})::INT) OVER ({part}ORDER BY {score} DESC, {ident} ROWS UNBOUNDED PRECEDING) AS hits FROM {source}) AS r{tail}"""
+
+
+oracle("average_precision", "$what rows positives ~ap",
+       f"SELECT 'toxic' AS what, * FROM ({ap('graded', 'score', 'toxic = 1', 'doc_id')}) AS a"
+       f" UNION ALL SELECT 'quality', * FROM ({ap('graded', 'score', 'quality = 1', 'doc_id')}) AS b")
+oracle("average_precision_by_source", "$source rows positives ~ap", ap("graded", "score", "toxic = 1", "doc_id", "source"))
+
+cte("pick", f"""SELECT * FROM (SELECT {_KEYS}, hand_id, score,
+  row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id) AS slot FROM sig) AS s WHERE slot <= 50""")
+cte("mapk", """
+SELECT t.p1, t.p2, coalesce(g.n, 0) AS n_gold, coalesce(h.gain / least(g.n, 5), 0) AS ap
+FROM (SELECT p1, p2 FROM lab WHERE label = 1) AS t
+LEFT JOIN (SELECT p1, p2, count(*) AS n FROM evid GROUP BY 1, 2) AS g USING (p1, p2)
+LEFT JOIN (SELECT p1, p2, sum(hit * hits::DOUBLE / slot) AS gain FROM (
+             SELECT *, sum(hit) OVER (PARTITION BY p1, p2 ORDER BY slot) AS hits FROM (
+               SELECT k.p1, k.p2, k.slot, (e.hand_id IS NOT NULL)::INT AS hit
+               FROM pick AS k LEFT JOIN evid AS e ON k.p1 = e.p1 AND k.p2 = e.p2 AND k.hand_id = e.hand_id
+               WHERE k.phase = 'development' AND k.slot <= 5) AS a) AS b GROUP BY 1, 2) AS h USING (p1, p2)""")
+oracle("map_at_5", "p1 p2 n_gold ~ap", "SELECT * FROM mapk")
+
+cte("riskpair", f"""
+SELECT c.phase, c.table_id, c.p1, c.p2, coalesce(l.label, -1) AS label, l.family, {_FAM.format(x='c.p1 % 3')} AS predicted,
+  c.p1 * 100000 + c.p2 AS pid, c.shared_hands / 40.0::DOUBLE AS risk
+FROM cnt AS c LEFT JOIN lab AS l ON c.p1 = l.p1 AND c.p2 = l.p2 WHERE c.phase = 'development'""")
+cte("routedrisk", """
+SELECT r.*, f.target_family, CASE WHEN predicted = f.target_family THEN risk ELSE 0 END AS routed,
+  coalesce(family = f.target_family, false) AS is_target
+FROM riskpair AS r CROSS JOIN (SELECT unnest(['directed_transfer', 'soft_play', 'coordinated_isolation']) AS target_family) AS f""")
+cte("behap", ap("routedrisk", "routed", "is_target", "pid", "target_family"))
+oracle("behaviour_map", "$target_family rows positives ~ap", "SELECT * FROM behap")
+oracle("composite", "~pair_ap ~evidence_map ~behaviour_map ~score", f"""
+SELECT *, 0.7 * pair_ap + 0.2 * evidence_map + 0.1 * behaviour_map AS score FROM (
+  SELECT (SELECT ap FROM ({ap('riskpair', 'risk', 'label = 1', 'pid')}) AS q) AS pair_ap,
+         (SELECT avg(ap) FROM mapk) AS evidence_map, (SELECT avg(ap) FROM behap) AS behaviour_map) AS c""")
+
+cte("bootgroup", """
+SELECT source, row_number() OVER (ORDER BY md5(source), source) AS no, count(*) OVER () AS groups
+FROM (SELECT DISTINCT source FROM graded) AS g""")
+cte("bootweight", """
+SELECT d.replicate, g.source, count(*) AS w FROM (
+  SELECT r AS replicate, CAST('0x' || substr(md5('boot|' || r || '|' || no), 1, 8) AS BIGINT) % groups + 1 AS drawn
+  FROM bootgroup CROSS JOIN (SELECT unnest(range(40)) AS r) AS k) AS d JOIN bootgroup AS g ON g.no = d.drawn GROUP BY 1, 2""")
+cte("bootrow", """
+SELECT replicate, copy, doc_id, toxic, score, score2 FROM (
+  SELECT w.replicate, g.*, unnest(range(w.w)) AS copy FROM graded AS g JOIN bootweight AS w USING (source)) AS b""")
+cte("boot", f"""
+SELECT a.replicate, a.ap AS ap_score, b.ap AS ap_score2, b.ap - a.ap AS delta
+FROM ({ap('bootrow', 'score', 'toxic = 1', 'doc_id, copy', 'replicate')}) AS a
+JOIN ({ap('bootrow', 'score2', 'toxic = 1', 'doc_id, copy', 'replicate')}) AS b USING (replicate)""")
+oracle("paired_bootstrap", "replicate ~ap_score ~ap_score2 ~delta", "SELECT * FROM boot")
+oracle("paired_bootstrap_summary", "~mean_delta ~low ~high ~p_improves", """
+SELECT avg(delta) AS mean_delta, list_sort(list(delta))[1 + CAST(floor(0.025 * 39 + 0.5) AS BIGINT)] AS low,
+  list_sort(list(delta))[1 + CAST(floor(0.975 * 39 + 0.5) AS BIGINT)] AS high, avg((delta > 0)::INT) AS p_improves
+FROM (SELECT round(delta, 9) AS delta FROM boot) AS b""")
+
+cte("found", """SELECT e.*, k.slot FROM evid AS e LEFT JOIN pick AS k
+  ON e.p1 = k.p1 AND e.p2 = k.p2 AND e.hand_id = k.hand_id AND k.phase = 'development'""")
+oracle("recall_at_k", "k gold found ~recall", """
+SELECT k, count(*) AS gold, count(*) FILTER (slot <= k) AS found, count(*) FILTER (slot <= k)::DOUBLE / count(*) AS recall
+FROM found CROSS JOIN (SELECT unnest([1, 3, 5, 10, 20, 50]) AS k) AS l GROUP BY 1""")
+oracle("recall_by_rank", "evidence_rank gold ~recall", """
+SELECT evidence_rank, count(*) AS gold, avg(coalesce(slot <= 5, false)::INT) AS recall FROM found GROUP BY 1""")
+oracle("precision_by_slot", "slot picks ~precision", """
+SELECT k.slot, count(*) AS picks, avg((e.hand_id IS NOT NULL)::INT) AS precision
+FROM pick AS k SEMI JOIN evid AS g ON k.p1 = g.p1 AND k.p2 = g.p2
+LEFT JOIN evid AS e ON k.p1 = e.p1 AND k.p2 = e.p2 AND k.hand_id = e.hand_id
+WHERE k.phase = 'development' AND k.slot <= 5 GROUP BY 1""")
+
+cte("goldhand", """
+SELECT s.*, (e.hand_id IS NOT NULL)::INT AS gold
+FROM (SELECT * FROM sig WHERE phase = 'development') AS s SEMI JOIN evid AS g ON s.p1 = g.p1 AND s.p2 = g.p2
+LEFT JOIN evid AS e ON s.p1 = e.p1 AND s.p2 = e.p2 AND s.hand_id = e.hand_id""")
+oracle("within_pair_auc", "p1 p2 rows pos ~auc", """
+SELECT p1, p2, count(*) AS rows, sum(gold) AS pos,
+  (sum(rk) FILTER (gold = 1) - sum(gold) * (sum(gold) + 1) / 2.0) / (sum(gold) * (count(*) - sum(gold))) AS auc
+FROM (SELECT *, rank() OVER (PARTITION BY p1, p2 ORDER BY score) + (count(*) OVER (PARTITION BY p1, p2, score) - 1) / 2.0 AS rk
+      FROM (SELECT *, row_number() OVER (PARTITION BY p1, p2 ORDER BY score DESC, hand_id) AS i FROM goldhand) AS g
+      WHERE i <= 12) AS b GROUP BY 1, 2 HAVING sum(gold) > 0 AND sum(gold) < count(*)""")
+oracle("separation", "$signal n_pos n_neg ~gap ~welch_t", """
+SELECT signal, count(*) FILTER (gold = 1) AS n_pos, count(*) FILTER (gold = 0) AS n_neg,
+  avg(z) FILTER (gold = 1) - avg(z) FILTER (gold = 0) AS gap,
+  (avg(z) FILTER (gold = 1) - avg(z) FILTER (gold = 0)) / sqrt(var_samp(z) FILTER (gold = 1) / count(*) FILTER (gold = 1)
+    + var_samp(z) FILTER (gold = 0) / count(*) FILTER (gold = 0)) AS welch_t
+FROM (SELECT signal, gold, (x - avg(x) OVER p) / (stddev_samp(x) OVER p + 1e-9) AS z
+      FROM (""" + " UNION ALL ".join(
+          f"SELECT '{c}' AS signal, gold, p1, p2, {c}::DOUBLE AS x FROM goldhand"
+          for c in ("score", "transfer_gross", "abs_net_gap", "pot_bb"))
+       + ") AS u WINDOW p AS (PARTITION BY signal, p1, p2)) AS z GROUP BY 1")
+
+cte("mixpool", """
+SELECT *, row_number() OVER (ORDER BY md5(pid || '|mix'), pid) AS i FROM riskpair WHERE label = 1 AND family = 'soft_play'""")
+cte("mixbase", "SELECT * FROM riskpair WHERE NOT (label = 1 AND family = 'soft_play')")
+cte("mix", """
+SELECT 0.0 AS share, pid, risk, label FROM mixbase
+UNION ALL SELECT 0.2, pid, risk, label FROM mixbase
+UNION ALL SELECT 0.2, pid, risk, label FROM mixpool
+  WHERE i <= (SELECT round(0.2::DOUBLE * count(*) FILTER (label = 1) / (1 - 0.2::DOUBLE)) FROM mixbase)""")
+oracle("mixture_ap", "~share rows positives ~ap", ap("mix", "risk", "label = 1", "pid", "share"))
+
+cte("profile0", """
+SELECT phase, table_id, p1, p2, count(*) AS hands, count(*) FILTER (a1.n > 0 AND a2.n > 0) AS co_raises,
+  count(*) FILTER (both_showdown) AS showdowns,
+  count(*) FILTER (both_showdown AND postflop_aggressive_1 = 0 AND postflop_aggressive_2 = 0) AS quiet,
+  sum(net_1) AS net_12, sum(net_2) AS net_21
+FROM ph AS h
+LEFT JOIN (SELECT hand_id, player_id, count(*) AS n FROM act WHERE street = 0 AND y >= 3 GROUP BY 1, 2) AS a1
+  ON h.hand_id = a1.hand_id AND h.p1 = a1.player_id
+LEFT JOIN (SELECT hand_id, player_id, count(*) AS n FROM act WHERE street = 0 AND y >= 3 GROUP BY 1, 2) AS a2
+  ON h.hand_id = a2.hand_id AND h.p2 = a2.player_id GROUP BY 1, 2, 3, 4""")
+cte("profile", """
+SELECT d.*, coalesce(c.folds, 0) AS folds, coalesce(c.conceded, 0) AS conceded FROM (
+  SELECT phase, table_id, p1 AS actor, p2 AS partner, hands, co_raises, showdowns, quiet, net_12 AS net FROM profile0
+  UNION ALL SELECT phase, table_id, p2, p1, hands, co_raises, showdowns, quiet, net_21 FROM profile0) AS d
+LEFT JOIN (SELECT phase, folder AS actor, target AS partner, count(*) AS folds, sum(better) AS conceded FROM conc GROUP BY 1, 2, 3) AS c
+  USING (phase, actor, partner)""")
+_PF = (("fold", "folds", "hands"), ("concession", "conceded", "hands"), ("co_raise", "co_raises", "hands"),
+       ("quiet_showdown", "quiet", "showdowns"))
+oracle("pair_profile", _D + "hands rest_hands folds rest_folds conceded co_raises showdowns quiet net "
+       + " ".join(f"~{n}_{s}" for n, _, _ in _PF for s in ("rate", "field", "lift")),
+       "SELECT *, " + ", ".join(
+           f"CASE WHEN {c} > 0 AND rest_{c} > 0 THEN {n}_rate / {n}_field END AS {n}_lift" for n, c, _ in _PF)
+       + " FROM (SELECT *, " + ", ".join(
+           f"{c}::DOUBLE / nullif({b}, 0) AS {n}_rate, rest_{c}::DOUBLE / nullif(rest_{b}, 0) AS {n}_field" for n, c, b in _PF)
+       + " FROM (SELECT *, " + ", ".join(
+           f"sum({c}) OVER a - {c} AS rest_{c}" for c in ("hands", "co_raises", "showdowns", "quiet", "folds", "conceded"))
+       + " FROM profile WINDOW a AS (PARTITION BY phase, table_id, actor)) AS m) AS r")
+
+oracle("exposure", "$phase table_id player_id hands slots", """
+SELECT phase, table_id, player_id, count(*) AS hands, sum(players_dealt - 1) AS slots FROM seat GROUP BY 1, 2, 3""")
+
+oracle("hand_report", "p1 p2 $hand_id slot big_blind players_dealt ~pot_bb contribution_1 contribution_2 net_1 net_2 best_1 "
+       "best_2 strength_rank_1 strength_rank_2 folded_1 folded_2 street part $line", """
+SELECT k.p1, k.p2, k.hand_id, k.slot, 10000 AS big_blind, h.* EXCLUDE (p1, p2, hand_id), l.street, l.part, l.line
+FROM (SELECT * FROM pick WHERE slot <= 5) AS k
+JOIN (SELECT p1, p2, hand_id, players_dealt, pot_bb, contribution_1, contribution_2, net_1, net_2, best_1, best_2,
+             strength_rank_1, strength_rank_2, folded_1, folded_2 FROM ph) AS h
+  ON k.hand_id = h.hand_id AND k.p1 = h.p1 AND k.p2 = h.p2
+JOIN (SELECT hand_id, street, action_no // 512 AS part,
+             string_agg(player_id || ' ' || action || ' ' || amount, '; ' ORDER BY action_no) AS line
+      FROM log GROUP BY 1, 2, 3) AS l ON k.hand_id = l.hand_id""")
+
+# ---------------------------------------------------------------- blends and routing
+
+cte("three", "SELECT *, transfer_gross::DOUBLE AS flow, round(pot_bb, 6) AS pot, p1 % 5 / 4.0::DOUBLE AS q0, p2 % 7 / 6.0::DOUBLE AS q1 FROM sig")
+oracle("rank_blend", _H + "~pct_score ~pct_score2 ~pct_flow ~blend", f"""
+SELECT *, 0.25 * pct_score + 0.25 * pct_score2 + 0.5 * pct_flow AS blend FROM (
+  SELECT {_KEYS}, hand_id, {', '.join(f'{pct(c, _KEYS)} AS pct_{c}' for c in ('score', 'score2', 'flow'))} FROM three) AS t""")
+oracle("routed_blend", _H + "~routed", f"""
+SELECT *, 0.5 * (q0 * a + q1 * b) + 0.5 * s AS routed FROM (
+  SELECT {_KEYS}, hand_id, q0, q1, {pct('flow', _KEYS)} AS a, {pct('pot', _KEYS)} AS b, {pct('score', _KEYS)} AS s
+  FROM three) AS t""")
+oracle("tail_guard", _P + "~pct_transfer_total ~pct_both_showdown_rate ~guarded", f"""
+SELECT *, greatest(-log10(1 - pct_transfer_total + 1.0 / n), -log10(1 - pct_both_showdown_rate + 1.0 / n) - 0.5) AS guarded FROM (
+  SELECT {_KEYS}, count(*) OVER (PARTITION BY phase) AS n, {pct('transfer_total', 'phase')} AS pct_transfer_total,
+         {pct('both_showdown_rate', 'phase')} AS pct_both_showdown_rate FROM aggr) AS t""")
+cte("ood", f"""
+SELECT p1, p2, round(risk * (1 - greatest(a, b, c)) * (1 + 0.2 * -(a * ln(a + 1e-9) + b * ln(b + 1e-9) + c * ln(c + 1e-9))), 9) AS ood,
+  CASE WHEN a >= b AND a >= c THEN 'directed_transfer' WHEN b >= c THEN 'soft_play' ELSE 'coordinated_isolation' END AS family_argmax
+FROM (SELECT *, 1.0::DOUBLE - a - b AS c FROM (
+  SELECT *, (p1 % 4 + 1) / 10.0::DOUBLE AS a, (p2 % 5 + 1) / 10.0::DOUBLE AS b FROM riskpair) AS r) AS s""")
+oracle("route_other", "p1 p2 ~ood $family_argmax $routed", f"""
+SELECT *, CASE WHEN ood >= (SELECT {nearest('ood', 0.95)} FROM ood) THEN 'other_coordination' ELSE family_argmax END AS routed
+FROM ood""")
+oracle("borda_scores", _H + "~borda", f"""
+SELECT {_KEYS}, a_hand AS hand_id, 0.5 * (won / seen + 1 - lost / seen) AS borda FROM (
+  SELECT {', '.join('a.' + k for k in _KEYS.split(', '))}, a.hand_id AS a_hand, count(*) AS seen,
+    sum(1 / (1 + exp(-(a.score - b.score)))) AS won, sum(1 / (1 + exp(-(b.score - a.score)))) AS lost
+  FROM best20 AS a JOIN best20 AS b ON a.phase = b.phase AND a.p1 = b.p1 AND a.p2 = b.p2 AND a.hand_id <> b.hand_id
+  GROUP BY ALL) AS c""")
+oracle("pseudo_labels", "p1 p2 label ~score train_label ~train_weight", """
+SELECT p1, p2, label, risk AS score, CASE WHEN label = -1 AND risk >= 0.4 THEN 1 ELSE label END AS train_label,
+  CASE WHEN label = -1 AND risk >= 0.4 THEN risk WHEN label = -1 THEN 0.3 ELSE 1 END AS train_weight FROM riskpair""")
+oracle("tail_depths", _P + "~fold_depth ~event_depth ~chi2_two ~chi2_six", f"""
+SELECT {_KEYS}, {binomial_tail('k_folded_12', 'shared_hands', '0.15::DOUBLE')} AS fold_depth,
+  {binomial_tail('k_transfer_event_12', 'shared_hands', '0.4::DOUBLE')} AS event_depth,
+  shared_hands / (2 * ln(10)) AS chi2_two,
+  -log10(exp(-shared_hands / 2.0::DOUBLE) * (1 + shared_hands / 2.0::DOUBLE + (shared_hands / 2.0::DOUBLE) ** 2 / 2)) AS chi2_six
+FROM cnt""")
+
+# ---------------------------------------------------------------- cards
+
+cte("lineact", """
+SELECT l_orderkey AS hand_id, l_partkey % 13 AS rank, l_suppkey % 4 AS suit, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+    l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS action_no FROM lineitem""")
+cte("card", "SELECT hand_id, rank, suit, min(action_no) AS action_no FROM lineact WHERE action_no < 7 GROUP BY 1, 2, 3")
+
+
+def straight(ranks: str) -> str:
+    return (f"coalesce(list_max(list_filter(range(3, 13), lambda t: list_has_all({ranks}, "
+            f"[t, t - 1, t - 2, t - 3, CASE WHEN t = 3 THEN 12 ELSE t - 4 END]))), -1)")
+
+
+cte("cardhand", f"""
+SELECT *, {straight('ranks')} AS st, CASE WHEN len(fr) >= 5 THEN {straight('fr')} ELSE -1 END AS sf FROM (
+  SELECT c.hand_id, c.n_cards, r.g, r.k, r.ranks, coalesce(s.fr, []) AS fr
+  FROM (SELECT hand_id, count(*) AS n_cards FROM card GROUP BY 1) AS c
+  JOIN (SELECT hand_id, list(n ORDER BY n DESC, rank DESC) AS g, list(rank ORDER BY n DESC, rank DESC) AS k,
+               list(rank ORDER BY rank DESC) AS ranks
+        FROM (SELECT hand_id, rank, count(*) AS n FROM card GROUP BY 1, 2) AS q GROUP BY 1) AS r USING (hand_id)
+  LEFT JOIN (SELECT hand_id, list(rank ORDER BY rank DESC) AS fr FROM card GROUP BY hand_id, suit HAVING count(*) >= 5) AS s
+    USING (hand_id)) AS h WHERE n_cards >= 5""")
+oracle("best_five", "hand_id n_cards category score", """
+SELECT *, list_reduce(list_prepend(category::BIGINT, list_transform([1, 2, 3, 4, 5],
+         lambda i: coalesce(digits[i], -1)::BIGINT + 1)), lambda a, d: a * 14 + d) AS score FROM (
+  SELECT *, CASE category WHEN 8 THEN [sf] WHEN 7 THEN [k[1], list_max(k[2:])] WHEN 6 THEN k[1:2] WHEN 5 THEN fr[1:5]
+              WHEN 4 THEN [st] WHEN 3 THEN k[1:3] WHEN 2 THEN [k[1], k[2], list_max(k[3:])] WHEN 1 THEN k[1:4]
+              ELSE k[1:5] END AS digits FROM (
+    SELECT *, CASE WHEN sf >= 0 THEN 8 WHEN g[1] = 4 THEN 7 WHEN g[1] = 3 AND g[2] >= 2 THEN 6 WHEN len(fr) >= 5 THEN 5
+                WHEN st >= 0 THEN 4 WHEN g[1] = 3 THEN 3 WHEN g[1] = 2 AND g[2] = 2 THEN 2 WHEN g[1] = 2 THEN 1 ELSE 0 END AS category
+    FROM cardhand) AS a) AS b""")
+oracle("draws", "hand_id suit_cards rank_run hole_in_suit", """
+SELECT s.hand_id, s.n AS suit_cards, r.run AS rank_run,
+  EXISTS (SELECT 1 FROM card AS c WHERE c.hand_id = s.hand_id AND c.action_no < 2 AND c.suit = s.suit) AS hole_in_suit
+FROM (SELECT hand_id, suit, count(*) AS n, row_number() OVER (PARTITION BY hand_id ORDER BY count(*) DESC, suit) AS i
+      FROM card GROUP BY 1, 2) AS s
+JOIN (SELECT hand_id, max(n) AS run FROM (
+        SELECT hand_id, grp, count(*) AS n FROM (
+          SELECT hand_id, rank - row_number() OVER (PARTITION BY hand_id ORDER BY rank) AS grp
+          FROM (SELECT DISTINCT hand_id, rank FROM card UNION SELECT hand_id, -1 FROM card WHERE rank = 12) AS d) AS e
+        GROUP BY 1, 2) AS f GROUP BY 1) AS r ON s.hand_id = r.hand_id WHERE s.i = 1""")
+cte("twocard", """
+SELECT hand_id, amount, CASE WHEN r0 <> r1 AND s0 = s1 THEN greatest(r0, r1) * 13 + least(r0, r1)
+                     ELSE least(r0, r1) * 13 + greatest(r0, r1) END AS bucket FROM (
+  SELECT hand_id, max(rank) FILTER (action_no = 0) AS r0, max(rank) FILTER (action_no = 1) AS r1,
+         max(suit) FILTER (action_no = 0) AS s0, max(suit) FILTER (action_no = 1) AS s1, max(amount) AS amount
+  FROM lineact WHERE action_no < 2 GROUP BY 1) AS t WHERE r1 IS NOT NULL""")
+oracle("start_buckets", "hand_id bucket dealt ~win_share ~strength_pct", """
+SELECT c.hand_id, c.bucket, t.dealt, t.win_share, t.strength_pct FROM twocard AS c JOIN (
+  SELECT *, (rank() OVER (ORDER BY win_share) + (count(*) OVER (PARTITION BY win_share) - 1) / 2.0) / count(*) OVER () AS strength_pct
+  FROM (SELECT bucket, count(*) AS dealt, avg((amount > 5000000)::INT) AS win_share FROM twocard GROUP BY 1) AS b) AS t USING (bucket)""")
