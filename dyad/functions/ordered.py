@@ -24,9 +24,13 @@ def _before(keys: Sequence[str]):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def position_segment(position: str, rows: int = BLOCK_ROWS) -> Column:
+def block_rows() -> int:
+    return BLOCK_ROWS
+
+
+def position_segment(position: str) -> Column:
     """Segment of a dense 0-based position."""
-    return F.floor(F.col(position) / F.lit(rows)).cast("bigint")
+    return F.floor(F.col(position) / F.lit(block_rows())).cast("bigint")
 
 
 def time_segment(seconds: str, width: int) -> Column:
@@ -83,7 +87,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     source = d
     if position is not None:
-        hot = df.where(F.col(position) >= BLOCK_ROWS).select(*cut).distinct()
+        hot = df.where(F.col(position) >= block_rows()).select(*cut).distinct()
         source = d.join(hot, cut, "left_semi")
     totals, carry, local = [], [], {}
     for name, (kind, _) in columns.items():
@@ -109,13 +113,14 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def neighbourhood(df: DataFrame, keys: Sequence[str], rn: str, reach: int,
                   columns: Callable[[Callable[[int, int], Window]], dict[str, Column]],
-                  rows: int = BLOCK_ROWS) -> DataFrame:
+                  rows: int | None = None) -> DataFrame:
     """Bounded-frame windows (lag, lead, centred frames) over a 1-based position.
 
     Each key is cut into blocks of `rows` positions; the `reach` rows next to a
     border are copied into the neighbouring block, so every frame is complete
     inside one block. `columns` receives a function (from, to) -> window.
     """
+    rows = rows or block_rows()
     i = F.col(rn) - 1
     home = F.floor(i / rows).cast("bigint")
     inside = i - home * rows
@@ -140,13 +145,14 @@ def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str],
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per (key, distinct value): how many rows are smaller, and how many tie."""
+    """One row per (key, distinct value): ``below`` smaller rows, ``ties`` equal ones, ``n`` in all."""
     seen = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
             .agg(F.count("*").alias("ties"))
             .withColumn(SEGMENT, magnitude_segment(value)))
     coarse = seen.groupBy(*keys, SEGMENT).agg(F.sum("ties").alias("__size"))
     offsets = coarse.select(*keys, SEGMENT,
-                            F.coalesce(F.sum("__size").over(_before(keys)), F.lit(0)).alias("__off"))
+                            F.coalesce(F.sum("__size").over(_before(keys)), F.lit(0)).alias("__off"),
+                            F.sum("__size").over(Window.partitionBy(*keys)).alias("n"))
     w = (Window.partitionBy(*keys, SEGMENT).orderBy(value)
          .rowsBetween(Window.unboundedPreceding, -1))
     return (seen.withColumn("__in", F.coalesce(F.sum("ties").over(w), F.lit(0)))
@@ -184,7 +190,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], ident: Sequence[str],
     percentile per column; a null value has a null percentile.
     """
     long = melt(df, ident, columns)
-    ranks = value_ranks(long, [*keys, "signal"], "x")
+    ranks = value_ranks(long, [*keys, "signal"], "x").drop("n")
     n = df.groupBy(*keys).agg(F.count("*").alias("__n"))
     scored = (long.join(ranks, [*keys, "signal", "x"]).join(n, list(keys))
               .withColumn("pct", (F.col("below") + (F.col("ties") + 1) / 2.0) / F.col("__n")))
@@ -200,9 +206,7 @@ def order_values(df: DataFrame, keys: Sequence[str], value: str,
     `positions` maps an output to two 0-based positions (as expressions of the
     non-null count ``n``) whose values are averaged.
     """
-    ranks = value_ranks(df, keys, value)
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
-    hit = ranks.join(n, list(keys))
+    hit = value_ranks(df, keys, value)
     inside = lambda p: (F.col("below") <= p) & (p < F.col("below") + F.col("ties"))
     wanted = F.lit(False)
     for a, b in positions.values():

@@ -15,8 +15,11 @@ DEEPEST = 300.0
 def ln_gamma(x: Column) -> Column:
     """ln Gamma(x) for x > 0: Stirling's series at x + 7, stepped back by the recurrence."""
     y = x + 7.0
-    series = (1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
-              - 1 / (1680 * F.pow(y, 7)) + 1 / (1188 * F.pow(y, 9)) - F.lit(691 / 360360) / F.pow(y, 11))
+    s = F.lit(1.0) / (y * y)
+    tail = F.lit(691 / 360360)
+    for c in (1 / 1188, 1 / 1680, 1 / 1260, 1 / 360, 1 / 12):
+        tail = F.lit(c) - s * tail
+    series = tail / y
     product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
     return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(product)
 

@@ -185,30 +185,49 @@ def loo_llr(x: DataFrame, cells: DataFrame) -> DataFrame:
 DIRECTED_EVENTS = ["transfer_event", "fold_better", "paid", "folded", "outsider_folds", "ahead_fold"]
 
 
-def binomial_surprise(pairs: DataFrame, events: list[str] = DIRECTED_EVENTS) -> DataFrame:
-    """How far an event toward the partner exceeds the actor's own rate toward everyone else.
+STATS = ["s", "z", "exc", "rate", "field"]
+
+
+def binomial_long(pairs: DataFrame, events: list[str] = DIRECTED_EVENTS) -> DataFrame:
+    """One row per (actor, partner, event): how far the event toward the partner exceeds the field.
 
-    `pairs` has ``shared_hands`` and ``k_<event>_12`` / ``k_<event>_21``.
+    `pairs` has ``shared_hands`` and ``k_<event>_12`` / ``k_<event>_21``. The field is the
+    actor's own record with everyone else: totals minus the partner's share.
     """
     cols = {"n": ("shared_hands", "shared_hands")}
     cols |= {f"k_{e}": (f"k_{e}_12", f"k_{e}_21") for e in events}
     d = minus_own(both_directions(pairs, TABLE, cols), [*TABLE, "actor"], ["n", *[f"k_{e}" for e in events]])
-    n = F.col("n").cast("double")
+    rows = F.array(*[F.struct(F.lit(e).alias("event"), F.col(f"k_{e}").alias("k"), F.col(f"rest_k_{e}").alias("rest_k"))
+                     for e in events])
+    d = d.select(*TABLE, "actor", "partner", "n", "rest_n", F.explode(rows).alias("r")).select("*", "r.*").drop("r")
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    rate = F.col("rest_k") / F.greatest(F.col("rest_n"), F.lit(1))
+    d = d.withColumn("field", F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    p = F.col("field")
+    return d.withColumns({
+        "s": neg_log10_binom_sf(k, n, p), "exc": k - n * p, "rate": k / F.greatest(n, F.lit(1.0)),
+        "z": (k - n * p) / F.sqrt(F.greatest(n * p * (1 - p), F.lit(1e-9)))})
+
+
+def _of_event(e: str, column: str) -> Column:
+    return F.when(F.col("event") == e, F.col(column))
+
+
+def binomial_surprise(pairs: DataFrame, events: list[str] = DIRECTED_EVENTS) -> DataFrame:
+    """The binomial contrast per directed pair, one column per statistic and event."""
+    return binomial_long(pairs, events).groupBy(*TABLE, "actor", "partner").agg(
+        F.max("n").alias("n"), *[F.max(_of_event(e, s)).alias(f"{s}_{e}") for e in events for s in STATS])
+
+
+def binomial_surprise_pair(pairs: DataFrame, events: list[str] = DIRECTED_EVENTS) -> DataFrame:
+    """The binomial contrast with both directions folded onto the unordered pair."""
+    aggs = []
     for e in events:
-        k = F.col(f"k_{e}").cast("double")
-        field = F.col(f"rest_k_{e}") / F.greatest(F.col("rest_n"), F.lit(1))
-        d = d.withColumn(f"field_{e}", F.least(F.greatest(field, F.lit(1e-6)), F.lit(1 - 1e-6)))
-        p = F.col(f"field_{e}")
-        d = d.withColumns({
-            f"s_{e}": neg_log10_binom_sf(k, n, p),
-            f"z_{e}": (k - n * p) / F.sqrt(F.greatest(n * p * (1 - p), F.lit(1e-9))),
-            f"exc_{e}": k - n * p, f"rate_{e}": k / F.greatest(n, F.lit(1.0))})
-    return d
-
-
-def binomial_surprise_pair(directed: DataFrame, events: list[str] = DIRECTED_EVENTS) -> DataFrame:
-    cols = [f"{stat}_{e}" for e in events for stat in ("s", "z", "exc", "rate", "field")]
-    return fold_directions(directed, TABLE, cols, sums=[f"s_{e}" for e in events])
+        for s in STATS:
+            aggs += [F.max(_of_event(e, s)).alias(f"{s}_{e}_hi"), F.min(_of_event(e, s)).alias(f"{s}_{e}_lo")]
+        aggs.append(F.sum(_of_event(e, "s")).alias(f"s_{e}_sum"))
+    return binomial_long(pairs, events).groupBy(
+        *TABLE, F.least("actor", "partner").alias("p1"), F.greatest("actor", "partner").alias("p2")).agg(*aggs)
 
 
 def eb_contrast(pairs: DataFrame, rates: list[str], lam: float = EB_LAMBDA) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import ATTRIBUTED_AGGRESSION, as_int, md5_key
-from dyad.functions.ordered import (BLOCK_ROWS, DAY, SEGMENT, position_segment, row_numbers, running,
+from dyad.functions.ordered import (DAY, SEGMENT, block_rows, position_segment, row_numbers, running,
                                     time_segment)
 
 HAND = ["hand_id"]
@@ -105,7 +105,7 @@ def meet_seats(actions: DataFrame, seats: DataFrame) -> DataFrame:
     (``hand_actions`` tells how many there are), so its actions spread over many
     tasks; an ordinary hand has one segment and is joined as it stands.
     """
-    last = F.floor((F.col("hand_actions") - 1) / F.lit(BLOCK_ROWS)).cast("bigint")
+    last = F.floor((F.col("hand_actions") - 1) / F.lit(block_rows())).cast("bigint")
     spread = (seats.withColumn(SEGMENT, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
               .drop("hand_actions"))
     cut = actions.withColumn(SEGMENT, position_segment("action_no"))

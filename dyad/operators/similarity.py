@@ -44,14 +44,24 @@ def apply_winsoriser(df: DataFrame, limits: DataFrame, columns: list[str]) -> Da
     }).drop(*[f"{p}_{c}" for c in columns for p in ("lo", "hi", "med")])
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two numeric arrays."""
+def distance(a: Column, b: Column, dims: int | None = None) -> Column:
+    """Euclidean distance of two arrays; with `dims` it is spelled out, so it compiles."""
+    if dims is not None:
+        total = F.lit(0.0)
+        for i in range(dims):
+            gap = F.get(a, F.lit(i)) - F.get(b, F.lit(i))
+            total = total + gap * gap
+        return F.sqrt(total)
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
                               lambda acc, d: acc + d))
 
 
-def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int = 32,
-                       shards: int = 4) -> DataFrame:
+# References per shard of a pivot cell.
+SHARD_ROWS = 20_000
+
+
+def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int = 16,
+                       shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest references of every query, exactly, without an all-pairs join.
 
     Both sides have ``id``, ``vec`` and ``fold``; a query never sees references of
@@ -59,25 +69,30 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int
     summaries (a number of rows bounded by pivots x folds) each query gets an
     upper bound on its k-th distance, visits only cells that the triangle
     inequality cannot rule out, and compares only references whose distance to
-    the pivot is within the bound. Cells are split into shards so that a crowded
-    cell spreads over several tasks.
+    the pivot is within the bound. A crowded cell is cut into shards so that it
+    spreads over several tasks.
     """
+    spark = refs.sparkSession
     as_double = F.transform("vec", lambda v: v.cast("double"))
     q = queries.select("id", F.col("fold").alias("q_fold"), as_double.alias("vec"))
     r = refs.select(F.col("id").alias("ref"), "fold", as_double.alias("rvec"))
     # A fixed number of pivots: bounded by `pivots`, whatever the size of the data.
     chosen = [row["rvec"] for row in r.orderBy(md5_key("ref"), "ref").limit(pivots).collect()]
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in chosen])
+    one_row = spark.createDataFrame([(chosen,)], "centres array<array<double>>")
 
     def to_pivots(v: str) -> Column:
-        return F.transform(centres, lambda c: distance(c, F.col(v)))
+        return F.transform("centres", lambda c: distance(c, F.col(v)))
 
-    r = r.withColumn("dp", to_pivots("rvec")).withColumns({
-        "cell": F.array_position("dp", F.array_min("dp")).cast("int") - 1, "to_pivot": F.array_min("dp")})
+    r = r.join(F.broadcast(one_row)).withColumn("dp", to_pivots("rvec")).drop("centres")
+    r = r.withColumns({"cell": F.array_position("dp", F.array_min("dp")).cast("int") - 1,
+                       "to_pivot": F.array_min("dp")}).drop("dp")
     folds = r.groupBy("cell", "fold").agg(F.max("to_pivot").alias("radius"), F.count("*").alias("n"))
-    # Per cell: radius and size by fold, one small map each; at most `pivots` entries in all.
-    cells = folds.agg(F.collect_list(F.struct("cell", "fold", "radius", "n")).alias("cells"))
-    d = q.withColumn("dq", to_pivots("vec")).join(F.broadcast(cells))
+    sizes = folds.groupBy("cell").agg(F.greatest(F.ceil(F.sum("n") / F.lit(shard_rows)), F.lit(1)).cast("int").alias("shards"))
+    # At most pivots x folds entries in one row.
+    cells = folds.join(F.broadcast(sizes), "cell").agg(
+        F.collect_list(F.struct("cell", "fold", "radius", "n", "shards")).alias("cells"))
+    d = (q.join(F.broadcast(one_row)).withColumn("dq", to_pivots("vec")).drop("centres")
+         .join(F.broadcast(cells)))
     visible = F.filter("cells", lambda c: c["fold"] != F.col("q_fold"))
     # A cell-and-fold with at least k references bounds the k-th distance by the far side of its ball.
     bounds = F.transform(F.filter(visible, lambda c: c["n"] >= k),
@@ -85,15 +100,16 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int
     d = d.withColumn("theta", F.coalesce(F.array_min(bounds), F.lit(float("inf"))) + F.lit(1e-9))
     reach = F.array_distinct(F.transform(
         F.filter(visible, lambda c: F.element_at(F.col("dq"), c["cell"] + 1) - c["radius"] <= F.col("theta")),
-        lambda c: c["cell"]))
-    d = (d.select("id", "q_fold", "vec", "dq", "theta", F.explode(reach).alias("cell"))
-         .withColumn("q_pivot", F.element_at("dq", F.col("cell") + 1)).drop("dq")
-         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    filed = r.select("ref", "fold", "rvec", "cell", "to_pivot",
-                     F.pmod(F.xxhash64("ref"), F.lit(shards)).cast("int").alias("shard"))
+        lambda c: F.struct(c["cell"].alias("cell"), c["shards"].alias("shards"))))
+    d = d.select("id", "q_fold", "vec", "dq", "theta", F.explode(reach).alias("c"))
+    d = d.select("id", "q_fold", "vec", "theta", F.col("c.cell").alias("cell"),
+                 F.element_at("dq", F.col("c.cell") + 1).alias("q_pivot"),
+                 F.explode(F.sequence(F.lit(0), F.col("c.shards") - 1)).alias("shard"))
+    filed = r.join(F.broadcast(sizes), "cell").select(
+        "ref", "fold", "rvec", "cell", "to_pivot", F.pmod(F.xxhash64("ref"), F.col("shards")).cast("int").alias("shard"))
     near = d.join(filed, ["cell", "shard"]).where(
         (F.col("fold") != F.col("q_fold")) & (F.abs(F.col("q_pivot") - F.col("to_pivot")) <= F.col("theta")))
-    near = near.select("id", "ref", distance(F.col("vec"), F.col("rvec")).alias("dist"))
+    near = near.select("id", "ref", distance(F.col("vec"), F.col("rvec"), len(chosen[0])).alias("dist"))
     return top_rows(near, ["id"], [F.col("dist"), F.col("ref")], k)
 
 

@@ -9,6 +9,7 @@ from dyad.functions.cols import as_int
 from dyad.functions.ordered import (DAY, minus_own, neighbourhood, ordinal_ranks, percentiles, row_numbers,
                                     running, time_segment, top_rows, with_totals)
 from dyad.operators.pairs import PAIR
+from dyad.session import settle
 
 HAND_KEY = [*PAIR, "hand_id"]
 
@@ -103,7 +104,10 @@ def candidate_features(hs: DataFrame, n: int = 50,
 
     `hs` has ``score``, ``score2``, ``pair_rn``. The better of the two ranks decides.
     """
-    d = score_ranks(score_ranks(hs, "score", "r_score"), "score2", "r_score2")
+    slim = [*HAND_KEY, "score", "score2"]
+    first = score_ranks(hs.select(*slim), "score", "r_score").select(*HAND_KEY, "r_score")
+    second = score_ranks(hs.select(*slim), "score2", "r_score2").select(*HAND_KEY, "r_score2")
+    d = settle(hs.join(first, HAND_KEY).join(second, HAND_KEY))
     d = row_numbers(d.withColumn("__m", F.least("r_score", "r_score2")), PAIR,
                     [F.col("__m"), F.col("r_score"), F.col("hand_id")], F.floor(F.col("__m") / 4096), "r")
     d = with_totals(d, PAIR, pair_hands=F.count("*"), best=F.max("score"), best2=F.max("score2"),

@@ -394,7 +394,7 @@ def binomial_surprise(spark, sf):
 
 @query
 def binomial_surprise_pair(spark, sf):
-    return rl.binomial_surprise_pair(rl.binomial_surprise(counts(spark, sf)))
+    return rl.binomial_surprise_pair(counts(spark, sf))
 
 
 RATES = ["transfer_event_rate", "both_showdown_rate", "mutual_passive_rate", "both_aggressive_rate", "relay_rate",
@@ -482,7 +482,7 @@ def table_percentile(spark, sf):
 @query
 def top_pairs(spark, sf):
     """Flagship: pairs ordered by how far one member's concessions to the other exceed its own field rate."""
-    folded = rl.binomial_surprise_pair(rl.binomial_surprise(counts(spark, sf)))
+    folded = rl.binomial_surprise_pair(counts(spark, sf))
     d = folded.join(counts(spark, sf).select(*PAIR, "shared_hands"), PAIR)
     return d.select(*PAIR, "shared_hands", "s_transfer_event_hi", "s_folded_hi", "s_outsider_folds_hi",
                     "z_transfer_event_hi", "s_transfer_event_sum")
