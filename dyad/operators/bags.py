@@ -9,6 +9,7 @@ from dyad.functions.cols import as_int, md5_key
 from dyad.functions.ordered import percentiles, row_numbers, running, time_segment, top_rows
 from dyad.operators.pairs import PAIR
 from dyad.operators.sequence import SEAT
+from dyad.session import settle
 
 BAG = ["p1", "p2", "hand_id"]
 
@@ -114,6 +115,7 @@ def pool_bag(rows: DataFrame, score: str, keys: list[str] = [*PAIR, "hand_id"])
         "z_gap": F.col("max_z") - F.col("second_z"), "top_street": F.col("top.street"), "top_action": F.col("top.y"),
         "top_answers_partner": as_int(F.col("top.facing") == 2), "top_surprise": F.col("top.surp"),
         "__p": F.round("max_z", 6)}).drop("top", "second_z", "log_none")
+    pooled = settle(pooled)
     pct = percentiles(pooled, [k for k in keys if k != "hand_id"], keys, ["__p"]).withColumnRenamed(
         "pct___p", "pct_max_z")
     return pooled.drop("__p").join(pct, keys)
@@ -177,14 +179,14 @@ def placebo(block: DataFrame, columns: list[str], seed: str) -> DataFrame:
     the first order takes the block of the pair at the same place of the second.
     Numbering is done on one row per pair.
     """
-    numbered = row_numbers(block, PAIR, [F.col("started_at"), F.col("hand_id")],
-                           time_segment("started_at", 7 * 86_400), "rn")
+    numbered = settle(row_numbers(block, PAIR, [F.col("started_at"), F.col("hand_id")],
+                                  time_segment("started_at", 7 * 86_400), "rn"))
     sizes = block.groupBy(*PAIR).agg(F.count("*").alias("len"))
     shuffled = sizes.withColumn("__h", md5_key(*PAIR, F.lit(seed)))
     head = F.conv(F.substring("__h", 1, 4), 16, 10).cast("bigint")
     one = F.lit(1)
-    by_hash = row_numbers(shuffled.withColumn("__k", one), ["__k"], [F.col("__h"), *[F.col(c) for c in PAIR]],
-                          head, "place")
+    by_hash = settle(row_numbers(shuffled.withColumn("__k", one), ["__k"],
+                                 [F.col("__h"), *[F.col(c) for c in PAIR]], head, "place"))
     # The next pair in the shuffled circle lends its block: never the pair itself when there are two or more.
     total = sizes.agg(F.count("*").alias("pairs"))
     giver = by_hash.select("place", F.col("len").alias("g_len"), *[F.col(c).alias(f"g_{c}") for c in PAIR])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyad.functions.cols import ATTRIBUTED_AGGRESSION, KINDS, as_int, flag, is_aggressive, is_pass
 from dyad.operators.sequence import meet_seats, rel_position, strength_at
+from dyad.session import settle
 
 PRIOR = 10.0
 CONTEXT = ["c_street", "c_own", "c_agg", "c_hu"]
@@ -99,7 +100,8 @@ def context_policy(actions: DataFrame, kinds: list[int] | None = None,
     """
     kinds = list(range(len(KINDS) - 1)) if kinds is None else kinds
     counts = [F.sum(as_int(F.col("y") == k)).alias(f"n{k}") for k in kinds]
-    cells = actions.groupBy(*context, "fold").agg(*counts)
+    # At most (contexts x folds) rows: written once, so the log is read once and not per total.
+    cells = settle(actions.groupBy(*context, "fold").agg(*counts))
     names = [f"n{k}" for k in kinds]
     totals = cells.groupBy(*context).agg(*[F.sum(n).alias(f"t{n}") for n in names])
     overall = cells.agg(*[F.sum(n).alias(f"g{n}") for n in names])
@@ -140,7 +142,7 @@ def size_residual(actions: DataFrame, context: list[str]) -> DataFrame:
     """Bet size against the mean of its context (own fold left out), in residual deviations."""
     size = F.log1p(F.col("amount") / F.greatest(F.col("pot_before"), F.lit(1).cast("bigint")))
     d = actions.withColumn("size", F.when(F.col("action").isin(ATTRIBUTED_AGGRESSION), size))
-    cells = d.groupBy(*context, "fold").agg(F.sum("size").alias("s"), F.count("size").alias("n"))
+    cells = settle(d.groupBy(*context, "fold").agg(F.sum("size").alias("s"), F.count("size").alias("n")))
     totals = cells.groupBy(*context).agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     grand = cells.agg((F.sum("s") / F.sum("n")).alias("mean_size"))
     left_out = cells.join(totals, context).join(F.broadcast(grand)).select(
@@ -172,8 +174,8 @@ def surprise_by_target(scored: DataFrame) -> DataFrame:
         F.count("*").alias("actions"), F.sum(as_int(F.col("y") == 0)).alias("folds"))
 
 
-def hidden_info_residual(x: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the opponent's hidden strength adds to the policy, per hand and per directed pair.
+def hidden_info_hand(x: DataFrame) -> DataFrame:
+    """What the opponent's hidden strength adds to the policy, per (hand, actor, opponent).
 
     Two context policies are compared on the same rows, without and with the
     strength difference; the gain is centred over the opponents live at the action.
@@ -194,17 +196,22 @@ def hidden_info_residual(x: DataFrame) -> tuple[DataFrame, DataFrame]:
         "gain", F.log(F.element_at(F.array(*[F.col(f"p{k}") for k in range(5)]), F.col("y") + 1)) - F.col("lp"))
     one_action = Window.partitionBy("hand_id", "action_no")
     centred = scored.withColumn("hi_gain", F.col("gain") - F.avg("gain").over(one_action))
-    hand = centred.groupBy("phase", "table_id", "hand_id", "player_id", "opp").agg(
+    return centred.groupBy("phase", "table_id", "hand_id", "player_id", "opp").agg(
         F.sum("hi_gain").alias("hi_sum"), F.max("hi_gain").alias("hi_max"),
         F.sum("gain").alias("gain_sum"), F.count("*").alias("n"))
+
+
+def hidden_info_pair(hand: DataFrame) -> DataFrame:
+    """The gain per action of a directed pair against the actor's other partners."""
     pair = hand.groupBy("phase", "table_id", F.col("player_id").alias("actor"),
                         F.col("opp").alias("partner")).agg(
         F.sum("hi_sum").alias("hi_sum"), F.max("hi_max").alias("hi_max"), F.sum("n").alias("n"))
+    pair = settle(pair)
     totals = pair.groupBy("phase", "table_id", "actor").agg(F.sum("hi_sum").alias("ts"), F.sum("n").alias("tn"))
     pair = pair.join(totals, ["phase", "table_id", "actor"])
     rate = F.col("hi_sum") / F.col("n")
     field = (F.col("ts") - F.col("hi_sum")) / F.greatest(F.col("tn") - F.col("n"), F.lit(1))
-    return hand, pair.select("phase", "table_id", "actor", "partner", "n", rate.alias("hi_rate"),
+    return pair.select("phase", "table_id", "actor", "partner", "n", rate.alias("hi_rate"),
                              (rate - field).alias("hi_delta"),
                              ((rate - field) * F.sqrt(F.least(F.col("n"), F.lit(400)))).alias("hi_excess"),
                              "hi_max")

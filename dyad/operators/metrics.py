@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyad.functions.cols import FAMILIES, as_int, md5_key
 from dyad.functions.ordered import (ident_segment, magnitude_segment, melt, percentiles, row_numbers, running,
                                     top_rows)
+from dyad.session import settle
 
 # Fixed weights of the composite score.
 WEIGHTS = {"pair": 0.70, "evidence": 0.20, "behaviour": 0.10}
@@ -115,7 +116,7 @@ def bootstrap_replicates(df: DataFrame, scores: tuple[str, str], y: str, ident:
                          replicates: int, seed: str) -> DataFrame:
     """AP of both scores in every replicate, on the same resampled groups."""
     weights = bootstrap_weights(df, group, replicates, seed)
-    d = df.select(group, ident, y, *scores).join(weights, group)
+    d = settle(df.select(group, ident, y, *scores).join(weights, group))
     out = None
     for name in scores:
         ap = average_precision(d, name, y, ident, ["replicate"], "w").select(
@@ -166,7 +167,7 @@ def precision_by_slot(picks: DataFrame, gold: DataFrame, k: int, key: tuple[str,
 def within_pair_auc(df: DataFrame, score: str, y: str, n: int, key: tuple[str, ...] = ("p1", "p2")) -> DataFrame:
     """Rank-sum AUC inside each pair's n best hands; pairs with both classes only."""
     keys = list(key)
-    best = top_rows(df, keys, [F.col(score).desc(), F.col("hand_id")], n)
+    best = settle(top_rows(df.select(*keys, "hand_id", score, y), keys, [F.col(score).desc(), F.col("hand_id")], n))
     pct = percentiles(best, keys, [*keys, "hand_id"], [score])
     d = best.select(*keys, "hand_id", y).join(pct, [*keys, "hand_id"])
     size = best.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(y).alias("pos"))
@@ -209,5 +210,5 @@ def mixture_rows(df: DataFrame, held: str, share: float, seed: str, ident: str)
 
 
 def mixture_ap(df: DataFrame, held: str, share: float, seed: str, ident: str) -> DataFrame:
-    return average_precision(mixture_rows(df, held, share, seed, ident)
-                             .withColumn("__pos", as_int(F.col("label") == 1)), "score", "__pos", ident)
+    rows = settle(mixture_rows(df, held, share, seed, ident).withColumn("is_pos", as_int(F.col("label") == 1)))
+    return average_precision(rows, "score", "is_pos", ident)

@@ -51,7 +51,7 @@ def relational_cells(x: DataFrame, keys: list[str] = TABLE) -> DataFrame:
     actor and opponent is bounded by contexts x kinds.
     """
     actor, pair = [*keys, "player_id"], [*keys, "player_id", "opp"]
-    n = x.groupBy(*pair, "ctx", "act").agg(F.count("*").alias("n"))
+    n = settle(x.groupBy(*pair, "ctx", "act").agg(F.count("*").alias("n")))
     n_all = n.groupBy(*actor, "ctx", "act").agg(F.sum("n").alias("n_all"))
     t = n.groupBy(*pair, "ctx").agg(F.sum("n").alias("t"))
     t_all = n_all.groupBy(*actor, "ctx").agg(F.sum("n_all").alias("t_all"))
@@ -130,8 +130,8 @@ def relational_cells_shrunk(x: DataFrame) -> DataFrame:
     seen context has its own cell.
     """
     pair, actor = [*TABLE, "player_id", "opp", "ctx"], [*TABLE, "player_id", "ctx"]
-    per_class = x.groupBy(*pair).agg(
-        F.count("*").alias("n_ab"), *[F.sum(as_int(F.col("act") == k)).alias(f"c{k}") for k in range(3)])
+    per_class = settle(x.groupBy(*pair).agg(
+        F.count("*").alias("n_ab"), *[F.sum(as_int(F.col("act") == k)).alias(f"c{k}") for k in range(3)]))
     own = per_class.groupBy(*actor).agg(
         F.sum("n_ab").alias("n_a"), *[F.sum(f"c{k}").alias(f"a{k}") for k in range(3)])
     pop = per_class.groupBy("ctx").agg(

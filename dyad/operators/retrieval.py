@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyad.functions.cols import FAMILIES, NO_EVIDENCE, as_int
 from dyad.functions.ordered import nearest_positions, order_values, percentiles, top_rows
 from dyad.operators.pairs import PAIR
+from dyad.session import settle
 
 SLOTS = [f"evidence_hand_{i}" for i in range(1, 6)]
 
@@ -90,7 +91,7 @@ def validate(result: DataFrame, template: DataFrame, hands: DataFrame, seats: Da
 def table_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str], score: str, ks: list[int]) -> DataFrame:
     """Rows changed per column, rank correlation of the score, overlap of the top k."""
     bb = b.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    d = a.select(key, *columns).join(bb, key)
+    d = settle(a.select(key, *columns).join(bb, key))
     changed = d.agg(F.array(*[
         F.struct(F.lit(f"changed_{c}").alias("metric"),
                  F.sum(as_int(~F.col(c).eqNullSafe(F.col(f"__{c}")))).cast("double").alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import md5_key
-from dyad.functions.ordered import order_values, top_rows
+from dyad.functions.ordered import melt, order_values, top_rows
 from dyad.operators.pairs import PAIR
 
 
@@ -25,15 +25,16 @@ def apply_standardiser(df: DataFrame, moments: DataFrame, columns: list[str]) ->
 
 def fit_winsoriser(df: DataFrame, columns: list[str], low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Clip limits and the imputing median of the fit rows: a single row."""
-    out = None
-    for c in columns:
-        n1 = F.col("n") - 1
-        at = lambda q: F.floor(F.lit(q) * n1 + F.lit(0.5))  # noqa: B023,E731
-        row = order_values(df.select(F.lit(1).alias("k"), F.col(c).cast("double").alias(c)), ["k"], c, {
-            f"lo_{c}": (at(low), at(low)), f"hi_{c}": (at(high), at(high)),
-            f"med_{c}": (F.floor(n1 / 2), F.ceil(n1 / 2))})
-        out = row if out is None else out.join(row, "k")
-    return out.drop("k")
+    n1 = F.col("n") - 1
+
+    def at(q: float) -> tuple[Column, Column]:
+        i = F.floor(F.lit(q) * n1 + F.lit(0.5))
+        return i, i
+
+    limits = order_values(melt(df, [], columns), ["signal"], "x", {
+        "lo": at(low), "hi": at(high), "med": (F.floor(n1 / 2), F.ceil(n1 / 2))})
+    return limits.agg(*[F.max(F.when(F.col("signal") == c, F.col(m))).alias(f"{m}_{c}")
+                        for c in columns for m in ("lo", "hi", "med")])
 
 
 def apply_winsoriser(df: DataFrame, limits: DataFrame, columns: list[str]) -> DataFrame:

@@ -108,8 +108,8 @@ def candidate_features(hs: DataFrame, n: int = 50,
     first = score_ranks(hs.select(*slim), "score", "r_score").select(*HAND_KEY, "r_score")
     second = score_ranks(hs.select(*slim), "score2", "r_score2").select(*HAND_KEY, "r_score2")
     d = settle(hs.join(first, HAND_KEY).join(second, HAND_KEY))
-    d = row_numbers(d.withColumn("__m", F.least("r_score", "r_score2")), PAIR,
-                    [F.col("__m"), F.col("r_score"), F.col("hand_id")], F.floor(F.col("__m") / 4096), "r")
+    d = settle(row_numbers(d.withColumn("__m", F.least("r_score", "r_score2")), PAIR,
+                           [F.col("__m"), F.col("r_score"), F.col("hand_id")], F.floor(F.col("__m") / 4096), "r"))
     d = with_totals(d, PAIR, pair_hands=F.count("*"), best=F.max("score"), best2=F.max("score2"),
                     fifth=F.max(F.when(F.col("r_score") == 5, F.col("score"))),
                     fifth2=F.max(F.when(F.col("r_score2") == 5, F.col("score2"))),

@@ -30,9 +30,10 @@ def seats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hands(spark: SparkSession, sf: str) -> DataFrame:
-    return (context(spark, sf).groupBy("hand_id", "table_id", "started_at", "phase")
-            .agg(F.count("*").alias("hand_actions"), F.max("players_dealt").alias("players_dealt"),
-                 F.sum("amount").alias("final_pot")))
+    return staged(spark, sf, "hands", lambda: (
+        context(spark, sf).groupBy("hand_id", "table_id", "started_at", "phase")
+        .agg(F.count("*").alias("hand_actions"), F.max("players_dealt").alias("players_dealt"),
+             F.sum("amount").alias("final_pot"))))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

@@ -307,16 +307,18 @@ def directed_pivot(spark, sf):
                              ["surprise", "fold_surprise", "call_surprise", "aggr_surprise", "actions"])
 
 
+def hidden_hands(spark, sf) -> DataFrame:
+    return staged(spark, sf, "hidden_hands", lambda: lv.hidden_info_hand(b.live(spark, sf)))
+
+
 @query
 def hidden_information(spark, sf):
-    hand, pair = lv.hidden_info_residual(b.live(spark, sf))
-    return pair
+    return lv.hidden_info_pair(hidden_hands(spark, sf))
 
 
 @query
 def hidden_information_hand(spark, sf):
-    hand, pair = lv.hidden_info_residual(b.live(spark, sf))
-    return hand.drop("phase", "table_id")
+    return hidden_hands(spark, sf).drop("phase", "table_id")
 
 
 # ---------------------------------------------------------------- relational statistics
@@ -804,6 +806,10 @@ def tie_break(spark, sf):
 
 def result(spark, sf) -> DataFrame:
     """A result table for the evaluation phase."""
+    return staged(spark, sf, "result", lambda: build_result(spark, sf))
+
+
+def build_result(spark, sf) -> DataFrame:
     s = signals(spark, sf).where("phase = 'evaluation'")
     template = counts(spark, sf).where("phase = 'evaluation'").select(*PAIR, "shared_hands")
     fam = F.element_at(F.array(*[F.lit(f) for f in fc.FAMILIES]), (F.pmod("p1", F.lit(3)) + 1).cast("int"))
@@ -1064,6 +1070,21 @@ def draws(spark, sf):
     return cd.draw_features(c, ["hand_id"])
 
 
+@query
+def parsed_boards(spark, sf):
+    """First five lines of every order written as a card string, and read back."""
+    lines = ev.read_line_actions(spark, sf).where("action_no < 5")
+    letters = lambda alphabet, c, n: F.substring(F.lit(alphabet), F.pmod(c, F.lit(n)).cast("int") + 1, F.lit(1))
+    text = lines.select("hand_id", "action_no", F.concat(
+        letters(cd.RANKS, F.col("part_id"), 13), letters(cd.SUITS, F.col("player_id"), 4)).alias("card"))
+    # At most five cards per order are gathered.
+    boards = text.groupBy("hand_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("action_no", "card"))), lambda c: c["card"]), " ").alias("board"))
+    cards = cd.parse_cards(boards, "board")
+    return cards.select("hand_id", "board", "n_cards", F.posexplode("cards").alias("place", "c")).select(
+        "hand_id", "board", "n_cards", "place", F.col("c.rank").alias("rank"), F.col("c.suit").alias("suit"))
+
+
 @query
 def start_buckets(spark, sf):
     """First two cards of every order as one of 169 starting hands, with its empirical strength."""

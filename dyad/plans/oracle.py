@@ -1512,3 +1512,8 @@ oracle("start_buckets", "hand_id bucket dealt ~win_share ~strength_pct", """
 SELECT c.hand_id, c.bucket, t.dealt, t.win_share, t.strength_pct FROM twocard AS c JOIN (
   SELECT *, (rank() OVER (ORDER BY win_share) + (count(*) OVER (PARTITION BY win_share) - 1) / 2.0) / count(*) OVER () AS strength_pct
   FROM (SELECT bucket, count(*) AS dealt, avg((amount > 5000000)::INT) AS win_share FROM twocard GROUP BY 1) AS b) AS t USING (bucket)""")
+oracle("parsed_boards", "hand_id $board n_cards place rank suit", """
+SELECT hand_id, board, n_cards, action_no AS place, rank, suit FROM (
+  SELECT *, string_agg(substr('23456789TJQKA', rank::INT + 1, 1) || substr('cdhs', suit::INT + 1, 1), ' ' ORDER BY action_no)
+              OVER (PARTITION BY hand_id ORDER BY action_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS board,
+         count(*) OVER (PARTITION BY hand_id) AS n_cards FROM lineact WHERE action_no < 5) AS b""")

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     session = (SparkSession.builder.master("local[8]").appName("dyad-tests")
-               .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
+               .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "12g")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
