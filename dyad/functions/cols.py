@@ -77,7 +77,3 @@ def round6(df: DataFrame, *columns: str) -> DataFrame:
     """Round the named double columns (or every double column) to six places."""
     names = columns or [c for c, t in df.dtypes if t in ("double", "float")]
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in names})
-
-
-def neg_mod(a: Column, n: Column) -> Column:
-    return F.pmod(a, n)

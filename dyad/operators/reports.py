@@ -69,7 +69,3 @@ def exposure(seats: DataFrame) -> DataFrame:
     """(hand x other opponent) slots of every player."""
     return seats.groupBy(*TABLE, "player_id").agg(
         F.count("*").alias("hands"), F.sum(F.col("players_dealt") - 1).alias("slots"))
-
-
-def rate_or_null(a: Column, b: Column) -> Column:
-    return ratio(a, b)
