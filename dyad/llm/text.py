@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 1 << 20
@@ -38,7 +39,7 @@ _BYTE_LOWER = _BYTE[_LOWER]
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows with about `most` bytes of text each."""
     col = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(pa.compute.binary_length(col).fill_null(0))
+    sizes = np.asarray(pc.binary_length(col).fill_null(0))
     if not len(sizes):
         return
     part = np.cumsum(sizes, dtype=np.int64) // most
