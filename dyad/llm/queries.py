@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dyad.llm import exact, lengths, packing
+from dyad.llm import exact, lengths, packing, pii, quality
 from dyad.llm.store import table
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from the labelled ones outside the held-out fifth."""
+    return quality.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers for every context limit, from the token lengths of all documents."""
     return lengths.length_table(table(spark, sf_dir, "documents", "text"))
@@ -18,12 +23,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by rules and by learnt wording."""
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_exact_dedup, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
+                                    op9_best_fit_packing)}
 
 SQL = {
     "op6_exact_dedup": r"""
