@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dyad.llm import exact, lengths, packing, pii, quality
+from dyad.llm import exact, lengths, packing, pii, quality, substrings
 from dyad.llm.store import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of passages of 20 words that stand earlier."""
+    left = substrings.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from the labelled ones outside the held-out fifth."""
     return quality.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -33,10 +40,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
                                     op9_best_fit_packing)}
 
 SQL = {
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM p WHERE i + 19 <= len(w)),
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM k),
+gone AS (SELECT DISTINCT doc_id, j AS i FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM n WHERE nth > 1)),
+words AS (SELECT p.doc_id, p.i, w[p.i] AS word, gone.i IS NOT NULL AS dropped FROM p LEFT JOIN gone ON p.doc_id = gone.doc_id AND p.i = gone.i),
+c AS (SELECT doc_id, sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS n_removed,
+             string_agg(CASE WHEN dropped THEN NULL ELSE word END, ' ' ORDER BY i) AS kept FROM words GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id""",
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
