@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyad.llm import exact, lengths, packing, pii, quality, substrings
+from dyad.llm import containment, exact, lengths, packing, pii, quality, simhash, substrings
 from dyad.llm.store import table
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups that their links make."""
+    return simhash.groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of passages of 20 words that stand earlier."""
     left = substrings.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document: at least four fifths of its five-word shingles are there."""
+    found = containment.contained(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learnt from the labelled ones outside the held-out fifth."""
     return quality.scored(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -40,7 +51,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
                                     op9_best_fit_packing)}
 
 SQL = {
@@ -55,6 +66,17 @@ c AS (SELECT doc_id, sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS n_removed,
              string_agg(CASE WHEN dropped THEN NULL ELSE word END, ' ' ORDER BY i) AS kept FROM words GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id""",
+    "op3_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+bp AS (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5),
+ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM dp),
+bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM bp),
+q AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY doc_id, item_id)
+SELECT doc_id, m.item_id, n AS n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n AS containment
+FROM m JOIN q ON m.item_id = q.item_id WHERE 5 * n_shared >= 4 * n""",
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
