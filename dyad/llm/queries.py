@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyad.llm import containment, exact, lengths, packing, pii, quality, simhash, substrings
+from dyad.llm import containment, exact, lengths, likelihood, packing, pii, quality, simhash, substrings
 from dyad.llm.store import table
 
 
@@ -51,8 +51,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of all documents under the subword lattice and under word counts, learnt outside the held-out tenth."""
+    return likelihood.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
-                                    op9_best_fit_packing)}
+                                    op9_best_fit_packing, op10_lm_scoring)}
 
 SQL = {
     "op2_substring_dedup": r"""
