@@ -7,7 +7,8 @@ over all the words their windows reach to both sides. A run whose whole reach al
 a repeat; where one seed has different surroundings, the first place of each is compared window by
 window. Repeats that touch are merged into maximal ones. No two places are ever paired: a group is
 told apart by hashes of its surroundings (two 64-bit hashes that must agree), and each place is
-measured against the first of its kind.
+measured against the first of its kind. Texts meet their ranges by a merge join at every size: the
+ranges grow with the corpus and are never broadcast.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     lo = F.floor(F.col("at") / 64).cast("int")
     whole = flagged.where("later").select("doc_id", lo.alias("start"), (lo + F.col("at") % 64 + size).cast("int").alias("end"))
     checks = flagged.where("not later").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "at")).alias("checks"))
-    windows = source.join(checks, "doc_id").mapInArrow(_windows(size), "seed long, words long, doc_id long, start long")
+    windows = source.join(checks.hint("merge"), "doc_id").mapInArrow(_windows(size), "seed long, words long, doc_id long, start long")
     nth = F.row_number().over(Window.partitionBy("seed", "words").orderBy("doc_id", "start"))
     single = windows.withColumn("nth", nth).where("nth > 1").select("doc_id", F.col("start").cast("int").alias("start"), (F.col("start") + size).cast("int").alias("end"))
     lists = whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -164,4 +165,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Windows are judged on the input. A null text has no words. Empty in, empty out.
     """
     found, _ = store.kept(repeats(docs, id_col, text_col, size, seed), "spans")
-    return _source(docs, id_col, text_col).join(found, "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
+    return _source(docs, id_col, text_col).join(found.hint("merge"), "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
