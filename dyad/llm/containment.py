@@ -129,20 +129,22 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
+def _leaks(block, shingle: int, threshold: float):
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = _index(block, shingle, threshold)
+        for series in texts:
+            batch = pa.record_batch([pa.array(series, pa.string())], names=["text"])
+            bad, at = np.zeros(len(series), bool), 0
+            for part in text.slices(batch):
+                bad[[at + row for row, *_ in index.hits(part.column("text"))]] = True
+                at += part.num_rows
+            yield pd.Series(bad)
+    return F.pandas_udf(run, "boolean")
+
+
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
           shingle: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that contain no item, all columns as they are; texts are not shuffled."""
     for block in _blocks(items, item_col, item_text, block_bytes):
-        def leaks(texts: Iterator[pd.Series], block=block) -> Iterator[pd.Series]:
-            index = _index(block, shingle, threshold)
-            for series in texts:
-                batch = pa.record_batch([pa.array(series, pa.string())], names=["text"])
-                bad = np.zeros(len(series), bool)
-                at = 0
-                for part in text.slices(batch):
-                    for row, *_ in index.hits(part.column("text")):
-                        bad[at + row] = True
-                    at += part.num_rows
-                yield pd.Series(bad)
-        docs = docs.where(~F.pandas_udf(leaks, "boolean")(F.col(text_col).cast("string")))
+        docs = docs.where(~_leaks(block, shingle, threshold)(F.col(text_col).cast("string")))
     return docs

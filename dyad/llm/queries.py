@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyad.llm import containment, exact, lengths, likelihood, packing, pii, quality, simhash, substrings
+from dyad.llm import containment, exact, lengths, likelihood, lines, packing, pii, quality, simhash, substrings
 from dyad.llm.store import table
 
 
@@ -41,6 +41,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that have an earlier similar line."""
+    left = lines.without_similar(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, by rules and by learnt wording."""
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -56,7 +62,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op8_personal_data,
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op7_line_dedup, op8_personal_data,
                                     op9_best_fit_packing, op10_lm_scoring)}
 
 SQL = {
@@ -87,4 +93,18 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n""",
+    "op7_line_dedup": r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, ls[i] AS content, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+p AS (SELECT doc_id, i, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j FROM l WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, i, array_to_string(list_slice(w, j, j + 4), ' ') AS g FROM p),
+n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY doc_id, i),
+m AS (SELECT a.doc_id AS ad, a.i AS ai, b.doc_id AS bd, b.i AS bi, count(*) AS c FROM s a JOIN s b ON a.g = b.g
+      WHERE a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i) GROUP BY a.doc_id, a.i, b.doc_id, b.i),
+gone AS (SELECT DISTINCT bd AS doc_id, bi AS i FROM m JOIN n x ON x.doc_id = ad AND x.i = ai JOIN n y ON y.doc_id = bd AND y.i = bi WHERE 9 * c >= 4 * (x.n + y.n)),
+k AS (SELECT l.doc_id, sum(CASE WHEN gone.i IS NULL THEN 0 ELSE 1 END) AS n_removed, count(*) AS n_lines,
+             string_agg(CASE WHEN gone.i IS NULL THEN content END, chr(10) ORDER BY l.i) AS kept
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""",
 }
