@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -28,6 +29,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("dyad-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

@@ -10,6 +10,8 @@ from dyad.functions.ordered import (ident_segment, magnitude_segment, melt, perc
                                     top_rows)
 from dyad.session import settle
 
+UNSCORED = 1.7e308  # as a negated score: behind every other
+
 # Fixed weights of the composite score.
 WEIGHTS = {"pair": 0.70, "evidence": 0.20, "behaviour": 0.10}
 
@@ -20,12 +22,12 @@ def average_precision(df: DataFrame, score: str, y: str, ident: str, by: list[st
 
     Distinct scores are ordered first, then the rows tied at a score by id, so
     one global ranking needs no single-task sort even when most scores are equal.
-    `weight` repeats a row that many times.
+    `weight` repeats a row that many times. A row without a score comes last and counts like any other.
     """
     keys = by or ["__all"]
     d = df if by else df.withColumn("__all", F.lit(1))
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    d = d.withColumns({"__neg": -F.col(score).cast("double"), "__y": as_int(F.col(y) == 1), "__w": w})
+    d = d.withColumns({"__neg": F.coalesce(-F.col(score).cast("double"), F.lit(UNSCORED)), "__y": as_int(F.col(y) == 1), "__w": w})
     by_score = d.groupBy(*keys, "__neg").agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col("__y")).alias("h"))
     above = running(by_score, keys, ["__neg"], {"__n0": ("sum", F.col("n")), "__h0": ("sum", F.col("h"))},
                     segment=magnitude_segment("__neg")).select(*keys, "__neg", "__n0", "__h0")
@@ -196,19 +198,22 @@ def separation(df: DataFrame, columns: list[str], y: str, key: tuple[str, ...] =
     return agg.select("signal", "n_pos", "n_neg", gap.alias("gap"), t.alias("welch_t"))
 
 
-def mixture_rows(df: DataFrame, held: str, share: float, seed: str, ident: str) -> DataFrame:
-    """All rows but the held-out family's, plus a reproducible draw of it up to `share` of positives."""
-    is_held = (F.col("label") == 1) & (F.col("family") == held)
-    known = df.where(~F.coalesce(is_held, F.lit(False)))
-    want = known.agg(F.round(F.lit(share) * F.sum(as_int(F.col("label") == 1)) / (1 - share)).alias("want"))
-    pool = df.where(is_held)
-    h = md5_key(ident, F.lit(seed))
-    drawn = row_numbers(pool.withColumns({"__k": F.lit(1), "__h": h}), ["__k"], [F.col("__h"), F.col(ident)],
-                        F.conv(F.substring("__h", 1, 4), 16, 10).cast("bigint"), "place")
-    drawn = drawn.join(F.broadcast(want)).where(F.col("place") <= F.col("want"))
-    return known.unionByName(drawn.drop("__k", "__h", "place", "want"))
-
-
-def mixture_ap(df: DataFrame, held: str, share: float, seed: str, ident: str) -> DataFrame:
-    rows = settle(mixture_rows(df, held, share, seed, ident).withColumn("is_pos", as_int(F.col("label") == 1)))
-    return average_precision(rows, "score", "is_pos", ident)
+def mixture_rows(df: DataFrame, held: str, share: float, seed: str, ident: str, draws: int = 5) -> DataFrame:
+    """All rows once per draw, with `target`: positives of the known families and a reproducible draw of the
+    held-out family that makes up `share` of the positives. What is not drawn stays, as a negative."""
+    hidden = F.coalesce((F.col("label") == 1) & (F.col("family") == held), F.lit(False))
+    d = df.withColumns({"__hidden": hidden, "draw": F.explode(F.array(*map(F.lit, range(draws))))})
+    known = (F.col("label") == 1) & ~F.col("__hidden")
+    want = df.agg(F.round(F.lit(share) * F.sum(as_int((F.col("label") == 1) & ~hidden)) / (1 - share)).alias("want"))
+    h = md5_key(ident, F.concat(F.lit(seed), F.col("draw").cast("string")))
+    placed = row_numbers(d.withColumn("__h", h), ["draw", "__hidden"], [F.col("__h"), F.col(ident)],
+                         F.conv(F.substring("__h", 1, 4), 16, 10).cast("bigint"), "place").join(F.broadcast(want))
+    drawn = F.col("__hidden") & (F.col("place") <= F.col("want"))
+    return placed.withColumn("target", as_int(F.coalesce(known, F.lit(False)) | drawn)).drop("__h", "__hidden", "place", "want")
+
+
+def mixture_ap(df: DataFrame, held: str, share: float, seed: str, ident: str, draws: int = 5) -> DataFrame:
+    """Mean over the draws of the average precision on mixture rows."""
+    rows = settle(mixture_rows(df, held, share, seed, ident, draws))
+    return average_precision(rows, "score", "target", ident, ["draw"]).agg(
+        *[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])

@@ -37,18 +37,21 @@ def crossfit(df: DataFrame, make: Callable[[], Estimator], features: list[str],
     """Every row of a fold scored by a model that never saw that fold.
 
     `usable` restricts training rows (for instance to labelled ones); rows with a
-    null ``fold`` get the mean of the fold models.
+    null ``fold`` get the mean of the fold models. Where no row outside a fold can be learnt from,
+    the fold's rows have null scores: a model is never asked about rows it was trained on.
     """
     d = settle(with_features(df.withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int")), features))
     ok = F.col(label).isNotNull() if usable is None else usable & F.col(label).isNotNull()
+    nothing = [F.lit(None).cast("double").alias(f"prob{i}") for i in range(classes)]
     out, loose = None, None
     for k in range(folds):
         train = d.where(ok & (F.col("fold") != k))
+        own, rest = d.where(F.col("fold") == k), d.where(F.col("fold").isNull())
         if train.isEmpty():
-            train = d.where(ok)
-        model = make().fit(train)
-        part = model.transform(d.where(F.col("fold") == k)).select(*keep, "fold", *class_probabilities(classes))
-        rest = model.transform(d.where(F.col("fold").isNull())).select(*keep, "fold", *class_probabilities(classes))
+            part, rest = own.select(*keep, "fold", *nothing), rest.select(*keep, "fold", *nothing)
+        else:
+            model = make().fit(train)
+            part, rest = (model.transform(x).select(*keep, "fold", *class_probabilities(classes)) for x in (own, rest))
         out = part if out is None else out.unionByName(part)
         loose = rest if loose is None else loose.unionByName(rest)
     mean = loose.groupBy(*keep, "fold").agg(*[F.avg(f"prob{i}").alias(f"prob{i}") for i in range(classes)])
@@ -60,7 +63,7 @@ def crossfit_nested(df: DataFrame, make: Callable[[], Estimator], features: list
     """Scores for a consumer that itself trains per fold.
 
     A row in fold j, read by consumer fold k, is scored by a model trained on
-    neither; models are shared between (j, k) and (k, j).
+    neither; models are shared between (j, k) and (k, j). Without rows in a third fold the score is null.
     """
     d = df.withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int"))
     d = settle(with_features(d, features).where(F.col(label).isNotNull()))
@@ -71,9 +74,10 @@ def crossfit_nested(df: DataFrame, make: Callable[[], Estimator], features: list
             left_out = frozenset((outer, inner))
             if left_out not in fitted:
                 train = d.where(~F.col("fold").isin(*left_out))
-                fitted[left_out] = make().fit(d if train.isEmpty() else train)
-            part = fitted[left_out].transform(d.where(F.col("fold") == inner)).select(
-                *keep, "fold", F.lit(outer).alias("outer_fold"), *class_probabilities(classes))
+                fitted[left_out] = None if train.isEmpty() else make().fit(train)
+            own, model = d.where(F.col("fold") == inner), fitted[left_out]
+            scores = [F.lit(None).cast("double").alias(f"prob{i}") for i in range(classes)] if model is None else class_probabilities(classes)
+            part = (own if model is None else model.transform(own)).select(*keep, "fold", F.lit(outer).alias("outer_fold"), *scores)
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -141,17 +145,19 @@ def opponent_policy(x: DataFrame, style: DataFrame, variants: list[str], folds:
 
 
 def size_model(actions: DataFrame, folds: int = 2) -> DataFrame:
-    """Expected bet size of aggressive actions, out of fold, and the standardised residual."""
+    """Expected bet size of aggressive actions, out of fold, and the standardised residual; null without other folds."""
     d = actions.where(F.col("y") >= 3).withColumn(
         "label", F.log1p(F.col("amount") / F.greatest(F.col("pot_before"), F.lit(1).cast("bigint"))))
     d = settle(with_features(d.withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int")), POLICY_FEATURES))
     out = None
     for k in range(folds):
         train = d.where(F.col("fold") != k)
-        train = d if train.isEmpty() else train
-        m = GBTRegressor(labelCol="label", featuresCol="features", maxIter=8, maxDepth=3, seed=SEED).fit(train)
-        part = m.transform(d.where(F.col("fold") == k)).select(
-            "hand_id", "action_no", "label", "prediction")
+        own = d.where(F.col("fold") == k)
+        if train.isEmpty():
+            part = own.select("hand_id", "action_no", "label", F.lit(None).cast("double").alias("prediction"))
+        else:
+            m = GBTRegressor(labelCol="label", featuresCol="features", maxIter=8, maxDepth=3, seed=SEED).fit(train)
+            part = m.transform(own).select("hand_id", "action_no", "label", "prediction")
         out = part if out is None else out.unionByName(part)
     out = out.withColumn("resid", F.col("label") - F.col("prediction"))
     sd = out.agg(F.stddev_samp("resid").alias("sd"))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import md5_key
-from dyad.functions.ordered import melt, order_values, top_rows
+from dyad.functions.ordered import magnitude_segment, melt, order_values, row_numbers, top_rows
 from dyad.operators.pairs import PAIR
+from dyad.session import settle
 
 
 def fit_standardiser(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -121,13 +122,15 @@ def knn_mean_distance(queries: DataFrame, refs: DataFrame, k: int = 5, **options
 
 
 def pair_consistency(hs: DataFrame, space: list[str], top: int = 20) -> DataFrame:
-    """Similarity of a hand to the pair's other best hands, weighted by their rank.
+    """How much a hand looks like the best other hands of its pair. Every hand has a row.
 
-    The self-join runs on at most `top` rows per pair. `hs` has ``score`` and
-    ``type_a`` (0/1) besides the space columns.
+    Distances are taken among the `top` best hands, closer to the front counting more; further hands
+    have similarity zero. `type_agree` is the weight of all hands of the pair with the hand's event.
+    `hs` has ``score`` and ``type_a`` (0/1) besides the space columns.
     """
-    best = top_rows(hs, PAIR, [F.col("score").desc(), F.col("hand_id")], top)
-    best = best.select(*PAIR, "hand_id", "rank", "type_a", F.array(*[F.col(c) for c in space]).alias("v"))
+    ranked = row_numbers(hs.withColumn("__neg", -F.col("score")), PAIR, [F.col("__neg"), F.col("hand_id")], magnitude_segment("__neg"), "rank")
+    ranked = settle(ranked.select(*PAIR, "hand_id", "rank", "type_a", F.array(*[F.col(c) for c in space]).alias("v")))
+    best = ranked.where(F.col("rank") <= top)
     other = best.select(*PAIR, F.col("hand_id").alias("o_hand"), F.col("rank").alias("o_rank"),
                         F.col("v").alias("o_v"))
     couples = best.join(other, PAIR).where(F.col("hand_id") != F.col("o_hand"))
@@ -135,8 +138,8 @@ def pair_consistency(hs: DataFrame, space: list[str], top: int = 20) -> DataFram
     sim = -distance(F.col("v"), F.col("o_v"))
     stats = couples.groupBy(*PAIR, "hand_id").agg(
         (F.sum(sim * w) / F.sum(w)).alias("sim_mean"), F.max(sim).alias("sim_max"))
-    dominant = best.groupBy(*PAIR).agg(F.sum(F.col("type_a") / F.col("rank")).alias("dominant"))
-    return (best.join(stats, [*PAIR, "hand_id"], "left").join(dominant, PAIR)
+    dominant = ranked.groupBy(*PAIR).agg(F.sum(F.col("type_a") / F.col("rank")).alias("dominant"))
+    return (ranked.join(stats, [*PAIR, "hand_id"], "left").join(dominant, PAIR)
             .select(*PAIR, "hand_id", "rank", F.coalesce("sim_mean", F.lit(0.0)).alias("sim_mean"),
                     F.coalesce("sim_max", F.lit(0.0)).alias("sim_max"),
                     (F.col("type_a") * F.col("dominant")).alias("type_agree")))

@@ -615,7 +615,7 @@ def key_guard(spark, sf):
 
 def token_counts(spark, sf) -> DataFrame:
     return staged(spark, sf, "tokens",
-                  lambda: tk.sequence_tokens(b.pair_hands(spark, sf), tk.action_tails(b.context(spark, sf))))
+                  lambda: tk.sequence_tokens(b.pair_hands(spark, sf), tk.described_actions(b.context(spark, sf))))
 
 
 @query
@@ -631,8 +631,7 @@ def token_vocab(spark, sf):
 @query
 def token_svd(spark, sf):
     c = token_counts(spark, sf)
-    vocab = tk.most_common_tokens(c, 20, 200)
-    d = tk.apply_token_svd(c, tk.fit_token_svd(c, 3, vocab), 3)
+    d = tk.apply_token_svd(c, tk.fit_token_svd(c, 3, 20), 3)
     return d.select("p1", "p2", "hand_id", *[F.abs(f"svd_{i}").alias(f"svd_{i}") for i in range(3)])
 
 
@@ -644,8 +643,8 @@ def conversation_tokens(spark, sf):
     rank = turns.select(
         F.col("conv_id").cast("string").alias("hand_id"), F.lit(0).alias("p1"), F.lit(1).alias("p2"),
         F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2).alias("player_id"),
-        F.col("turn").alias("action_no"), F.lit("t").alias("st"),
-        F.when(size < 80, "s").when(size < 400, "m").otherwise("l").alias("tail"))
+        F.col("turn").alias("action_no"),
+        F.struct(F.when(size < 80, 0).when(size < 400, 1).otherwise(2).alias("third")).alias("step"))
     bags = rank.select("hand_id", "p1", "p2").distinct()
     return tk.sequence_tokens(bags, rank.drop("p1", "p2")).select("hand_id", "token", "n")
 

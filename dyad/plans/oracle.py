@@ -1042,32 +1042,35 @@ UNION ALL SELECT 'pair_hands', count(*) - count(DISTINCT (hand_id, p1, p2)), cou
 UNION ALL SELECT 'live', count(*) - count(DISTINCT (hand_id, action_no, opp)), count(*) FROM live""")
 
 
+def step(street: str, inside: str, kind: str, third: str, raised: str) -> str:
+    return f"1 + (((({street}) * 2 + {inside}) * 6 + {kind}) * 3 + {third}) * 2 + {raised}"
+
+
 def ngrams(source: str, keys: str) -> str:
     w = f"(PARTITION BY {keys} ORDER BY action_no)"
     return f"""
-SELECT {keys}, token, CASE WHEN token LIKE 'who:%' THEN 1 ELSE count(*) END AS n FROM (
-  SELECT {keys}, unnest([tok, tok || '|' || t1, tok || '|' || t1 || '|' || t2, 'who:' || who || w1 || w2]) AS token FROM (
-    SELECT *, lead(tok, 1) OVER {w} AS t1, lead(tok, 2) OVER {w} AS t2, lead(who, 1) OVER {w} AS w1,
-           lead(who, 2) OVER {w} AS w2 FROM {source}) AS g) AS u WHERE token IS NOT NULL GROUP BY {keys}, token"""
+SELECT {keys}, token, CASE WHEN token < 0 THEN 1 ELSE count(*) END AS n FROM (
+  SELECT {keys}, unnest([c0, c0 + 1024 * c1, c0 + 1024 * c1 + 1048576 * c2, -1 - (9 * w0 + 3 * w1 + w2)]) AS token FROM (
+    SELECT {keys}, code::BIGINT AS c0, actor AS w0, lead(code::BIGINT, 1) OVER {w} AS c1, lead(code::BIGINT, 2) OVER {w} AS c2,
+           lead(actor, 1) OVER {w} AS w1, lead(actor, 2) OVER {w} AS w2 FROM {source}) AS g) AS u WHERE token IS NOT NULL GROUP BY {keys}, token"""
 
 
-cte("tokrow", """
+cte("tokrow", f"""
 SELECT h.p1, h.p2, h.hand_id, a.action_no,
-  CASE WHEN a.player_id = h.p1 THEN '1' WHEN a.player_id = h.p2 THEN '2' ELSE 'o' END AS who,
-  a.street || CASE WHEN a.player_id IN (h.p1, h.p2) THEN 'C' ELSE 'O' END || substr('FXCBRA', a.y + 1, 1)
-    || CASE WHEN a.strength < 34 THEN 'w' WHEN a.strength < 67 THEN 'm' ELSE 's' END
-    || CASE WHEN a.n_agg_hand > 0 THEN '1' ELSE '0' END AS tok
+  CASE WHEN a.player_id = h.p1 THEN 1 WHEN a.player_id = h.p2 THEN 2 ELSE 0 END AS actor,
+  {step('a.street', '(a.player_id IN (h.p1, h.p2))::INT', 'a.y',
+        'CASE WHEN a.strength < 34 THEN 0 WHEN a.strength < 67 THEN 1 ELSE 2 END', '(a.n_agg_hand > 0)::INT')} AS code
 FROM (SELECT a.hand_id, a.player_id AS p1, b.player_id AS p2 FROM seat AS a JOIN seat AS b
       ON a.hand_id = b.hand_id AND a.player_id < b.player_id) AS h JOIN act AS a ON h.hand_id = a.hand_id""")
 cte("tok", ngrams("tokrow", "p1, p2, hand_id"))
-oracle("sequence_tokens", "p1 p2 $hand_id $token n", "SELECT * FROM tok")
-oracle("token_vocab", "$token bags", "SELECT token, count(*) AS bags FROM tok GROUP BY 1 HAVING count(*) >= 20")
-cte("convrow", """
+oracle("sequence_tokens", "p1 p2 $hand_id token n", "SELECT * FROM tok")
+oracle("token_vocab", "token bags", "SELECT token, count(*) AS bags FROM tok GROUP BY 1 HAVING count(*) >= 20")
+cte("convrow", f"""
 SELECT CAST(conv_id AS VARCHAR) AS hand_id, turn AS action_no,
-  CASE role WHEN 'user' THEN '1' WHEN 'assistant' THEN '2' ELSE 'o' END AS who,
-  't' || CASE WHEN role IN ('user', 'assistant') THEN 'C' ELSE 'O' END
-    || CASE WHEN length(text) < 80 THEN 's' WHEN length(text) < 400 THEN 'm' ELSE 'l' END AS tok FROM conversations""")
-oracle("conversation_tokens", "$hand_id $token n", ngrams("convrow", "hand_id"))
+  CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS actor,
+  {step('0', "(role IN ('user', 'assistant'))::INT", '0', 'CASE WHEN length(text) < 80 THEN 0 WHEN length(text) < 400 THEN 1 ELSE 2 END', '0')} AS code
+FROM conversations""")
+oracle("conversation_tokens", "$hand_id token n", ngrams("convrow", "hand_id"))
 
 # ---------------------------------------------------------------- similarity
 
@@ -1095,18 +1098,19 @@ oracle("knn_ratio", "id ~gold_dist ~other_dist ~dist_ratio", f"""
 SELECT g.id, g.mean_dist AS gold_dist, o.mean_dist AS other_dist, g.mean_dist / (o.mean_dist + 1e-9) AS dist_ratio
 FROM ({brute_knn('r.label < 3')}) AS g JOIN ({brute_knn('r.label >= 3')}) AS o ON g.id = o.id""")
 
-cte("best20", f"""
-SELECT * FROM (SELECT {_KEYS}, hand_id, score, transfer_gross, ln(1 + transfer_gross::DOUBLE) AS v1,
+cte("ranked", f"""
+SELECT {_KEYS}, hand_id, score, transfer_gross, ln(1 + transfer_gross::DOUBLE) AS v1,
   greatest(ahead_fold, fold_better_flag, conceded_flag) AS type_a,
-  row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id) AS rank FROM sig) AS s WHERE rank <= 20""")
+  row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, hand_id) AS rank FROM sig""")
+cte("best20", "SELECT * FROM ranked WHERE rank <= 20")
 oracle("pair_consistency", _H + "rank ~sim_mean ~sim_max ~type_agree", f"""
 SELECT b.*, coalesce(s.sim_mean, 0) AS sim_mean, coalesce(s.sim_max, 0) AS sim_max, b.type_a * d.dom AS type_agree
-FROM best20 AS b LEFT JOIN (
+FROM ranked AS b LEFT JOIN (
   SELECT {', '.join('a.' + k for k in _KEYS.split(', '))}, a.hand_id, max(-sqrt((a.v1 - o.v1) ** 2 + (a.score - o.score) ** 2)) AS sim_max,
     sum(-sqrt((a.v1 - o.v1) ** 2 + (a.score - o.score) ** 2) / o.rank) / sum(1.0 / o.rank) AS sim_mean
   FROM best20 AS a JOIN best20 AS o ON a.phase = o.phase AND a.p1 = o.p1 AND a.p2 = o.p2 AND a.hand_id <> o.hand_id
   GROUP BY ALL) AS s USING ({_KEYS}, hand_id)
-JOIN (SELECT {_KEYS}, sum(type_a / rank) AS dom FROM best20 GROUP BY ALL) AS d USING ({_KEYS})""")
+JOIN (SELECT {_KEYS}, sum(type_a / rank) AS dom FROM ranked GROUP BY ALL) AS d USING ({_KEYS})""")
 
 # ---------------------------------------------------------------- bags of actions
 
@@ -1370,15 +1374,16 @@ FROM (SELECT signal, gold, (x - avg(x) OVER p) / (stddev_samp(x) OVER p + 1e-9)
           for c in ("score", "transfer_gross", "abs_net_gap", "pot_bb"))
        + ") AS u WINDOW p AS (PARTITION BY signal, p1, p2)) AS z GROUP BY 1")
 
-cte("mixpool", """
-SELECT *, row_number() OVER (ORDER BY md5(pid || '|mix'), pid) AS i FROM riskpair WHERE label = 1 AND family = 'soft_play'""")
-cte("mixbase", "SELECT * FROM riskpair WHERE NOT (label = 1 AND family = 'soft_play')")
+cte("mixrow", """
+SELECT share, draw, pid, risk, label = 1 AND family IS DISTINCT FROM 'soft_play' AS known,
+  row_number() OVER (PARTITION BY share, draw, label = 1 AND family = 'soft_play' ORDER BY md5(pid || '|mix' || draw), pid) AS i,
+  label = 1 AND coalesce(family = 'soft_play', false) AS hidden
+FROM riskpair CROSS JOIN (SELECT unnest([0.0, 0.2]) AS share) AS s CROSS JOIN (SELECT unnest(range(5)) AS draw) AS d""")
 cte("mix", """
-SELECT 0.0 AS share, pid, risk, label FROM mixbase
-UNION ALL SELECT 0.2, pid, risk, label FROM mixbase
-UNION ALL SELECT 0.2, pid, risk, label FROM mixpool
-  WHERE i <= (SELECT round(0.2::DOUBLE * count(*) FILTER (label = 1) / (1 - 0.2::DOUBLE)) FROM mixbase)""")
-oracle("mixture_ap", "~share rows positives ~ap", ap("mix", "risk", "label = 1", "pid", "share"))
+SELECT share, draw, pid, risk, known OR (hidden AND i <= round(share::DOUBLE * count(*) FILTER (known) OVER (PARTITION BY share, draw)
+  / (1 - share::DOUBLE))) AS target FROM mixrow""")
+oracle("mixture_ap", "~share ~rows ~positives ~ap", f"""
+SELECT share, avg(rows) AS rows, avg(positives) AS positives, avg(ap) AS ap FROM ({ap("mix", "risk", "target", "pid", "share, draw")}) AS d GROUP BY 1""")
 
 cte("profile0", """
 SELECT phase, table_id, p1, p2, count(*) AS hands, count(*) FILTER (a1.n > 0 AND a2.n > 0) AS co_raises,
