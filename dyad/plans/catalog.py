@@ -243,15 +243,15 @@ def signals(spark, sf) -> DataFrame:
     return staged(spark, sf, "signals", build)
 
 
-SIGNALS = ["pair_surprise", "pair_fold_surprise", "surprise_vs_partner", "surprise_vs_partner_hi",
-           "fold_vs_partner", "call_vs_partner", "aggr_vs_partner", "excess_vs_partner", "pair_aggr_excess",
-           "stronger_side_deficit", "surprise_imbalance", "fold_better_flag", "paid_flag", "conceded_flag",
-           "ahead_fold", "transfer_event", "concession_weight", "any_vpip", "both_vpip", "interacted", "contact",
-           "weaker_raiser_strength", "abs_transfer", "abs_net_gap", "abs_strength_gap", "value_against_strength",
-           "min_strength_rank", "max_strength_rank", "postflop_checks_both", "loser_contribution",
-           "winner_is_partner", "donor_weakness", "receiver_weakness", "donor_surprise", "receiver_surprise",
-           "donor_contribution", "donor_calls", "surprise_per_action", "outsider_clear_rate",
-           "aggr_with_weak_hand", "unjustified_investment", "won_small_pot"]
+SIGNALS = ["abs_net_gap", "abs_strength_gap", "abs_transfer", "aggr_vs_partner", "aggr_with_weak_hand", "ahead_fold",
+           "any_vpip", "both_vpip", "call_vs_partner", "conceded_flag", "concession_weight", "contact",
+           "donor_calls", "donor_contribution", "donor_surprise", "donor_weakness", "excess_vs_partner",
+           "fold_better_flag", "fold_vs_partner", "interacted", "loser_contribution", "max_strength_rank",
+           "min_strength_rank", "outsider_clear_rate", "paid_flag", "pair_aggr_excess", "pair_fold_surprise",
+           "pair_surprise", "postflop_checks_both", "receiver_surprise", "receiver_weakness",
+           "stronger_side_deficit", "surprise_imbalance", "surprise_per_action", "surprise_vs_partner",
+           "surprise_vs_partner_hi", "transfer_event", "unjustified_investment", "value_against_strength",
+           "weaker_raiser_strength", "winner_is_partner", "won_small_pot"]
 
 
 @query
