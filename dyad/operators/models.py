@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dyad.functions.cols import FAMILIES, as_int
 from dyad.functions.ordered import top_rows
 from dyad.operators.pairs import PAIR
-from dyad.operators.retrieval import borda, entropy, pairwise_couples
+from dyad.operators.retrieval import borda, entropy, shortlist_pairs
 from dyad.session import settle
 
 SEED = 7
@@ -207,7 +207,7 @@ def pairwise_ranker(cands: DataFrame, features: list[str], top: int = 20, folds:
     Couples are formed only inside the pair's `top` best hands.
     """
     best = top_rows(cands, PAIR, [F.col("score").desc(), F.col("hand_id")], top)
-    couples = pairwise_couples(best, [*features, "gold"])
+    couples = shortlist_pairs(best, [*features, "gold"])
     couples = couples.withColumns({"label": F.when(F.col("d_gold") > 0, 1.0).when(F.col("d_gold") < 0, 0.0),
                                    "fold": F.pmod("table_id", F.lit(folds)).cast("int")})
     cols = [f"{p}_{c}" for c in features for p in ("a", "b", "d")]

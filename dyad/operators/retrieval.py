@@ -173,7 +173,7 @@ def route_other(pairs: DataFrame, risk: str, probabilities: dict[str, str], q: f
         .select(*ident, "ood", "family_argmax", "routed"))
 
 
-def pairwise_couples(best: DataFrame, features: list[str], key: list[str] = PAIR) -> DataFrame:
+def shortlist_pairs(best: DataFrame, features: list[str], key: list[str] = PAIR) -> DataFrame:
     """Ordered couples of a pair's shortlist with both blocks and their difference.
 
     `best` must already be cut to a fixed number of hands per pair.

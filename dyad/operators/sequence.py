@@ -178,7 +178,7 @@ def actor_style_smoothed(context: DataFrame) -> DataFrame:
 
 
 def concessions(context: DataFrame, seats: DataFrame) -> DataFrame:
-    """Every exit after aggression: whom it answered, and whether the better hand was given up."""
+    """One row per fold to a bet or raise, with both strengths on that street where they can be compared."""
     s = strength_at
     exits = context.where(F.col("is_exit") & F.col("last_agg").isNotNull())
     mine = seats.select("hand_id", "player_id", *[F.col(f"str_{i}").alias(f"m_{i}") for i in range(4)])

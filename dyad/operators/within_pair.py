@@ -21,7 +21,7 @@ def with_pair_position(ph: DataFrame) -> DataFrame:
 
 
 def episode_features(ph: DataFrame) -> DataFrame:
-    """Where a hand sits in the pair's history and what surrounds it.
+    """Chronology of each shared hand: its place, the gaps beside it and the sums of its neighbours.
 
     Needs ``pair_rn`` and the hand signals. Neighbour sums leave the hand out.
     """
@@ -56,7 +56,7 @@ def episode_features(ph: DataFrame) -> DataFrame:
 
 
 def direction_consistency(ph: DataFrame) -> DataFrame:
-    """Does the hand move value the way the pair's other hands do?"""
+    """Flow and concessions of a hand, signed by the direction that prevails in the rest of the pair's hands."""
     d = ph.withColumns({"__a12": as_int(F.col("ahead_fold_1_to_2")), "__a21": as_int(F.col("ahead_fold_2_to_1"))})
     d = minus_own(d, PAIR, ["transfer_1_to_2", "transfer_2_to_1", "__a12", "__a21"], "__r_")
 

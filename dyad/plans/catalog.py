@@ -1023,7 +1023,7 @@ def route_other(spark, sf):
 def borda_scores(spark, sf):
     """Borda mean of a fixed comparator on every pair's twenty best hands."""
     best = wp.shortlist(signals(spark, sf).select(*HAND_KEY, "score", "transfer_gross"), 20)
-    c = rt.pairwise_couples(best, ["score", "transfer_gross"])
+    c = rt.shortlist_pairs(best, ["score", "transfer_gross"])
     prob = 1.0 / (1.0 + F.exp(-F.col("d_score")))
     return rt.borda(c.withColumn("win", prob), "win")
 
