@@ -337,15 +337,19 @@ def hand_tilt(x: DataFrame, residual: DataFrame) -> DataFrame:
         F.sum("t_fac").alias("tilt_facing"), F.sum("acts").alias("acts"))
 
 
+def _whole(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    return pairs.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+
+
 def _members(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """Long form of the pair table seen from each member: (pair, member, signal, x)."""
-    long = melt(pairs, PAIR, columns)
+    """Long form of the pair table seen from each member: (pair, member, signal, x); a missing value is zero."""
+    long = melt(_whole(pairs, columns), PAIR, columns)
     return long.withColumn("member", F.explode(F.array("p1", "p2")))
 
 
 def dyadic_residual(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """x - med(A) - med(B) + med(table), and its robust z-score inside the table."""
-    long = melt(pairs, PAIR, columns)
+    """x - med(A) - med(B) + med(table), and its robust z-score inside the table. Missing values count as zero."""
+    long = melt(_whole(pairs, columns), PAIR, columns)
     of_member = medians(_members(pairs, columns), [*TABLE, "member", "signal"], "x", "med")
     of_table = medians(long, [*TABLE, "signal"], "x", "med_t")
     d = long.join(of_table, [*TABLE, "signal"])
@@ -369,7 +373,8 @@ def partner_rank_gap(pairs: DataFrame, columns: list[str]) -> DataFrame:
     """How far a pair stands out among each member's pairs.
 
     A member's two best values come from a top-2 trim, ranks from a counted
-    table of distinct values; no member's partners are gathered in one place.
+    table of distinct values; no member's partners are gathered in one place. A sole
+    partner is measured against zero.
     """
     long = _members(pairs, columns)
     keys = [*TABLE, "member", "signal"]
@@ -381,7 +386,7 @@ def partner_rank_gap(pairs: DataFrame, columns: list[str]) -> DataFrame:
     med = order_values(long, keys, "x", {"med": median_positions()})
     d = long.join(ranks, [*keys, "x"]).join(best, keys).join(med, keys)
     d = d.withColumns({
-        "margin": F.when(F.col("place") == 1, F.col("x") - F.col("b2")).otherwise(F.col("x") - F.col("b1")),
+        "margin": F.when(F.col("place") == 1, F.col("x") - F.coalesce("b2", F.lit(0.0))).otherwise(F.col("x") - F.col("b1")),
         "above_median": F.col("x") - F.col("med")})
     aggs = []
     for c in columns:

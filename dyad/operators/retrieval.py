@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import FAMILIES, NO_EVIDENCE, as_int
-from dyad.functions.ordered import nearest_positions, order_values, percentiles, top_rows
+from dyad.functions.ordered import magnitude_segment, nearest_positions, order_values, percentiles, row_numbers, top_rows
 from dyad.operators.pairs import PAIR
 from dyad.session import settle
 
@@ -156,21 +156,28 @@ def entropy(probabilities: list[str]) -> Column:
     return out
 
 
-def route_other(pairs: DataFrame, risk: str, probabilities: dict[str, str], q: float, ident: list[str]) -> DataFrame:
-    """Family of the largest probability, the most out-of-family q tail sent to `other_coordination`."""
+def route_other(pairs: DataFrame, risk: str, probabilities: dict[str, str], q: float, ident: list[str], k: int) -> DataFrame:
+    """Family of the largest probability; of the `k` riskiest pairs, those whose out-of-family score reaches
+    the q quantile among these go to `other_coordination`. Pairs further down keep their family.
+
+    The score is the rank of the risk, scaled to [0, 1), times what the best family leaves open. Every pair has a row.
+    """
     ps = list(probabilities.values())
     best = F.greatest(*[F.col(p) for p in ps])
     names = list(probabilities)
     pick = F.lit(names[-1])
     for f in reversed(names[:-1]):
         pick = F.when(F.col(probabilities[f]) == best, F.lit(f)).otherwise(pick)
-    d = pairs.withColumns({
-        "__k": F.lit(1),
-        "ood": F.round(F.col(risk) * (1.0 - best) * (1.0 + 0.2 * entropy(ps)), 9), "family_argmax": pick})
-    cut = order_values(d, ["__k"], "ood", {"cut": nearest_positions(q)})
-    return (d.join(F.broadcast(cut), "__k").withColumn(
-        "routed", F.when(F.col("ood") >= F.col("cut"), "other_coordination").otherwise(F.col("family_argmax")))
-        .select(*ident, "ood", "family_argmax", "routed"))
+    d = pairs.withColumns({"__k": F.lit(1), "__neg": -F.col(risk).cast("double"), "family_argmax": pick})
+    d = row_numbers(d, ["__k"], [F.col("__neg"), *ident], magnitude_segment("__neg"), "__place")
+    d = d.join(F.broadcast(pairs.agg(F.count("*").alias("__n"))))
+    ranked = (F.col("__n") - F.col("__place")) / F.col("__n")
+    d = settle(d.withColumn("ood", F.round(ranked * (1.0 - best) * (1.0 + 0.2 * entropy(ps)), 9)).select(
+        "__k", *ident, "__place", "ood", "family_argmax"))
+    cut = order_values(d.where(F.col("__place") <= k), ["__k"], "ood", {"cut": nearest_positions(q)})
+    out = (F.col("__place") <= k) & (F.col("ood") >= F.col("cut"))
+    return d.join(F.broadcast(cut), "__k", "left").select(
+        *ident, "ood", "family_argmax", F.when(out, "other_coordination").otherwise(F.col("family_argmax")).alias("routed"))
 
 
 def shortlist_pairs(best: DataFrame, features: list[str], key: list[str] = PAIR) -> DataFrame:

@@ -1016,7 +1016,7 @@ def route_other(spark, sf):
     d = risk_pairs(spark, sf).withColumns({
         "a": (F.pmod("p1", F.lit(4)) + 1) / 10.0, "b": (F.pmod("p2", F.lit(5)) + 1) / 10.0})
     d = d.withColumn("c", 1.0 - F.col("a") - F.col("b"))
-    return rt.route_other(d, "risk", dict(zip(fc.FAMILIES, "abc", strict=True)), 0.95, ["p1", "p2"])
+    return rt.route_other(d, "risk", dict(zip(fc.FAMILIES, "abc", strict=True)), 0.95, ["p1", "p2"], 300)
 
 
 @query

@@ -871,7 +871,7 @@ FROM (SELECT hand_id, player_id, opp, sum(tilt) AS t, max(tilt) AS tm, sum(nll1)
 _DY = ["transfer_total", "pair_net_total", "transfer_event_rate", "both_showdown_rate", "outsiders_folded_mean",
        "contribution_gap_mean", "pair_aggressive_mean", "relay_rate"]
 cte("aggr", "SELECT phase, table_id, p1, p2, shared_hands, " + ", ".join(
-    f"round({c}::DOUBLE, 6) AS {c}" for c in _DY) + " FROM agg")
+    f"round(coalesce({c}, 0)::DOUBLE, 6) AS {c}" for c in _DY) + " FROM agg")
 cte("member", " UNION ALL ".join(f"SELECT *, {p} AS member FROM aggr" for p in ("p1", "p2")))
 cte("membermed", "SELECT phase, table_id, member, " + ", ".join(f"median({c}) AS {c}" for c in _DY)
     + " FROM member GROUP BY 1, 2, 3")
@@ -894,7 +894,7 @@ oracle("partner_rank_gap", _P + " ".join(f"{c}_rank_worst ~{c}_margin_min ~{c}_m
        "SELECT phase, table_id, p1, p2, " + ", ".join(
            f"max(pl_{c}) AS {c}_rank_worst, min(mg_{c}) AS {c}_margin_min, max(mg_{c}) AS {c}_margin_max, "
            f"min(ab_{c}) AS {c}_above_min" for c in _PR) + " FROM (SELECT *, " + ", ".join(
-           f"CASE WHEN pl_{c} = 1 THEN {c} - top_{c}[2] ELSE {c} - top_{c}[1] END AS mg_{c}, {c} - med_{c} AS ab_{c}"
+           f"CASE WHEN pl_{c} = 1 THEN {c} - coalesce(top_{c}[2], 0) ELSE {c} - top_{c}[1] END AS mg_{c}, {c} - med_{c} AS ab_{c}"
            for c in _PR) + " FROM (SELECT *, " + ", ".join(
            f"rank() OVER (PARTITION BY phase, table_id, member ORDER BY {c} DESC) AS pl_{c}, "
            f"list_sort(list({c}) OVER (PARTITION BY phase, table_id, member), 'DESC') AS top_{c}, "
@@ -1442,12 +1442,13 @@ SELECT *, greatest(-log10(1 - pct_transfer_total + 1.0 / n), -log10(1 - pct_both
   SELECT {_KEYS}, count(*) OVER (PARTITION BY phase) AS n, {pct('transfer_total', 'phase')} AS pct_transfer_total,
          {pct('both_showdown_rate', 'phase')} AS pct_both_showdown_rate FROM aggr) AS t""")
 cte("ood", f"""
-SELECT p1, p2, round(risk * (1 - greatest(a, b, c)) * (1 + 0.2 * -(a * ln(a + 1e-9) + b * ln(b + 1e-9) + c * ln(c + 1e-9))), 9) AS ood,
+SELECT p1, p2, place <= 300 AS top, round((n - place)::DOUBLE / n * (1 - greatest(a, b, c)) * (1 + 0.2 * -(a * ln(a + 1e-9) + b * ln(b + 1e-9) + c * ln(c + 1e-9))), 9) AS ood,
   CASE WHEN a >= b AND a >= c THEN 'directed_transfer' WHEN b >= c THEN 'soft_play' ELSE 'coordinated_isolation' END AS family_argmax
 FROM (SELECT *, 1.0::DOUBLE - a - b AS c FROM (
-  SELECT *, (p1 % 4 + 1) / 10.0::DOUBLE AS a, (p2 % 5 + 1) / 10.0::DOUBLE AS b FROM riskpair) AS r) AS s""")
+  SELECT *, (p1 % 4 + 1) / 10.0::DOUBLE AS a, (p2 % 5 + 1) / 10.0::DOUBLE AS b, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY risk DESC, p1, p2) AS place FROM riskpair) AS r) AS s""")
 oracle("route_other", "p1 p2 ~ood $family_argmax $routed", f"""
-SELECT *, CASE WHEN ood >= (SELECT {nearest('ood', 0.95)} FROM ood) THEN 'other_coordination' ELSE family_argmax END AS routed
+SELECT p1, p2, ood, family_argmax, CASE WHEN top AND ood >= (SELECT {nearest('ood', 0.95)} FROM ood WHERE top) THEN 'other_coordination' ELSE family_argmax END AS routed
 FROM ood""")
 oracle("borda_scores", _H + "~borda", f"""
 SELECT {_KEYS}, a_hand AS hand_id, 0.5 * (won / seen + 1 - lost / seen) AS borda FROM (
