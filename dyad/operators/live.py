@@ -177,17 +177,18 @@ def surprise_by_target(scored: DataFrame) -> DataFrame:
 def hidden_info_hand(x: DataFrame) -> DataFrame:
     """What the opponent's hidden strength adds to the policy, per (hand, actor, opponent).
 
-    Two context policies are compared on the same rows, without and with the
-    strength difference; the gain is centred over the opponents live at the action.
+    The policy without it sees every action once and no opponent; the policy with it sees an action
+    once per live opponent, and whether that opponent is faced and how the two strengths compare. The
+    gain is centred over the opponents live at the action, and summed apart on folds and on answers.
     """
     x = x.drop(*[f"p{k}" for k in range(5)]).withColumns({
         "c_street": F.col("street"),
         "c_own": F.when(F.col("strength") < 34, 0).when(F.col("strength") < 67, 1).otherwise(2),
         "c_agg": as_int(F.col("last_agg").isNotNull()), "c_facing": as_int(F.col("facing")),
         "c_rel": F.when(F.col("rel") < -10, 0).when(F.col("rel") > 10, 2).otherwise(1)})
-    plain = ["c_street", "c_own", "c_agg", "c_facing"]
-    full = [*plain, "c_rel"]
-    p1 = context_policy(x, context=plain)
+    plain = ["c_street", "c_own", "c_agg"]
+    full = [*plain, "c_facing", "c_rel"]
+    p1 = context_policy(x.select("hand_id", "action_no", *plain, "y", "fold").distinct(), context=plain)
     p2 = context_policy(x, context=full)
     scored = (score_policy(x, p1, plain).withColumn(
         "lp", F.log(F.element_at(F.array(*[F.col(f"p{k}") for k in range(5)]), F.col("y") + 1)))
@@ -198,7 +199,8 @@ def hidden_info_hand(x: DataFrame) -> DataFrame:
     centred = scored.withColumn("hi_gain", F.col("gain") - F.avg("gain").over(one_action))
     return centred.groupBy("phase", "table_id", "hand_id", "player_id", "opp").agg(
         F.sum("hi_gain").alias("hi_sum"), F.max("hi_gain").alias("hi_max"),
-        F.sum("gain").alias("gain_sum"), F.count("*").alias("n"))
+        F.sum("gain").alias("gain_sum"), F.sum(F.when(F.col("y") == 0, F.col("gain")).otherwise(0.0)).alias("gain_fold"),
+        F.sum(F.when(F.col("facing"), F.col("gain")).otherwise(0.0)).alias("gain_facing"), F.count("*").alias("n"))
 
 
 def hidden_info_pair(hand: DataFrame) -> DataFrame:

@@ -1119,11 +1119,16 @@ def size_model(spark, sf):
     return md.size_model(b.scored(spark, sf))
 
 
+def development_folds(d: DataFrame, n: int) -> DataFrame:
+    """Folds by table for the development phase. Rows of the evaluation phase have none: every fold's model scores them."""
+    return sq.with_fold(d, n).withColumn("fold", F.when(F.col("phase") == "development", F.col("fold")))
+
+
 def labelled_hands(spark, sf) -> DataFrame:
     bags = bag_rows(spark, sf).select("p1", "p2", "hand_id", "bag_label")
     fam = labels(spark, sf).select("p1", "p2", "family")
-    s = signals(spark, sf).where("phase = 'development'").select(*HAND_KEY, *md.HAND_FEATURES)
-    return sq.with_fold(s.join(bags, bg.BAG, "left").join(fam, ["p1", "p2"], "left"))
+    s = signals(spark, sf).select(*HAND_KEY, *md.HAND_FEATURES)
+    return development_folds(s.join(bags, bg.BAG, "left").join(fam, ["p1", "p2"], "left"), 5)
 
 
 @query
@@ -1153,7 +1158,7 @@ PAIR_FEATURES = ["shared_hands", *RATES, "g_hi", "g_sum", "surp_excess_hi"]
 def pair_table(spark, sf) -> DataFrame:
     def build():
         wide = ag.assemble(aggregated(spark, sf), [assembled(spark, sf).drop("shared_hands")])
-        d = sq.with_fold(ag.attach_labels(wide.where("phase = 'development'"), labels(spark, sf)), 3)
+        d = development_folds(ag.attach_labels(wide, labels(spark, sf)), 3)
         return d.select(*PAIR, "label", "family", "fold", *PAIR_FEATURES)
     return staged(spark, sf, "pair_table", build)
 
@@ -1175,5 +1180,5 @@ def behaviour_model_held_out(spark, sf):
 
 @query
 def nested_crossfit(spark, sf):
-    d = pair_table(spark, sf).where("label >= 0").withColumn("y", F.col("label").cast("double"))
+    d = pair_table(spark, sf).where("label >= 0 and fold is not null").withColumn("y", F.col("label").cast("double"))
     return md.crossfit_nested(d, md.logistic("y"), ["shared_hands", "g_hi", "g_sum"], "y", [*PAIR], 2)

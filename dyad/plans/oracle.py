@@ -483,16 +483,18 @@ FROM live GROUP BY 1, 2, 3""")
 cte("hidden_state", """
 SELECT * EXCLUDE (c_agg, p0, p1, p2, p3, p4), (last_agg IS NOT NULL)::INT AS c_agg, facing::INT AS c_facing,
        CASE WHEN rel < -10 THEN 0 WHEN rel > 10 THEN 2 ELSE 1 END AS c_rel FROM live""")
-cte("hidden_plain", smoothed_policy("hidden_state", "c_street, c_own, c_agg, c_facing"))
+cte("hidden_once", "SELECT DISTINCT hand_id, action_no, c_street, c_own, c_agg, y, fold FROM hidden_state")
+cte("hidden_plain", smoothed_policy("hidden_once", "c_street, c_own, c_agg"))
 cte("hidden_full", smoothed_policy("hidden_state", "c_street, c_own, c_agg, c_facing, c_rel"))
 cte("hidden_gain", """
 SELECT *, gain - avg(gain) OVER (PARTITION BY hand_id, action_no) AS hi FROM (
-  SELECT h.phase, h.table_id, h.hand_id, h.action_no, h.player_id, h.opp,
+  SELECT h.phase, h.table_id, h.hand_id, h.action_no, h.player_id, h.opp, h.y, h.facing,
     ln([f.p0, f.p1, f.p2, f.p3, f.p4][h.y + 1]) - ln([p.p0, p.p1, p.p2, p.p3, p.p4][h.y + 1]) AS gain
-  FROM hidden_state AS h JOIN hidden_plain AS p USING (c_street, c_own, c_agg, c_facing, fold)
+  FROM hidden_state AS h JOIN hidden_plain AS p USING (c_street, c_own, c_agg, fold)
   JOIN hidden_full AS f USING (c_street, c_own, c_agg, c_facing, c_rel, fold)) AS x""")
-oracle("hidden_information_hand", "$hand_id player_id opp ~hi_sum ~hi_max ~gain_sum n", """
-SELECT hand_id, player_id, opp, sum(hi) AS hi_sum, max(hi) AS hi_max, sum(gain) AS gain_sum, count(*) AS n
+oracle("hidden_information_hand", "$hand_id player_id opp ~hi_sum ~hi_max ~gain_sum ~gain_fold ~gain_facing n", """
+SELECT hand_id, player_id, opp, sum(hi) AS hi_sum, max(hi) AS hi_max, sum(gain) AS gain_sum,
+  coalesce(sum(gain) FILTER (y = 0), 0) AS gain_fold, coalesce(sum(gain) FILTER (facing), 0) AS gain_facing, count(*) AS n
 FROM hidden_gain GROUP BY 1, 2, 3""")
 oracle("hidden_information", "$phase table_id actor partner n ~hi_rate ~hi_delta ~hi_excess ~hi_max", """
 SELECT *, hi_rate - field AS hi_delta, (hi_rate - field) * sqrt(least(n, 400)) AS hi_excess FROM (
