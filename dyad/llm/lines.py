@@ -1,8 +1,9 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations alone.
 
 A line is the set of its five-word shingles (a shorter line is one shingle). Shingles are ordered by
-rarity: a table of fixed size counts all shingles of the corpus by hash, and rarer comes first, the
-hash breaking ties, so every line orders its shingles alike. Lines with equal sets are one class, of
+rarity: a table of fixed size counts all words of the corpus by hash, and a shingle is placed by the
+count of its first word, which no count of its own exceeds, so one that is common anywhere comes
+late; rarer comes first, the hash breaking ties, and every line orders its shingles alike. Lines with equal sets are one class, of
 which the first line stands for all. First lines that reach Jaccard similarity 0.8 must share a
 shingle in their prefixes; pairs that do pass the length and positional filters, and what is left is
 verified on the whole sets. A line goes if an earlier line, in a smaller id or further up, is similar.
@@ -18,12 +19,12 @@ from dyad.llm import store
 SHINGLE = 5
 BUCKETS = 1 << 18
 _SOLID = "[^\x20\x09-\x0d]"
-_ODD_SPACE = "[\x09\x0b-\x0d]"
+_ODD_SPACE = "[\x09\x0b-\x0d]|^ |  | \\z"
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line; the costlier split only where white space other than a blank occurs."""
-    return F.array_remove(F.when(line.rlike(_ODD_SPACE), F.split(line, "[\x20\x09-\x0d]")).otherwise(F.split(line, " ")), "")
+    """Words of a line; the costlier split only where there is other white space than single blanks between words."""
+    return F.when(line.rlike(_ODD_SPACE), F.array_remove(F.split(line, "[\x20\x09-\x0d]"), "")).otherwise(F.split(line, " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,13 +34,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(lines: DataFrame) -> DataFrame:
-    """The distinct shingle hashes of every line, as `set`, never empty.
+    """The distinct shingle hashes of every line, as `set`, never empty."""
+    return lines.withColumn("set", F.array_distinct(F.transform(_starts(), _hash))).drop("words")
+
+
+def _starts() -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
 
-    Sets are exploded as outer: a filter on their size would be pushed below and split every line anew per shingle.
-    """
-    last = F.greatest(F.size("words") - SHINGLE, F.lit(0))
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("words", i + j) for j in range(SHINGLE))))
-    return lines.withColumn("set", F.array_distinct(hashed)).drop("words")
+
+def _hash(start: Column) -> Column:
+    return F.xxhash64(*(F.get("words", start + j) for j in range(SHINGLE)))
 
 
 def _bucket(h: Column) -> Column:
@@ -47,8 +51,11 @@ def _bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> bytes:
-    """Logarithmic counts of shingles, a byte below 32 for each bucket."""
-    seen = _shingles(_lines(docs)).select(F.explode_outer("set").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n"))
+    """Logarithmic counts of all words, a byte below 32 for each bucket of them.
+
+    Words are exploded as outer: a filter on their number would be pushed below and split every line twice.
+    """
+    seen = _lines(docs).select(F.explode_outer("words").alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     whole = seen.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n")))
     ranks = whole.groupBy("b").agg(F.least(F.floor(F.log2(F.sum("n") + 1)), F.lit(31)).cast("int").alias("c"))
     runs = ranks.groupBy(F.shiftright("b", 10).alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("cs"))
@@ -56,11 +63,11 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def _ordered(lines: DataFrame, classes: bytes) -> DataFrame:
-    """`set` as sorted integers: rarity in the upper bits, hash in the lower."""
+    """`set`: distinct shingles as sorted integers, rarity in the upper bits, hash in the lower."""
     table = F.lit(bytearray(classes))
     rank = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string"))
-    place = lambda h: F.shiftleft(rank(h).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-    return lines.withColumn("set", F.array_sort(F.transform("set", place)))
+    place = lambda i: F.shiftleft(rank(F.xxhash64(F.get("words", i))).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(_hash(i), 6))
+    return lines.withColumn("set", F.array_distinct(F.array_sort(F.transform(_starts(), place)))).drop("words")
 
 
 def _needed(n: Column) -> Column:
@@ -68,8 +75,12 @@ def _needed(n: Column) -> Column:
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that has an earlier similar one. `docs` has doc_id and text, no nulls."""
-    sets = _ordered(_shingles(_lines(docs)), rarity(docs))
+    """(doc_id, line) of every line that has an earlier similar one. `docs` has doc_id and text, no nulls.
+
+    Candidates are verified on the texts again; joined by doc_id, these come from the exchange that a
+    caller's own join of `docs` on doc_id reads as well.
+    """
+    sets = _ordered(_lines(docs), rarity(docs))
     n = F.size("set")
     brief = sets.select("doc_id", "line", n.alias("n"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"),
                         F.when(n >= SHINGLE, F.slice("set", 1, n - _needed(n) + 1)).alias("prefix"))
@@ -95,21 +106,29 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     return ranked.where("again").select("doc_id", "line").unionByName(later)
 
 
+def _as(docs: DataFrame, column: str, name: str, kind: str) -> Column:
+    """The column under that name and type, untouched if it has them: an alias would keep Spark from reusing an exchange."""
+    return F.col(column) if column == name and dict(docs.dtypes)[column] == kind else F.col(column).cast(kind).alias(name)
+
+
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, text without the lines that have an earlier similar one, n_lines,
-    n_removed, and the other columns as they are in the struct `rest`.
+    n_removed, and the other columns, if any, as they are in the struct `rest`.
 
     Lines end at a line feed and are judged on the input. Lines without words stay. A null text has
     no lines and stays null; a text that loses all its lines is empty. Rows without an id are left as
     they are; `docs` must have one row per id. Empty in, empty out.
     """
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("rest"))
-    usable = own.select("doc_id", "text").where("doc_id is not null and text is not null")
+    own = docs.select(_as(docs, id_col, "doc_id", "bigint"), _as(docs, text_col, "text", "string"), *([F.struct(*others).alias("rest")] if others else []))
+    whole = "doc_id is not null and text is not null"
+    usable = own.where(whole)
     gone = similar_lines(usable).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    cut = own.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "rest", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
-                                                                F.split("text", "\n").alias("lines"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    cut = usable.join(gone.hint("merge"), "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    lines = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return cut.select("doc_id", kept.alias("text"), F.coalesce(F.size("lines").cast("long"), F.lit(0)).alias("n_lines"),
-                      F.size("gone").cast("long").alias("n_removed"), "rest")
+    cut = cut.withColumn("lines", lines).withColumns({"text": kept, "n_lines": F.size("lines").cast("long"), "n_removed": F.size("gone").cast("long")})
+    none = F.lit(0).cast("long")
+    rest = own.where(f"not ({whole})").withColumns({"n_lines": F.when(F.col("text").isNull(), none).otherwise(F.size(lines).cast("long")), "n_removed": none})
+    return cut.drop("gone", "lines").unionByName(rest)
