@@ -121,10 +121,15 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
     own = docs.select(_as(docs, id_col, "doc_id", "bigint"), _as(docs, text_col, "text", "string"), *([F.struct(*others).alias("rest")] if others else []))
+    texts = own.select("doc_id", "text")
     whole = "doc_id is not null and text is not null"
-    usable = own.where(whole)
+    usable = texts.where(whole)
     gone = similar_lines(usable).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    cut = usable.join(gone.hint("merge"), "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    if others:  # joined to the decisions first, so that both joins of the texts read one exchange
+        cut = usable.join(own.where(whole).select("doc_id", "rest").join(gone.hint("merge"), "doc_id", "left").hint("merge"), "doc_id")
+    else:
+        cut = usable.join(gone.hint("merge"), "doc_id", "left")
+    cut = cut.withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
