@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
+KINDS = {"BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double", "VARCHAR": "string"}
 
 
 @pytest.fixture(scope="module")
