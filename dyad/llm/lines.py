@@ -86,7 +86,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
                         F.when(n >= SHINGLE, F.slice("set", 1, n - _needed(n) + 1)).alias("prefix"))
     nth = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("doc_id", "line"))
     ranked = brief.withColumn("nth", nth).select("doc_id", "line", "n", (F.col("nth") > 1).alias("again"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
-    ranked, _ = store.kept(ranked, "lines")
+    ranked, path = store.kept(ranked, "lines")
     posts = ranked.where("prefix is not null").select("doc_id", "line", "n", F.posexplode_outer("prefix").alias("at", "token"))
     a, b = (posts.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "line", "n", "at"))) for side in "ab")
     earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_line") < F.col("b_line")))
@@ -94,6 +94,8 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     positional = 9 * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= 4 * (F.col("a_n") + F.col("b_n"))
     pairs = a.join(b.hint("merge"), "token").where(earlier & length & positional).select("a_doc_id", "a_line", "b_doc_id", "b_line").distinct()
     pairs, _ = store.kept(pairs, "pairs")
+    again, _ = store.kept(ranked.where("again").select("doc_id", "line"), "again")
+    store.drop(docs.sparkSession, path)
 
     end = lambda side: F.struct(F.col(f"{side}_doc_id").alias("doc_id"), F.col(f"{side}_line").alias("line"))
     wanted = pairs.select(F.explode(F.array(end("a"), end("b"))).alias("e")).select("e.*").groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
@@ -103,7 +105,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     both = pairs.join(left, ["a_doc_id", "a_line"]).join(right, ["b_doc_id", "b_line"])
     shared = F.size(F.array_intersect("a_set", "b_set"))
     later = both.where(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select(F.col("b_doc_id").alias("doc_id"), F.col("b_line").alias("line"))
-    return ranked.where("again").select("doc_id", "line").unionByName(later)
+    return again.unionByName(later)
 
 
 def _as(docs: DataFrame, column: str, name: str, kind: str) -> Column:
