@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from dyad.llm import store
 
 SHINGLE = 5
+SMALLEST = 4  # shingles: below, only equal sets are similar
 BUCKETS = 1 << 18
 _SOLID = "[^\x20\x09-\x0d]"
 _ODD_SPACE = "[\x09\x0b-\x0d]|^ |  | \\z"
@@ -83,7 +84,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     sets = _ordered(_lines(docs), rarity(docs))
     n = F.size("set")
     brief = sets.select("doc_id", "line", n.alias("n"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"),
-                        F.when(n >= SHINGLE, F.slice("set", 1, n - _needed(n) + 1)).alias("prefix"))
+                        F.when(n >= SMALLEST, F.slice("set", 1, n - _needed(n) + 1)).alias("prefix"))
     nth = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("doc_id", "line"))
     ranked = brief.withColumn("nth", nth).select("doc_id", "line", "n", (F.col("nth") > 1).alias("again"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
     ranked, path = store.kept(ranked, "lines")

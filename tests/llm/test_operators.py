@@ -166,6 +166,15 @@ def test_similar_lines(docs, texts):
     assert got == want
 
 
+def test_a_line_of_eight_words_meets_the_same_with_one_more(spark):
+    eight = "a b c d e f g h"
+    for nine in (f"{eight} i", f"z {eight}"):
+        for first, second in ((eight, nine), (nine, eight)):
+            own = spark.createDataFrame([(1, first), (2, f"other\n{second}")], "doc_id long, text string")
+            got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.without_similar(own).collect()}
+            assert got == {1: (first, 0), 2: ("other", 1)}
+
+
 def test_lengths(docs, texts):
     encode = tokens.encoder(tokens.default_ranks())
     sizes = [len(encode(t or "")) for t in texts]
