@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.llm import store
+from dyad.llm import rows, store
 
 SHINGLE = 5
 SMALLEST = 4  # shingles: below, only equal sets are similar
@@ -76,7 +76,7 @@ def _needed(n: Column) -> Column:
 
 
 def similar_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that has an earlier similar one. `docs` has doc_id and text, no nulls.
+    """(doc_id, line) of every line that has an earlier similar one. `docs` has doc_id and text, no nulls, one row per id.
 
     Candidates are verified on the texts again; joined by doc_id, these come from the exchange that a
     caller's own join of `docs` on doc_id reads as well.
@@ -120,8 +120,18 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Lines end at a line feed and are judged on the input. Lines without words stay. A null text has
     no lines and stays null; a text that loses all its lines is empty. Rows without an id are left as
-    they are; `docs` must have one row per id. Empty in, empty out.
+    they are. Rows with the same id are documents of their own, ordered by the hash of their texts; of
+    equal rows one is first. Empty in, empty out.
     """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    if not rows.repeated(docs, id_col):
+        return _without_similar(docs, id_col, text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*map(F.col, others)).alias("rest")] if others else []))
+    left = _without_similar(rows.numbered(own, "doc_id", "text"), "row", "text")
+    return left.select("rest.doc_id", "text", *(["rest.rest"] if others else []), "n_lines", "n_removed")
+
+
+def _without_similar(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
     own = docs.select(_as(docs, id_col, "doc_id", "bigint"), _as(docs, text_col, "text", "string"), *([F.struct(*others).alias("rest")] if others else []))
     texts = own.select("doc_id", "text")

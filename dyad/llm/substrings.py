@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.llm import store, text
+from dyad.llm import rows, store, text
 
 SIZE = 20
 SEED = 8
@@ -138,8 +138,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     that also start earlier, in a smaller id or further up in the same document.
 
     Words are compared byte by byte. Nulls and texts of fewer words have no spans; only documents
-    with spans have a row. Rows without an id are not looked at; `docs` must have one row per id.
+    with spans have a row. Rows without an id are not looked at. Rows with the same id are documents
+    of their own, ordered by the hash of their texts; of equal rows one is first.
     """
+    keyed, id_col, text_col = _keyed(docs, id_col, text_col)
+    found = _repeats(keyed, id_col, text_col, size, seed)
+    return found if id_col != "row" else found.withColumnRenamed("doc_id", "row").join(keyed.select("row", "doc_id"), "row").select("doc_id", "spans")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """The table and its key and text columns: the id where it tells rows apart, else `row` of a written table with doc_id and text."""
+    if not rows.repeated(docs, id_col):
+        return _source(docs, id_col, text_col), "doc_id", "text"
+    return rows.numbered(_source(docs, id_col, text_col), "doc_id", "text"), "row", "text"
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
     if not 0 < seed <= size <= 60 + seed:
         raise ValueError("a window must hold the seed and at most 60 words more")
     source = _source(docs, id_col, text_col).where("doc_id is not null")
@@ -162,7 +176,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, seed: int = SEED) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_removed, text (the words left, joined by one space).
 
-    Windows are judged on the input. A null text has no words. Empty in, empty out.
+    Windows are judged on the input, and rows with the same id as in `repeats`. A null text has no words.
+    Empty in, empty out.
     """
-    found, _ = store.kept(repeats(docs, id_col, text_col, size, seed), "spans")
-    return _source(docs, id_col, text_col).join(found.hint("merge"), "doc_id", "left").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")
+    keyed, key, text_col = _keyed(docs, id_col, text_col)
+    found, _ = store.kept(_repeats(keyed, key, text_col, size, seed), "spans")
+    found = found.withColumnRenamed("doc_id", key)
+    return keyed.join(found.hint("merge"), key, "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, text string")

@@ -351,3 +351,27 @@ def test_rows_without_an_id(spark):
     assert substrings.without_repeats(own).count() == simhash.groups(own).count() == lines.without_similar(own).count() == 4
     assert pii.personal_data(own).count() == quality.scored(own, labels).count() == packing.pack(own).count() == 4
     assert likelihood.scored(own).where("doc_id is null").count() == 1
+
+
+def test_rows_with_the_same_id_are_told_apart(spark):
+    passage = " ".join(f"w{i}" for i in range(25))
+    own = spark.createDataFrame([(1, passage, "a"), (1, passage, "b"), (1, "short", "c"), (2, f"x {passage}", "d"), (None, passage, "e"), (None, passage, "f")],
+                                "doc_id long, text string, row string").repartition(3)
+    want = sorted([(1, 25, 0, passage), (1, 25, 25, ""), (1, 1, 0, "short"), (2, 26, 25, "x"), (None, 25, 0, passage), (None, 25, 0, passage)], key=str)
+    assert sorted(map(tuple, substrings.without_repeats(own).collect()), key=str) == want
+    assert sorted((r["doc_id"], *map(tuple, r["spans"])) for r in substrings.repeats(own).collect()) == [(1, (0, 25)), (2, (1, 26))]
+    for df in (own, own.select("doc_id", "text")):
+        left = lines.without_similar(df)
+        got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in left.collect()), key=str)
+        assert got == sorted([(1, passage, 1, 0), (1, "", 1, 1), (1, "short", 1, 0), (2, "", 1, 1), (None, passage, 1, 0), (None, passage, 1, 0)], key=str)
+        assert left.columns == (["doc_id", "text", "rest", "n_lines", "n_removed"] if "row" in df.columns else ["doc_id", "text", "n_lines", "n_removed"])
+    assert {r[0] for r in lines.without_similar(own).select("rest.row").collect()} == set("abcdef")
+
+
+def test_long_texts_without_an_id_or_with_the_same(spark):
+    texts = ["a" * 5000, "b" * 5000, "a" * 5000, "c" * 5000]
+    for key in (None, 7):
+        own = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string").repartition(2)
+        got = [tuple(r) for r in exact.duplicates(own).collect()]
+        kept = None if key is None else True
+        assert sorted(got, key=str) == sorted([(key, key, texts.count(t), kept, hashlib.sha256(t.encode()).hexdigest()) for t in texts], key=str)
