@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain versions on the smallest tables."""
 
+import random
+
 import corpus_pipeline as pipeline
 from test_operators import fingerprint, lower, words
 
@@ -67,3 +69,33 @@ def test_stages(spark):
     assert sizes == {i: len(encode(t)) + 1 for i, t in left.items()}
     whole = {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed}
     assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pipeline.run(spark, SF).collect()} == whole
+
+
+def test_near_copies_at_the_similarity_leave(spark):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(40):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([1, 4, 8, 30, 100, 300]))]
+        texts.append(" ".join(w))
+        for changes in (0, 1, 1, 2, 4):  # 100 words with one changed have similarity 0.9
+            v = list(w)
+            for _ in range(changes):
+                v[rnd.randrange(len(v))] = f"new{rnd.randrange(10**6)}"
+            texts.append(" ".join(v).title() + " tail" * rnd.randrange(2))
+    texts += [None, "", " ", "one two", "One  Two"]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in (words(lower(t)) for t in texts)]
+    root = list(range(len(texts)))
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(pipeline.STAGES)["simhash near-dedup"]
+    assert set(rows(stage(spark, docs.repartition(3), SF))) == {i for i, r in enumerate(root) if i == r}
+    twice = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.limit(1).selectExpr("0L as doc_id", "'quite another text' as text", "lang", "source", "n_chars"))
+    got = [r["doc_id"] for r in stage(spark, twice, SF).collect()]
+    assert sorted(got) == sorted([i for i, r in enumerate(root) if i == r] + [0])
