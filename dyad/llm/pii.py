@@ -115,18 +115,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trusted_patterns(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, pattern, worth) of the patterns to believe, from rows (kind, value, seed, pattern)."""
+    """(kind, pattern, worth) of the patterns to believe, from rows (kind, value, seed, pattern).
+
+    A pattern needs `support` distinct values whose score reaches `trust`, seeds or found by other
+    patterns. Scores only grow, so patterns are only added; the last ones added get `rounds` rounds too.
+    """
     edges, _ = store.kept(found.groupBy("kind", "pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("sure")), "edges")
     score = edges.withColumn("score", F.col("sure"))
-    for i in range(rounds):
-        patterns = score.groupBy("kind", "pattern").agg(F.sum("sure").alias("seeds"), (F.sum("score") / (F.count("*") + 1)).alias("worth"))
-        patterns = patterns.where((F.col("seeds") >= support) & (F.col("worth") >= trust / 2))
-        if i == rounds - 1:
+    i, known, last = 0, 0, 0
+    while True:
+        patterns = score.groupBy("kind", "pattern").agg(F.count(F.when(F.col("score") >= trust, 1)).alias("sound"), (F.sum("score") / (F.count("*") + 1)).alias("worth"))
+        patterns, _ = store.kept(patterns.where((F.col("sound") >= support) & (F.col("worth") >= trust / 2)), "patterns")
+        now = patterns.count()
+        if now > known:
+            known, last = now, i
+        if i - last >= rounds - 1:
             return patterns.where(F.col("worth") >= trust).select("kind", "pattern", "worth")
         values = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value").agg(
             (1 - F.exp(F.sum(F.log(1 - F.least("worth", F.lit(0.999)))))).alias("chance"))
         score, _ = store.kept(edges.join(values, ["kind", "value"], "left").select(
             *edges.columns, F.greatest("sure", F.coalesce("chance", F.lit(0.0))).alias("score")), "scores")
+        i += 1
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT,

@@ -283,6 +283,13 @@ def test_wording_finds_more(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
 
 
+def test_wording_found_by_found_values_finds_more(spark):
+    rows = [f"call me: +1 (555) 010-{i:04d} now" for i in range(20)]
+    rows += [f"{lead} 555 020 {i:04d} now" for i in range(6) for lead in ("call me:", "or text")] + ["or text 555 030 0000 now", "page no 555 040 0000 now"]
+    got = [r["spans"] for r in pii.digest(pii.personal_data(table(spark, rows))).orderBy("doc_id").collect()]
+    assert got[20:] == ["phone:9:21", "phone:8:20"] * 6 + ["phone:8:20", ""]
+
+
 def test_quality(spark, docs, texts):
     rnd = random.Random(6)
     rows = [" ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + ("!!" if i % 3 == 0 else "") for _ in range(40)) for i in range(600)] + [None, ""]
