@@ -57,6 +57,18 @@ def test_every_hand_of_a_pair_is_compared(spark):
     assert {round(r["type_agree"], 9) for r in got} == {0.0, round(whole, 9)}
 
 
+def test_every_hand_of_a_pair_is_ranked(spark):
+    rows = [("development", f"{t}", t, 9, f"h{t}-{i:02d}", float(i), float(i % 5), int(i % 4 == 0)) for t in range(4) for i in range(26)]
+    rows += [("development", "8", 8, 9, "lone", 1.0, 0.0, 1), ("development", "0", 0, 9, "none", None, 0.0, 0)]
+    d = spark.createDataFrame(rows, "phase string, table_id string, p1 int, p2 int, hand_id string, score double, v double, gold int")
+    d = d.withColumn("table_id", F.col("table_id").cast("long"))
+    got = {r["hand_id"]: r["borda"] for r in models.pairwise_ranker(d, ["score", "v"], folds=2).collect()}
+    assert set(got) == {r[4] for r in rows}
+    low = ["none", *(f"h0-{i:02d}" for i in range(6))]
+    assert [got[h] for h in low] == sorted(got[h] for h in low) and len({got[h] for h in low}) == 7
+    assert all(got[h] < 0 for h in [*low, "lone"]) and all(got[f"h0-{i:02d}"] >= 0 for i in range(6, 26))
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Spark:
         class conf:  # noqa: N801
