@@ -91,10 +91,13 @@ def _index(block, shingle: int, threshold: float) -> Index:
     return Index(block.value, shingle, threshold)
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list:
-    """Broadcasts of (id, text) lists of about `block_bytes` each."""
+def _blocks(items: DataFrame, id_col: str | None, text_col: str, block_bytes: int) -> list:
+    """Broadcasts of (id, text) lists of about `block_bytes` each; without an id column all items have the id 0."""
     spark = items.sparkSession
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    key = F.lit(0).cast("long") if id_col is None else F.col(id_col).try_cast("long")
+    if id_col is not None and not items.where(key.isNull() & F.col(id_col).isNotNull()).isEmpty():
+        raise ValueError(f"{id_col} has ids that are not integers")
+    rows = items.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = []
@@ -144,7 +147,7 @@ def _leaks(block, shingle: int, threshold: float):
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
           shingle: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` that contain no item, all columns as they are; texts are not shuffled."""
-    for block in _blocks(items, item_col, item_text, block_bytes):
+    """The rows of `docs` that contain no item, all columns as they are; texts are not shuffled. Ids of items do not matter."""
+    for block in _blocks(items, None, item_text, block_bytes):
         docs = docs.where(~_leaks(block, shingle, threshold)(F.col(text_col).cast("string")))
     return docs

@@ -148,6 +148,14 @@ def test_containment(spark, docs, texts):
     assert containment.contained(docs, frame.where("false")).count() == 0
 
 
+def test_items_are_searched_whatever_their_ids(spark):
+    own = spark.createDataFrame([(1, "x a b c d e f y"), (2, "g h i j k l"), (3, "none of it is in here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d e f"), ("item-7", "g h i j k l")], "item_id string, text string")
+    assert [r["doc_id"] for r in containment.clean(own, items).collect()] == [3]
+    with pytest.raises(ValueError):
+        containment.contained(own, items)
+
+
 def test_similar_lines(docs, texts):
     seen, want = [], {}
     for i, t in enumerate(texts):
