@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyad.llm import containment, exact, lengths, likelihood, lines, packing, pii, quality, simhash, substrings
+from dyad.llm import (
+    containment,
+    exact,
+    lengths,
+    likelihood,
+    lines,
+    packing,
+    phrases,
+    pii,
+    quality,
+    simhash,
+    sketches,
+    substrings,
+    whitening,
+)
 from dyad.llm.store import table
 
 
@@ -62,8 +76,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first collocations, from all documents; a null text is empty, a null language `und`."""
+    return phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with the likeness to these and to the next document; a null text is empty."""
+    s = sketches.edited_sketches(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return s.select("doc_id", "n_chars", "edited_sha256", sketches.as_text(F.col("sketch")).alias("fingerprint"), sketches.as_text(F.col("edited")).alias("edited_fingerprint"),
+                    sketches.containment(F.col("sketch"), F.col("edited")).alias("near_edited"), sketches.containment(F.col("sketch"), F.col("next")).alias("near_next"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole embeddings along their first eight components, whitened; rows with null or non-finite entries go."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_decontamination, op4_quality_classifier, op5_token_counts, op6_exact_dedup, op7_line_dedup, op8_personal_data,
-                                    op9_best_fit_packing, op10_lm_scoring)}
+                                    op9_best_fit_packing, op10_lm_scoring, op11_phrase_collocations, op12_document_fingerprints, op13_embedding_whitening)}
 
 SQL = {
     "op2_substring_dedup": r"""
@@ -107,4 +138,22 @@ k AS (SELECT l.doc_id, sum(CASE WHEN gone.i IS NULL THEN 0 ELSE 1 END) AS n_remo
       FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op11_phrase_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(s, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g, count(*) AS n
+      FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY 1, 2, 3),
+words AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, n AS a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND n >= 30),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT cut.lang, cut.g, a, x.n AS l, y.n AS r, CAST(CAST(2000000 AS HUGEINT) * a // (x.n + y.n) AS BIGINT) AS score, j
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.g = array_to_string(list_slice(cut.w, 1, j), ' ')
+      JOIN f y ON y.lang = cut.lang AND y.g = array_to_string(list_slice(cut.w, j + 1, cut.k), ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+o AS (SELECT lang, w, k, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)),
+z AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g, max(a) AS longer FROM o GROUP BY 1, 2),
+q AS (SELECT b.lang, b.g AS phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank
+      FROM b LEFT JOIN z ON z.lang = b.lang AND z.g = b.g WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT q.lang, rank, phrase, a, l, r, words.n, score FROM q JOIN words ON words.lang = q.lang WHERE rank <= 2000""",
 }

@@ -34,6 +34,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
+LOWER = _LOWER.astype(np.uint8)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,9 +62,10 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice: start and end bytes, and where each row's words begin."""
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, gaps: np.ndarray = _SPACE):
+        """`gaps`: for each byte whether it parts words."""
         self.buf, self.rows = raw(col)
-        solid = ~_SPACE[self.buf]
+        solid = ~gaps[self.buf]
         inner = self.rows[1:-1]
         before = np.zeros_like(solid)
         before[1:] = solid[:-1]
