@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import FAMILIES, as_int
-from dyad.functions.ordered import top_rows, value_ranks
+from dyad.functions.ordered import top_rows
 from dyad.operators.pairs import PAIR
-from dyad.operators.retrieval import borda, entropy, shortlist_pairs
+from dyad.operators.retrieval import borda, entropy, shortlist_pairs, under_compared
 from dyad.session import settle
 
 SEED = 7
@@ -213,11 +213,7 @@ def pairwise_ranker(cands: DataFrame, features: list[str], top: int = 20, folds:
                                    "fold": F.pmod("table_id", F.lit(folds)).cast("int")})
     cols = [f"{p}_{c}" for c in features for p in ("a", "b", "d")]
     scored = crossfit(couples, logistic("label"), cols, "label", [*PAIR, "a_hand", "b_hand"], 2, folds)
-    compared = borda(scored.withColumnRenamed("prob1", "win"), "win").withColumn("compared", F.lit(True))
-    listwise = value_ranks(cands, PAIR, "score").select(*PAIR, "score", ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("n")).alias("place"))
-    hands = cands.select(*PAIR, "hand_id", "score").join(listwise, [*PAIR, "score"], "left").join(compared, [*PAIR, "hand_id"], "left")
-    under = -1.0 + 1e-3 * F.coalesce("place", F.lit(0.0))
-    return hands.select(*PAIR, "hand_id", F.when(F.col("compared"), F.col("borda")).otherwise(under).alias("borda"))
+    return under_compared(cands, borda(scored.withColumnRenamed("prob1", "win"), "win"))
 
 
 # Fixed class weights: positive, negative, unlabelled.

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import FAMILIES, NO_EVIDENCE, as_int
-from dyad.functions.ordered import magnitude_segment, nearest_positions, order_values, percentiles, row_numbers, top_rows
+from dyad.functions.ordered import (magnitude_segment, nearest_positions, order_values, percentiles, row_numbers, top_rows,
+                                    value_ranks)
 from dyad.operators.pairs import PAIR
 from dyad.session import settle
 
@@ -199,3 +200,13 @@ def borda(couples: DataFrame, prob: str, key: list[str] = PAIR) -> DataFrame:
     return won.join(lost, [*key, "hand_id"]).select(
         *key, "hand_id", (0.5 * (F.col("won") / F.col("seen") + 1.0 - F.col("lost") / F.col("seen")))
         .alias("borda"))
+
+
+def under_compared(hands: DataFrame, compared: DataFrame, key: list[str] = PAIR) -> DataFrame:
+    """Every hand with its ``borda``; one that was not compared stands below all others (-1 to -0.999), by its ``score``.
+
+    A hand without a score comes last.
+    """
+    listwise = value_ranks(hands, key, "score").select(*key, "score", ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("n")).alias("__place"))
+    d = hands.select(*key, "hand_id", "score").join(listwise, [*key, "score"], "left").join(compared, [*key, "hand_id"], "left")
+    return d.select(*key, "hand_id", F.coalesce("borda", -1.0 + 1e-3 * F.coalesce("__place", F.lit(0.0))).alias("borda"))

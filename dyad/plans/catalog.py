@@ -13,6 +13,7 @@ from dyad.functions.ordered import duplicates, percentiles
 from dyad.operators import aggregate as ag
 from dyad.operators import bags as bg
 from dyad.operators import cards as cd
+from dyad.operators import listwise as lw
 from dyad.operators import live as lv
 from dyad.operators import metrics as mt
 from dyad.operators import models as md
@@ -22,8 +23,10 @@ from dyad.operators import relational as rl
 from dyad.operators import reports as rp
 from dyad.operators import retrieval as rt
 from dyad.operators import seats as st
+from dyad.operators import self_training as stn
 from dyad.operators import sequence as sq
 from dyad.operators import similarity as sm
+from dyad.operators import templates as tp
 from dyad.operators import tokens as tk
 from dyad.operators import within_pair as wp
 from dyad.plans import base as b
@@ -598,6 +601,26 @@ def templates(spark, sf):
     return wp.orient_templates(wp.action_templates(b.context(spark, sf)))
 
 
+def partner_table(spark, sf) -> DataFrame:
+    return staged(spark, sf, "partner_templates", lambda: tp.partner_templates(tp.pair_steps(b.context(spark, sf), b.seats(spark, sf))))
+
+
+@query
+def partner_templates(spark, sf):
+    """Patterns of two members' actions in each shared hand."""
+    return partner_table(spark, sf)
+
+
+@query
+def template_features(spark, sf):
+    return tp.template_features(b.pair_hands(spark, sf), partner_table(spark, sf))
+
+
+@query
+def sizing_features(spark, sf):
+    return tp.sizing_features(b.pair_hands(spark, sf), tp.seat_sizing(b.context(spark, sf)))
+
+
 @query
 def key_guard(spark, sf):
     """Duplicate keys per staged table; every count must be zero."""
@@ -767,7 +790,7 @@ def fold_census(spark, sf):
 @query
 def seed_bag_placebo(spark, sf):
     """Mean of two score blocks, and the same block lent to another pair."""
-    s = signals(spark, sf).where("phase = 'development'").select(*HAND_KEY, "started_at", "score", "score2")
+    s = signals(spark, sf).select(*HAND_KEY, "started_at", "score", "score2")
     one = s.select(*HAND_KEY, F.col("score").alias("v"))
     two = s.select(*HAND_KEY, F.col("score2").alias("v"))
     bag = bg.seed_bag([one, two], HAND_KEY, ["v"])
@@ -1013,19 +1036,20 @@ def tail_guard(spark, sf):
 
 @query
 def route_other(spark, sf):
-    d = risk_pairs(spark, sf).withColumns({
-        "a": (F.pmod("p1", F.lit(4)) + 1) / 10.0, "b": (F.pmod("p2", F.lit(5)) + 1) / 10.0})
+    d = counts(spark, sf).select(*PAIR, (F.col("shared_hands") / 40.0).alias("risk"), ((F.pmod("p1", F.lit(4)) + 1) / 10.0).alias("a"),
+                                 ((F.pmod("p2", F.lit(5)) + 1) / 10.0).alias("b"))
     d = d.withColumn("c", 1.0 - F.col("a") - F.col("b"))
-    return rt.route_other(d, "risk", dict(zip(fc.FAMILIES, "abc", strict=True)), 0.95, ["p1", "p2"], 300)
+    return rt.route_other(d, "risk", dict(zip(fc.FAMILIES, "abc", strict=True)), 0.95, ["phase", "p1", "p2"], 300)
 
 
 @query
 def borda_scores(spark, sf):
-    """Borda mean of a fixed comparator on every pair's twenty best hands."""
-    best = wp.shortlist(signals(spark, sf).select(*HAND_KEY, "score", "transfer_gross"), 20)
+    """Borda mean of a fixed comparator on every pair's twenty best hands; the pair's other hands stand below."""
+    hands = signals(spark, sf).select(*HAND_KEY, "score", "transfer_gross")
+    best = wp.shortlist(hands, 20)
     c = rt.shortlist_pairs(best, ["score", "transfer_gross"])
     prob = 1.0 / (1.0 + F.exp(-F.col("d_score")))
-    return rt.borda(c.withColumn("win", prob), "win")
+    return rt.under_compared(hands, rt.borda(c.withColumn("win", prob), "win"))
 
 
 @query
@@ -1035,6 +1059,51 @@ def pseudo_labels(spark, sf):
     return soft.select("p1", "p2", "label", "score", "train_label", "train_weight")
 
 
+TRAINED_FOLDS = 3
+
+
+def training_pairs(spark, sf) -> DataFrame:
+    """Development pairs with label, fold and two features of their counts."""
+    folded = counts(spark, sf).select(*PAIR, ((F.col("k_folded_12") + F.col("k_folded_21")) / F.col("shared_hands")).alias("fold_rate"))
+    d = risk_pairs(spark, sf).join(folded, PAIR)
+    return d.withColumn("fold", F.pmod("table_id", F.lit(TRAINED_FOLDS)).cast("int")).select(*PAIR, "pid", "label", "fold", "risk", "fold_rate")
+
+
+def self_rule(mode: str) -> stn.Rule:
+    return stn.Rule(threshold=0.65, mode=mode)
+
+
+@query
+def self_training_rounds(spark, sf):
+    """Two rounds of self-training, confident unlabelled pairs taken as positives or left out, with the precision of every round."""
+    out = None
+    for mode in ("positive", "drop"):
+        scored, rounds = stn.self_training(training_pairs(spark, sf), ["risk", "fold_rate"], ["pid"], self_rule(mode), 2, TRAINED_FOLDS)
+        r = stn.round_report(scored, rounds, "pid").withColumn("mode", F.lit(mode))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query
+def self_training_scores(spark, sf):
+    """Every development pair's out-of-fold score in every round."""
+    scored, _ = stn.self_training(training_pairs(spark, sf), ["risk", "fold_rate"], ["pid"], self_rule("positive"), 2, TRAINED_FOLDS)
+    return scored.select("pid", "label", "round", "score")
+
+
+@query
+def linear_crossfit(spark, sf):
+    """Labelled pairs learnt by ridge regression; every pair scored by the model without its fold."""
+    d = training_pairs(spark, sf).withColumn("y", F.when(F.col("label") >= 0, F.col("label")))
+    return stn.linear_crossfit(d, ["risk", "fold_rate"], "y", TRAINED_FOLDS).select("pid", "fold", "score")
+
+
+@query
+def linear_crossfit_nested(spark, sf):
+    d = training_pairs(spark, sf).where("label >= 0")
+    return stn.linear_crossfit_nested(d, ["risk", "fold_rate"], "label", TRAINED_FOLDS).select("pid", "fold", "outer_fold", "score")
+
+
 @query
 def tail_depths(spark, sf):
     """Binomial and two-degree chi-square depths of every pair's counts."""
@@ -1049,39 +1118,43 @@ def tail_depths(spark, sf):
 # ---------------------------------------------------------------- cards
 
 
+def dealt(spark, sf, size: int) -> DataFrame:
+    """Every line of every order as a card, rank from the part and suit from the supplier; each `size` lines are a deal of their own."""
+    lines = ev.read_line_actions(spark, sf)
+    return lines.select("hand_id", F.floor(F.col("action_no") / size).alias("deal"), F.pmod("action_no", F.lit(size)).alias("place"),
+                        F.pmod("part_id", F.lit(13)).cast("int").alias("rank"), F.pmod("player_id", F.lit(4)).cast("int").alias("suit"))
+
+
+DEAL = ["hand_id", "deal"]
+
+
 def order_cards(spark, sf) -> DataFrame:
-    """First seven distinct cards of every order: rank from the part, suit from the supplier."""
-    lines = ev.read_line_actions(spark, sf).select(
-        "hand_id", "action_no", F.pmod("part_id", F.lit(13)).cast("int").alias("rank"),
-        F.pmod("player_id", F.lit(4)).cast("int").alias("suit"))
-    first = lines.where("action_no < 7")
-    return first.groupBy("hand_id", "rank", "suit").agg(F.min("action_no").alias("action_no"))
+    """Deals of seven lines as their distinct cards, with the first place of each and how many lines show it."""
+    return dealt(spark, sf, 7).groupBy(*DEAL, "rank", "suit").agg(F.min("place").alias("place"), F.count("*").alias("lines"))
 
 
 @query
 def best_five(spark, sf):
-    return cd.seat_strength(order_cards(spark, sf), ["hand_id"])
+    return cd.seat_strength(order_cards(spark, sf), DEAL)
 
 
 @query
 def draws(spark, sf):
-    c = order_cards(spark, sf).withColumn("hole", fc.as_int(F.col("action_no") < 2))
-    return cd.draw_features(c, ["hand_id"])
+    c = order_cards(spark, sf).withColumn("hole", fc.as_int(F.col("place") < 2))
+    return cd.draw_features(c, DEAL).join(c.groupBy(*DEAL).agg(F.sum("lines").alias("n_lines")), DEAL)
 
 
 @query
 def parsed_boards(spark, sf):
-    """First five lines of every order written as a card string, and read back."""
-    lines = ev.read_line_actions(spark, sf).where("action_no < 5")
-    letters = lambda alphabet, c, n: F.substring(F.lit(alphabet), F.pmod(c, F.lit(n)).cast("int") + 1, F.lit(1))
-    text = lines.select("hand_id", "action_no", F.concat(
-        letters(cd.RANKS, F.col("part_id"), 13), letters(cd.SUITS, F.col("player_id"), 4)).alias("card"))
-    # At most five cards per order are gathered.
-    boards = text.groupBy("hand_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("action_no", "card"))), lambda c: c["card"]), " ").alias("board"))
+    """Deals of five lines written as a card string, and read back."""
+    letters = lambda alphabet, c: F.substring(F.lit(alphabet), F.col(c) + 1, F.lit(1))
+    text = dealt(spark, sf, 5).select(*DEAL, "place", F.concat(letters(cd.RANKS, "rank"), letters(cd.SUITS, "suit")).alias("card"))
+    # At most five cards per deal are gathered.
+    boards = text.groupBy(*DEAL).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("place", "card"))), lambda c: c["card"]), " ").alias("board"))
     cards = cd.parse_cards(boards, "board")
-    return cards.select("hand_id", "board", "n_cards", F.posexplode("cards").alias("place", "c")).select(
-        "hand_id", "board", "n_cards", "place", F.col("c.rank").alias("rank"), F.col("c.suit").alias("suit"))
+    return cards.select(*DEAL, "board", "n_cards", F.posexplode("cards").alias("place", "c")).select(
+        *DEAL, "board", "n_cards", "place", F.col("c.rank").alias("rank"), F.col("c.suit").alias("suit"))
 
 
 @query
@@ -1152,6 +1225,24 @@ def pairwise_ranker(spark, sf):
     return md.pairwise_ranker(gold_hands(spark, sf), ["score", "transfer_gross", "contact"], folds=3)
 
 
+@query
+def listwise_ranker(spark, sf):
+    """Every hand of the pairs with evidence, ranked by a listwise model that never saw the pair's table."""
+    d = gold_hands(spark, sf).withColumns({"log_flow": F.log1p(F.col("transfer_gross").cast("double")), "contact": F.col("contact").cast("double")})
+    return lw.listwise_ranker(d, ["score", "score2", "log_flow", "contact"], folds=3)
+
+
+@query
+def comparator_blend(spark, sf):
+    """Comparator and listwise order of every hand, blended by rank inside the pair; hands never compared keep the listwise order below."""
+    hands = signals(spark, sf).select(*HAND_KEY, "score", "transfer_gross")
+    c = rt.shortlist_pairs(wp.shortlist(hands, 20), ["score", "transfer_gross"])
+    # In steps of 2**-20, sums are exact and equal chances tie in any order of adding.
+    prob = F.floor(1048576 / (1.0 + F.exp(-F.col("d_transfer_gross") / 1e6))) / 1048576.0
+    borda = rt.borda(c.withColumn("win", prob), "win")
+    return rt.rank_blend(rt.under_compared(hands, borda).join(hands.select(*HAND_KEY, "score"), HAND_KEY), PAIR, HAND_KEY, {"borda": 0.5, "score": 0.5})
+
+
 PAIR_FEATURES = ["shared_hands", *RATES, "g_hi", "g_sum", "surp_excess_hi"]
 
 

@@ -1037,6 +1037,46 @@ oracle("templates", _H + " ".join(f"{t}_{w}" for t in _T for w in ("donor", "rec
            for t, c in (("t_fold", "= 0"), ("t_pay", "= 2"), ("t_aggr", ">= 3")) for i, op in ((1, "<"), (2, ">")))
        + f" FROM act WHERE last_agg <> player_id GROUP BY 1, 2, 3, 4, 5) AS d WINDOW p AS (PARTITION BY {_KEYS})) AS e")
 
+_OPEN, _ANSWER = ("bet", "chk_bet", "re"), {"fold": "= 0", "call": "= 2", "raise": ">= 3"}
+_PATTERN = [f"{o}_{a}" for o in _OPEN for a in _ANSWER] + ["shove_call"]
+_PERIOD = {"pre": "street = 0", "post": "street > 0"}
+
+cte("pattern", f"""
+SELECT *, CASE WHEN side = side1 OR side1 IS NULL THEN NULL WHEN y = 1 AND y1 = 1 THEN 'chk_chk' WHEN y1 = 5 AND y = 2 THEN 'shove_call'
+  WHEN y1 >= 3 AND y <> 1 THEN CASE WHEN side2 = side AND y2 = 1 THEN 'chk_bet_' WHEN side2 = side AND y2 >= 3 THEN 're_' ELSE 'bet_' END
+       || CASE y WHEN 0 THEN 'fold' WHEN 2 THEN 'call' ELSE 'raise' END END AS name
+FROM (SELECT *, lag(y) OVER w AS y1, lag(side) OVER w AS side1, lag(y, 2) OVER w AS y2, lag(side, 2) OVER w AS side2
+      FROM (SELECT a.phase, a.table_id, a.hand_id, a.street, a.action_no, a.y, least(a.player_id, s.player_id) AS p1,
+                   greatest(a.player_id, s.player_id) AS p2, CASE WHEN a.player_id < s.player_id THEN 1 ELSE 2 END AS side
+            FROM act AS a JOIN seat AS s ON s.hand_id = a.hand_id AND s.player_id <> a.player_id) AS x
+      WINDOW w AS (PARTITION BY hand_id, p1, p2, street ORDER BY action_no)) AS z""")
+
+_COUNTS = ([f"count(*) FILTER (name = '{n}' AND {c} AND side = {i}) AS {n}_{p}_{i}" for p, c in _PERIOD.items() for n in _PATTERN for i in (1, 2)]
+           + [f"count(*) FILTER (name = 'chk_chk' AND {c}) AS chk_chk_{p}" for p, c in _PERIOD.items()])
+cte("template", f"SELECT {_KEYS}, hand_id, {', '.join(_COUNTS)} FROM pattern WHERE name IS NOT NULL GROUP BY ALL")
+oracle("partner_templates", _H + " ".join(c.split(" AS ")[1] for c in _COUNTS), "SELECT * FROM template")
+
+_GROUP = {"fold": [n for n in _PATTERN if n.endswith("fold")], "pay": [n for n in _PATTERN if n.endswith("call")], "aggr": [n for n in _PATTERN if n.endswith("raise")]}
+_SEVEN = [f"t_{g}_{w}" for g in _GROUP for w in ("don", "rec")] + ["t_chk_chk"]
+cte("seven0", f"SELECT {_KEYS}, hand_id, " + ", ".join(
+    "coalesce(" + " + ".join(f"{n}_{p}_{i}" for n in names for p in _PERIOD) + f", 0) AS {g}_{i}" for g, names in _GROUP.items() for i in (1, 2))
+    + f", coalesce(chk_chk_pre + chk_chk_post, 0) AS t_chk_chk FROM ph LEFT JOIN template USING ({_KEYS}, hand_id)")
+cte("seven", f"SELECT {_KEYS}, hand_id, t_chk_chk, " + ", ".join(
+    f"CASE WHEN first THEN {g}_{a} ELSE {g}_{b} END AS t_{g}_{w}" for g in _GROUP for w, a, b in (("don", 1, 2), ("rec", 2, 1)))
+    + " FROM (SELECT *, sum(fold_1 + pay_1) OVER p - (fold_1 + pay_1) >= sum(fold_2 + pay_2) OVER p - (fold_2 + pay_2) AS first"
+    + f" FROM seven0 WINDOW p AS (PARTITION BY {_KEYS})) AS d")
+oracle("template_features", _H + " ".join(_SEVEN) + " " + " ".join(f"~pct_{c}" for c in _SEVEN),
+       f"SELECT *, {', '.join(f'{pct(c, _KEYS)} AS pct_{c}' for c in _SEVEN)} FROM seven")
+
+_SIZE = {"bet": "max(amount / greatest(pot_before, 1)::DOUBLE) FILTER (y >= 3)", "mean_bet": "avg(amount / greatest(pot_before, 1)::DOUBLE) FILTER (y >= 3)",
+         "depth": "min(stack_before / 10000.0::DOUBLE)", "pot": "max(pot_before / 10000.0::DOUBLE)", "crowd": "max(players_active)::DOUBLE"}
+_SZ = {f"sz_{m}_{e}": f"{f}(a.{m}, b.{m})" for m in _SIZE for e, f in (("hi", "greatest"), ("lo", "least"))}
+cte("seatsize", "SELECT hand_id, player_id, " + ", ".join(f"{e} AS {m}" for m, e in _SIZE.items()) + " FROM act GROUP BY hand_id, player_id")
+cte("pairsize", f"SELECT {_KEYS}, ph.hand_id, " + ", ".join(f"{e} AS {c}" for c, e in _SZ.items())
+    + " FROM ph JOIN seatsize AS a ON a.hand_id = ph.hand_id AND a.player_id = p1 JOIN seatsize AS b ON b.hand_id = ph.hand_id AND b.player_id = p2")
+oracle("sizing_features", _H + " ".join(f"~{c}" for c in _SZ) + " " + " ".join(f"~pct_{c}" for c in _SZ),
+       f"SELECT *, {', '.join(f'{pct(c, _KEYS)} AS pct_{c}' for c in _SZ)} FROM pairsize")
+
 oracle("key_guard", "$what duplicate_keys rows", """
 SELECT 'context' AS what, count(*) - count(DISTINCT (hand_id, action_no)) AS duplicate_keys, count(*) AS rows FROM act
 UNION ALL SELECT 'seats', count(*) - count(DISTINCT (hand_id, player_id)), count(*) FROM seat
@@ -1189,13 +1229,13 @@ SELECT fold, count(*) AS rows, count(*) FILTER (bag_label = 1) AS positives, cou
 
 oracle("seed_bag_placebo", _H + "~v ~pct_v ~placebo_score", f"""
 SELECT s.*, {pct('v', ', '.join('s.' + k for k in _KEYS.split(', ')))} AS pct_v, g.score AS placebo_score
-FROM (SELECT {_KEYS}, hand_id, round((score + score2) / 2, 9) AS v, pair_rn FROM sig WHERE phase = 'development') AS s
+FROM (SELECT {_KEYS}, hand_id, round((score + score2) / 2, 9) AS v, pair_rn FROM sig) AS s
 JOIN (SELECT *, row_number() OVER (ORDER BY h, {_KEYS}) AS place, count(*) OVER () AS pairs FROM (
         SELECT {_KEYS}, count(*) AS len, md5(phase || '|' || table_id || '|' || p1 || '|' || p2 || '|placebo') AS h
-        FROM sig WHERE phase = 'development' GROUP BY 1, 2, 3, 4) AS k) AS t USING ({_KEYS})
+        FROM sig GROUP BY 1, 2, 3, 4) AS k) AS t USING ({_KEYS})
 JOIN (SELECT *, row_number() OVER (ORDER BY h, {_KEYS}) AS place FROM (
         SELECT {_KEYS}, count(*) AS len, md5(phase || '|' || table_id || '|' || p1 || '|' || p2 || '|placebo') AS h
-        FROM sig WHERE phase = 'development' GROUP BY 1, 2, 3, 4) AS k) AS u ON u.place = t.place % t.pairs + 1
+        FROM sig GROUP BY 1, 2, 3, 4) AS k) AS u ON u.place = t.place % t.pairs + 1
 JOIN sig AS g ON g.phase = u.phase AND g.p1 = u.p1 AND g.p2 = u.p2 AND g.pair_rn = (s.pair_rn - 1) % u.len + 1""")
 
 oracle("refined_instances", _H + "action_no player_id bag_label ~s", f"""
@@ -1444,23 +1484,99 @@ SELECT *, greatest(-log10(1 - pct_transfer_total + 1.0 / n), -log10(1 - pct_both
   SELECT {_KEYS}, count(*) OVER (PARTITION BY phase) AS n, {pct('transfer_total', 'phase')} AS pct_transfer_total,
          {pct('both_showdown_rate', 'phase')} AS pct_both_showdown_rate FROM aggr) AS t""")
 cte("ood", f"""
-SELECT p1, p2, place <= 300 AS top, round((n - place)::DOUBLE / n * (1 - greatest(a, b, c)) * (1 + 0.2 * -(a * ln(a + 1e-9) + b * ln(b + 1e-9) + c * ln(c + 1e-9))), 9) AS ood,
+SELECT phase, p1, p2, place <= 300 AS top, round((n - place)::DOUBLE / n * (1 - greatest(a, b, c)) * (1 + 0.2 * -(a * ln(a + 1e-9) + b * ln(b + 1e-9) + c * ln(c + 1e-9))), 9) AS ood,
   CASE WHEN a >= b AND a >= c THEN 'directed_transfer' WHEN b >= c THEN 'soft_play' ELSE 'coordinated_isolation' END AS family_argmax
 FROM (SELECT *, 1.0::DOUBLE - a - b AS c FROM (
   SELECT *, (p1 % 4 + 1) / 10.0::DOUBLE AS a, (p2 % 5 + 1) / 10.0::DOUBLE AS b, count(*) OVER () AS n,
-    row_number() OVER (ORDER BY risk DESC, p1, p2) AS place FROM riskpair) AS r) AS s""")
-oracle("route_other", "p1 p2 ~ood $family_argmax $routed", f"""
-SELECT p1, p2, ood, family_argmax, CASE WHEN top AND ood >= (SELECT {nearest('ood', 0.95)} FROM ood WHERE top) THEN 'other_coordination' ELSE family_argmax END AS routed
+    row_number() OVER (ORDER BY shared_hands DESC, phase, p1, p2) AS place FROM cnt) AS r) AS s""")
+oracle("route_other", "$phase p1 p2 ~ood $family_argmax $routed", f"""
+SELECT phase, p1, p2, ood, family_argmax, CASE WHEN top AND ood >= (SELECT {nearest('ood', 0.95)} FROM ood WHERE top) THEN 'other_coordination' ELSE family_argmax END AS routed
 FROM ood""")
 oracle("borda_scores", _H + "~borda", f"""
-SELECT {_KEYS}, a_hand AS hand_id, 0.5 * (won / seen + 1 - lost / seen) AS borda FROM (
-  SELECT {', '.join('a.' + k for k in _KEYS.split(', '))}, a.hand_id AS a_hand, count(*) AS seen,
+SELECT {', '.join('r.' + k for k in _KEYS.split(', '))}, r.hand_id, coalesce(0.5 * (won / seen + 1 - lost / seen), -1 + 0.001 * place) AS borda
+FROM (SELECT *, {pct('score', _KEYS)} AS place FROM ranked) AS r LEFT JOIN (
+  SELECT {', '.join('a.' + k for k in _KEYS.split(', '))}, a.hand_id, count(*) AS seen,
     sum(1 / (1 + exp(-(a.score - b.score)))) AS won, sum(1 / (1 + exp(-(b.score - a.score)))) AS lost
   FROM best20 AS a JOIN best20 AS b ON a.phase = b.phase AND a.p1 = b.p1 AND a.p2 = b.p2 AND a.hand_id <> b.hand_id
-  GROUP BY ALL) AS c""")
+  GROUP BY ALL) AS c USING ({_KEYS}, hand_id)""")
+cte("compared", f"""
+SELECT {', '.join('r.' + k for k in _KEYS.split(', '))}, r.hand_id, r.score, coalesce(0.5 * (won / seen + 1 - lost / seen), -1 + 0.001::DOUBLE * place) AS borda
+FROM (SELECT *, {pct('score', _KEYS)} AS place FROM sig) AS r LEFT JOIN (
+  SELECT {', '.join('a.' + k for k in _KEYS.split(', '))}, a.hand_id, count(*) AS seen,
+    sum(floor(1048576 / (1 + exp(-(a.transfer_gross - b.transfer_gross) / 1e6))) / 1048576.0::DOUBLE) AS won, sum(floor(1048576 / (1 + exp(-(b.transfer_gross - a.transfer_gross) / 1e6))) / 1048576.0::DOUBLE) AS lost
+  FROM best20 AS a JOIN best20 AS b ON a.phase = b.phase AND a.p1 = b.p1 AND a.p2 = b.p2 AND a.hand_id <> b.hand_id GROUP BY ALL) AS c USING ({_KEYS}, hand_id)""")
+oracle("comparator_blend", _H + "~pct_borda ~pct_score ~blend", f"""
+SELECT *, 0.5 * pct_borda + 0.5 * pct_score AS blend FROM (
+  SELECT {_KEYS}, hand_id, {pct('borda', _KEYS)} AS pct_borda, {pct('score', _KEYS)} AS pct_score FROM compared) AS c""")
 oracle("pseudo_labels", "p1 p2 label ~score train_label ~train_weight", """
 SELECT p1, p2, label, risk AS score, CASE WHEN label = -1 AND risk >= 0.4 THEN 1 ELSE label END AS train_label,
   CASE WHEN label = -1 AND risk >= 0.4 THEN risk WHEN label = -1 THEN 0.3 ELSE 1 END AS train_weight FROM riskpair""")
+cte("strain", """
+SELECT r.pid, r.label, r.table_id % 3 AS fold, r.risk AS x0, (c.k_folded_12 + c.k_folded_21)::DOUBLE / c.shared_hands AS x1
+FROM riskpair AS r JOIN cnt AS c ON c.phase = r.phase AND c.p1 = r.p1 AND c.p2 = r.p2""")
+
+
+def ridge_models(name: str, rows: str) -> None:
+    """Ridge regression on x0 and x1 for each outer fold f and each fold g left out besides, from rows with f, fold, t, w."""
+    cte(f"{name}_sums", f"""
+SELECT f, fold AS h, sum(w) AS w, sum(w * x0) AS a, sum(w * x1) AS b, sum(w * x0 * x0) AS aa, sum(w * x0 * x1) AS ab, sum(w * x1 * x1) AS bb,
+  sum(w * t) AS t, sum(w * t * x0) AS ta, sum(w * t * x1) AS tb FROM {rows} WHERE w > 0 GROUP BY 1, 2""")
+    cte(f"{name}_model", f"""
+SELECT f, g, mt - ma * b0 - mb * b1 AS c, b0, b1 FROM (
+  SELECT *, (p * d - q * b) / (a * d - b * b) AS b0, (q * a - p * b) / (a * d - b * b) AS b1 FROM (
+    SELECT f, g, ma, mb, mt, aa - ma * ma + 1e-3 AS a, ab - ma * mb AS b, bb - mb * mb + 1e-3 AS d, ta - ma * mt AS p, tb - mb * mt AS q FROM (
+      SELECT f, g, sum(a) / sum(w) AS ma, sum(b) / sum(w) AS mb, sum(aa) / sum(w) AS aa, sum(ab) / sum(w) AS ab, sum(bb) / sum(w) AS bb,
+        sum(t) / sum(w) AS mt, sum(ta) / sum(w) AS ta, sum(tb) / sum(w) AS tb
+      FROM {name}_sums CROSS JOIN (SELECT unnest([0, 1, 2]) AS g) AS u WHERE h <> f AND h <> g GROUP BY 1, 2) AS m) AS n) AS o""")
+
+
+cte("st0", """
+SELECT s.*, f, (label = 1)::INT::DOUBLE AS t, CASE label WHEN 1 THEN 10 WHEN 0 THEN 1 ELSE 0.3 END::DOUBLE AS w, false AS conf, false AS was
+FROM strain AS s CROSS JOIN (SELECT unnest([0, 1, 2]) AS f) AS u WHERE f <> fold""")
+ridge_models("st0", "st0")
+
+
+def next_round(mode: str, r: int, last: str) -> None:
+    take = {"positive": ("conf", "3"), "drop": ("false", "0")}[mode]
+    cte(f"st_{mode}{r}", f"""
+SELECT pid, label, fold, x0, x1, f, (label = 1 OR {take[0]})::INT::DOUBLE AS t,
+  (CASE WHEN label = 1 THEN 10 WHEN label = 0 THEN 1 WHEN conf THEN {take[1]} ELSE 0.3 END)::DOUBLE AS w, conf, was FROM (
+  SELECT s.pid, s.label, s.fold, s.x0, s.x1, s.f, s.conf AS was, coalesce(label = -1 AND round(c + b0 * x0 + b1 * x1, 9) > 0.65, false) AS conf
+  FROM {last} AS s LEFT JOIN {last}_model AS m ON m.f = s.f AND m.g = s.fold) AS q""")
+    ridge_models(f"st_{mode}{r}", f"st_{mode}{r}")
+
+
+for _mode in ("positive", "drop"):
+    next_round(_mode, 1, "st0")
+    next_round(_mode, 2, f"st_{_mode}1")
+
+
+def round_scores(mode: str) -> str:
+    return " UNION ALL ".join(f"SELECT pid, label, {r} AS round, c + b0 * x0 + b1 * x1 AS score FROM strain LEFT JOIN {n}_model AS m ON f = fold AND g = fold"
+                              for r, n in enumerate(["st0", f"st_{mode}1", f"st_{mode}2"]))
+
+
+for _mode in ("positive", "drop"):
+    cte(f"changes_{_mode}", f"""
+SELECT * FROM (SELECT 0 AS round, 0 AS picked, 0 AS changed
+      UNION ALL SELECT 1, count(*) FILTER (conf), count(*) FILTER (conf <> was) FROM st_{_mode}1
+      UNION ALL SELECT 2, count(*) FILTER (conf), count(*) FILTER (conf <> was) FROM st_{_mode}2) AS r WHERE round = 0 OR changed > 0""")
+    cte(f"rounds_{_mode}", f"SELECT *, round(score, 9) AS s FROM ({round_scores(_mode)}) AS u SEMI JOIN changes_{_mode} USING (round)")
+_ROUND = """
+SELECT '{m}' AS mode, round, picked, changed, w.rows, w.positives, w.ap AS population_ap, l.ap AS labelled_ap FROM changes_{m}
+LEFT JOIN ({whole}) AS w USING (round) LEFT JOIN ({known}) AS l USING (round)"""
+oracle("self_training_rounds", "$mode round picked changed rows positives ~population_ap ~labelled_ap", " UNION ALL ".join(
+    _ROUND.format(m=m, whole=ap(f"rounds_{m}", "s", "label = 1", "pid", "round"),
+                  known=ap(f"(SELECT * FROM rounds_{m} WHERE label >= 0) AS q", "s", "label = 1", "pid", "round")) for m in ("positive", "drop")))
+oracle("self_training_scores", "pid label round ~score", "SELECT * FROM rounds_positive")
+
+cte("lin", """
+SELECT s.*, f, label::DOUBLE AS t, 1.0::DOUBLE AS w FROM strain AS s CROSS JOIN (SELECT unnest([0, 1, 2]) AS f) AS u WHERE label >= 0""")
+ridge_models("lin", "lin")
+oracle("linear_crossfit", "pid fold ~score", "SELECT pid, fold, c + b0 * x0 + b1 * x1 AS score FROM strain LEFT JOIN lin_model ON f = fold AND g = fold")
+oracle("linear_crossfit_nested", "pid fold outer_fold ~score",
+       "SELECT pid, fold, s.f AS outer_fold, c + b0 * x0 + b1 * x1 AS score FROM lin AS s LEFT JOIN lin_model AS m ON m.f = s.f AND m.g = fold")
+
 oracle("tail_depths", _P + "~fold_depth ~event_depth ~chi2_two ~chi2_six", f"""
 SELECT {_KEYS}, {binomial_tail('k_folded_12', 'shared_hands', '0.15::DOUBLE')} AS fold_depth,
   {binomial_tail('k_transfer_event_12', 'shared_hands', '0.4::DOUBLE')} AS event_depth,
@@ -1474,7 +1590,7 @@ cte("lineact", """
 SELECT l_orderkey AS hand_id, l_partkey % 13 AS rank, l_suppkey % 4 AS suit, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
     l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS action_no FROM lineitem""")
-cte("card", "SELECT hand_id, rank, suit, min(action_no) AS action_no FROM lineact WHERE action_no < 7 GROUP BY 1, 2, 3")
+cte("card", "SELECT hand_id, action_no // 7 AS deal, rank, suit, min(action_no % 7) AS place, count(*) AS lines FROM lineact GROUP BY ALL")
 
 
 def straight(ranks: str) -> str:
@@ -1484,14 +1600,14 @@ def straight(ranks: str) -> str:
 
 cte("cardhand", f"""
 SELECT *, {straight('ranks')} AS st, CASE WHEN len(fr) >= 5 THEN {straight('fr')} ELSE -1 END AS sf FROM (
-  SELECT c.hand_id, c.n_cards, r.g, r.k, r.ranks, coalesce(s.fr, []) AS fr
-  FROM (SELECT hand_id, count(*) AS n_cards FROM card GROUP BY 1) AS c
-  JOIN (SELECT hand_id, list(n ORDER BY n DESC, rank DESC) AS g, list(rank ORDER BY n DESC, rank DESC) AS k,
+  SELECT c.hand_id, c.deal, c.n_cards, r.g, r.k, r.ranks, coalesce(s.fr, []) AS fr
+  FROM (SELECT hand_id, deal, count(*) AS n_cards FROM card GROUP BY 1, 2) AS c
+  JOIN (SELECT hand_id, deal, list(n ORDER BY n DESC, rank DESC) AS g, list(rank ORDER BY n DESC, rank DESC) AS k,
                list(rank ORDER BY rank DESC) AS ranks
-        FROM (SELECT hand_id, rank, count(*) AS n FROM card GROUP BY 1, 2) AS q GROUP BY 1) AS r USING (hand_id)
-  LEFT JOIN (SELECT hand_id, list(rank ORDER BY rank DESC) AS fr FROM card GROUP BY hand_id, suit HAVING count(*) >= 5) AS s
-    USING (hand_id)) AS h WHERE n_cards >= 5""")
-oracle("best_five", "hand_id n_cards category score", """
+        FROM (SELECT hand_id, deal, rank, count(*) AS n FROM card GROUP BY 1, 2, 3) AS q GROUP BY 1, 2) AS r USING (hand_id, deal)
+  LEFT JOIN (SELECT hand_id, deal, list(rank ORDER BY rank DESC) AS fr FROM card GROUP BY hand_id, deal, suit HAVING count(*) >= 5) AS s
+    USING (hand_id, deal)) AS h WHERE n_cards >= 5""")
+oracle("best_five", "hand_id deal n_cards category score", """
 SELECT *, list_reduce(list_prepend(category::BIGINT, list_transform([1, 2, 3, 4, 5],
          lambda i: coalesce(digits[i], -1)::BIGINT + 1)), lambda a, d: a * 14 + d) AS score FROM (
   SELECT *, CASE category WHEN 8 THEN [sf] WHEN 7 THEN [k[1], list_max(k[2:])] WHEN 6 THEN k[1:2] WHEN 5 THEN fr[1:5]
@@ -1500,16 +1616,17 @@ SELECT *, list_reduce(list_prepend(category::BIGINT, list_transform([1, 2, 3, 4,
     SELECT *, CASE WHEN sf >= 0 THEN 8 WHEN g[1] = 4 THEN 7 WHEN g[1] = 3 AND g[2] >= 2 THEN 6 WHEN len(fr) >= 5 THEN 5
                 WHEN st >= 0 THEN 4 WHEN g[1] = 3 THEN 3 WHEN g[1] = 2 AND g[2] = 2 THEN 2 WHEN g[1] = 2 THEN 1 ELSE 0 END AS category
     FROM cardhand) AS a) AS b""")
-oracle("draws", "hand_id suit_cards rank_run hole_in_suit", """
-SELECT s.hand_id, s.n AS suit_cards, r.run AS rank_run,
-  EXISTS (SELECT 1 FROM card AS c WHERE c.hand_id = s.hand_id AND c.action_no < 2 AND c.suit = s.suit) AS hole_in_suit
-FROM (SELECT hand_id, suit, count(*) AS n, row_number() OVER (PARTITION BY hand_id ORDER BY count(*) DESC, suit) AS i
-      FROM card GROUP BY 1, 2) AS s
-JOIN (SELECT hand_id, max(n) AS run FROM (
-        SELECT hand_id, grp, count(*) AS n FROM (
-          SELECT hand_id, rank - row_number() OVER (PARTITION BY hand_id ORDER BY rank) AS grp
-          FROM (SELECT DISTINCT hand_id, rank FROM card UNION SELECT hand_id, -1 FROM card WHERE rank = 12) AS d) AS e
-        GROUP BY 1, 2) AS f GROUP BY 1) AS r ON s.hand_id = r.hand_id WHERE s.i = 1""")
+oracle("draws", "hand_id deal suit_cards rank_run hole_in_suit n_lines", """
+SELECT s.hand_id, s.deal, s.n AS suit_cards, r.run AS rank_run, s.n_lines,
+  EXISTS (SELECT 1 FROM card AS c WHERE c.hand_id = s.hand_id AND c.deal = s.deal AND c.place < 2 AND c.suit = s.suit) AS hole_in_suit
+FROM (SELECT hand_id, deal, suit, count(*) AS n, row_number() OVER (PARTITION BY hand_id, deal ORDER BY count(*) DESC, suit) AS i,
+             sum(sum(lines)) OVER (PARTITION BY hand_id, deal) AS n_lines
+      FROM card GROUP BY 1, 2, 3) AS s
+JOIN (SELECT hand_id, deal, max(n) AS run FROM (
+        SELECT hand_id, deal, grp, count(*) AS n FROM (
+          SELECT hand_id, deal, rank - row_number() OVER (PARTITION BY hand_id, deal ORDER BY rank) AS grp
+          FROM (SELECT DISTINCT hand_id, deal, rank FROM card UNION SELECT hand_id, deal, -1 FROM card WHERE rank = 12) AS d) AS e
+        GROUP BY 1, 2, 3) AS f GROUP BY 1, 2) AS r ON s.hand_id = r.hand_id AND s.deal = r.deal WHERE s.i = 1""")
 cte("twocard", """
 SELECT hand_id, amount, CASE WHEN r0 <> r1 AND s0 = s1 THEN greatest(r0, r1) * 13 + least(r0, r1)
                      ELSE least(r0, r1) * 13 + greatest(r0, r1) END AS bucket FROM (
@@ -1520,8 +1637,9 @@ oracle("start_buckets", "hand_id bucket dealt ~win_share ~strength_pct", """
 SELECT c.hand_id, c.bucket, t.dealt, t.win_share, t.strength_pct FROM twocard AS c JOIN (
   SELECT *, (rank() OVER (ORDER BY win_share) + (count(*) OVER (PARTITION BY win_share) - 1) / 2.0) / count(*) OVER () AS strength_pct
   FROM (SELECT bucket, count(*) AS dealt, avg((amount > 5000000)::INT) AS win_share FROM twocard GROUP BY 1) AS b) AS t USING (bucket)""")
-oracle("parsed_boards", "hand_id $board n_cards place rank suit", """
-SELECT hand_id, board, n_cards, action_no AS place, rank, suit FROM (
-  SELECT *, string_agg(substr('23456789TJQKA', rank::INT + 1, 1) || substr('cdhs', suit::INT + 1, 1), ' ' ORDER BY action_no)
-              OVER (PARTITION BY hand_id ORDER BY action_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS board,
-         count(*) OVER (PARTITION BY hand_id) AS n_cards FROM lineact WHERE action_no < 5) AS b""")
+oracle("parsed_boards", "hand_id deal $board n_cards place rank suit", """
+SELECT hand_id, deal, board, n_cards, place, rank, suit FROM (
+  SELECT *, string_agg(substr('23456789TJQKA', rank::INT + 1, 1) || substr('cdhs', suit::INT + 1, 1), ' ' ORDER BY place)
+              OVER (PARTITION BY hand_id, deal ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS board,
+         count(*) OVER (PARTITION BY hand_id, deal) AS n_cards
+  FROM (SELECT *, action_no // 5 AS deal, action_no % 5 AS place FROM lineact) AS a) AS b""")

@@ -78,3 +78,15 @@ def test_a_cluster_needs_a_shared_folder():
             master = "spark://host:7077"
     with pytest.raises(ValueError):
         session.scratch_root(Spark)
+
+
+def test_every_line_is_dealt_and_every_hand_ranked(spark):
+    from dyad.plans import base
+    from dyad.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert QUERIES["parsed_boards"](spark, sf).count() == lines
+    assert QUERIES["draws"](spark, sf).agg(F.sum("n_lines")).first()[0] == lines
+    hands = base.pair_hands(spark, sf).count()
+    assert all(QUERIES[q](spark, sf).count() == hands for q in ("borda_scores", "comparator_blend", "seed_bag_placebo", "template_features", "sizing_features"))
