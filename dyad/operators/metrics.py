@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyad.functions.cols import FAMILIES, as_int, md5_key
 from dyad.functions.ordered import (ident_segment, magnitude_segment, melt, percentiles, row_numbers, running,
                                     top_rows)
+from dyad.operators.sweeps import mixture_sweep, resampled
 from dyad.session import settle
 
 UNSCORED = 1.7e308  # as a negated score: behind every other
@@ -118,12 +119,8 @@ def bootstrap_replicates(df: DataFrame, scores: tuple[str, str], y: str, ident:
                          replicates: int, seed: str) -> DataFrame:
     """AP of both scores in every replicate, on the same resampled groups."""
     weights = bootstrap_weights(df, group, replicates, seed)
-    d = settle(df.select(group, ident, y, *scores).join(weights, group))
-    out = None
-    for name in scores:
-        ap = average_precision(d, name, y, ident, ["replicate"], "w").select(
-            "replicate", F.col("ap").alias(f"ap_{name}"))
-        out = ap if out is None else out.join(ap, "replicate")
+    each = resampled(df.select(group, ident, y, *scores), {n: F.col(n) for n in scores}, y, ident, group, weights, replicates)
+    out = each.groupBy("replicate").agg(*[F.max(F.when(F.col("name") == n, F.col("ap"))).alias(f"ap_{n}") for n in scores])
     return out.withColumn("delta", F.col(f"ap_{scores[1]}") - F.col(f"ap_{scores[0]}"))
 
 
@@ -214,6 +211,5 @@ def mixture_rows(df: DataFrame, held: str, share: float, seed: str, ident: str,
 
 def mixture_ap(df: DataFrame, held: str, share: float, seed: str, ident: str, draws: int = 5) -> DataFrame:
     """Mean over the draws of the average precision on mixture rows."""
-    rows = settle(mixture_rows(df, held, share, seed, ident, draws))
-    return average_precision(rows, "score", "target", ident, ["draw"]).agg(
-        *[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])
+    lanes = mixture_sweep(df, {"score": F.col("score")}, held, [share], seed, ident, draws)
+    return lanes.agg(*[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])

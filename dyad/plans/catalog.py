@@ -26,6 +26,7 @@ from dyad.operators import seats as st
 from dyad.operators import self_training as stn
 from dyad.operators import sequence as sq
 from dyad.operators import similarity as sm
+from dyad.operators import sweeps as sw
 from dyad.operators import templates as tp
 from dyad.operators import tokens as tk
 from dyad.operators import within_pair as wp
@@ -976,12 +977,21 @@ def separation(spark, sf):
 @query
 def mixture_ap(spark, sf):
     """Pair AP with one family held out and added back at a fixed share of positives."""
-    d = risk_pairs(spark, sf).withColumnRenamed("risk", "score")
-    out = None
-    for share in (0.0, 0.2):
-        r = mt.mixture_ap(d, "soft_play", share, "mix", "pid").withColumn("share", F.lit(share))
-        out = r if out is None else out.unionByName(r)
-    return out
+    lanes = sw.mixture_sweep(risk_pairs(spark, sf), {"risk": F.col("risk")}, "soft_play", [0.0, 0.2], "mix", "pid")
+    return lanes.groupBy("share").agg(*[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])
+
+
+BLEND_WEIGHTS = (0.0, 0.5, 2.0)
+
+
+@query
+def mixture_sweep(spark, sf):
+    """Pair AP by share of the held-out family and by blend of the risk with the fold rate."""
+    folded = counts(spark, sf).select(*PAIR, ((F.col("k_folded_12") + F.col("k_folded_21")) / F.col("shared_hands")).alias("fold_rate"))
+    d = risk_pairs(spark, sf).join(folded, PAIR)
+    blends = {f"risk_{w}_folds": F.round(F.col("risk") + w * F.col("fold_rate"), 9) for w in BLEND_WEIGHTS}
+    lanes = sw.mixture_sweep(d, blends, "soft_play", [0.0, 0.1, 0.2, 0.35], "mix", "pid")
+    return lanes.groupBy(F.col("name").alias("blend"), "share").agg(*[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])
 
 
 @query

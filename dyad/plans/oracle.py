@@ -1427,6 +1427,20 @@ SELECT share, draw, pid, risk, known OR (hidden AND i <= round(share::DOUBLE * c
 oracle("mixture_ap", "~share ~rows ~positives ~ap", f"""
 SELECT share, avg(rows) AS rows, avg(positives) AS positives, avg(ap) AS ap FROM ({ap("mix", "risk", "target", "pid", "share, draw")}) AS d GROUP BY 1""")
 
+cte("sweeprow", """
+SELECT share, draw, r.pid, r.risk, (c.k_folded_12 + c.k_folded_21)::DOUBLE / c.shared_hands AS fold_rate,
+  label = 1 AND family IS DISTINCT FROM 'soft_play' AS known, label = 1 AND coalesce(family = 'soft_play', false) AS hidden,
+  row_number() OVER (PARTITION BY share, draw, label = 1 AND family = 'soft_play' ORDER BY md5(r.pid || '|mix' || draw), r.pid) AS i
+FROM riskpair AS r JOIN cnt AS c ON c.phase = r.phase AND c.p1 = r.p1 AND c.p2 = r.p2
+CROSS JOIN (SELECT unnest([0.0, 0.1, 0.2, 0.35]) AS share) AS s CROSS JOIN (SELECT unnest(range(5)) AS draw) AS d""")
+cte("sweepmix", """
+SELECT 'risk_' || w || '_folds' AS blend, share, draw, pid, round(risk + w::DOUBLE * fold_rate, 9) AS score,
+  known OR (hidden AND i <= round(share::DOUBLE * count(*) FILTER (known) OVER (PARTITION BY w, share, draw) / (1 - share::DOUBLE))) AS target
+FROM sweeprow CROSS JOIN (SELECT unnest([0.0, 0.5, 2.0]) AS w) AS b""")
+oracle("mixture_sweep", "$blend ~share ~rows ~positives ~ap", f"""
+SELECT blend, share, avg(rows) AS rows, avg(positives) AS positives, avg(ap) AS ap
+FROM ({ap("sweepmix", "score", "target", "pid", "blend, share, draw")}) AS d GROUP BY 1, 2""")
+
 cte("profile0", """
 SELECT phase, table_id, p1, p2, count(*) AS hands, count(*) FILTER (a1.n > 0 AND a2.n > 0) AS co_raises,
   count(*) FILTER (both_showdown) AS showdowns,

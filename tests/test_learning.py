@@ -235,3 +235,39 @@ def test_listwise_order_beats_a_single_measure_and_keeps_every_hand(spark):
         return hits
     assert top(lambda r: got[r[2], r[4]]) > max(top(lambda r: r[6]), top(lambda r: -r[7]))
     assert max((v, h) for (p, h), v in got.items() if p == 500)[1] == "h0007"
+
+
+def plain_ap(rows):
+    """`rows`: (score, id, target, weight); a null score comes last."""
+    hits = seen = 0
+    gain = 0.0
+    for score, i, y, w in sorted(rows, key=lambda r: (math.inf if r[0] is None else -r[0], r[1])):
+        for _ in range(w):
+            seen += 1
+            hits += y
+            gain += y * hits / seen
+    return gain / hits if hits else 0.0
+
+
+def test_lanes_of_one_ranking(spark):
+    """Every lane equals the ranking of its own rows; ties, null scores and lanes without positives included."""
+    from dyad.operators import sweeps
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([None, 0.1, 0.1, rnd.random()]), *[rnd.random() < 0.2 for _ in range(3)], *[rnd.choice([0, 0, 1, 3]) for _ in range(3)]) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, s double, y0 boolean, y1 boolean, y2 boolean, w0 int, w1 int, w2 int").repartition(4)
+    for weights in (None, [F.col(f"w{i}") for i in range(3)]):
+        got = sweeps.precision_sweep(d, "s", "id", [F.col("y0"), F.col("y1"), F.lit(False)], weights=weights).first()
+        for i in range(3):
+            want = plain_ap([(r[1], r[0], r[2 + i] and i < 2, r[5 + i] if weights else 1) for r in rows])
+            assert got["ap"][i] == pytest.approx(want, abs=1e-12)
+    assert sweeps.precision_sweep(d.where("id < 0"), "s", "id", [F.col("y0")]).count() == 0
+
+
+def test_rows_are_not_copied_per_replicate(spark):
+    """The plan of a sweep reads and ranks each row once, whatever the number of lanes."""
+    from dyad.operators import sweeps
+
+    d = spark.createDataFrame([(i, float(i % 9), i % 2 == 0) for i in range(50)], "id long, s double, y boolean")
+    plan = sweeps.precision_sweep(d, "s", "id", [F.col("y")] * 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
