@@ -17,6 +17,7 @@ from dyad.operators import listwise as lw
 from dyad.operators import live as lv
 from dyad.operators import metrics as mt
 from dyad.operators import models as md
+from dyad.operators import neighbours as nb
 from dyad.operators import pair_hands as phs
 from dyad.operators import pairs as pr
 from dyad.operators import relational as rl
@@ -701,6 +702,15 @@ def knn_mean_distance(spark, sf):
     return sm.knn_mean_distance(e, e, 5)
 
 
+@query
+def knn_by_axes(spark, sf):
+    """Mean distance to the five nearest vectors of other folds, found by principal coordinates."""
+    e = ev.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.pmod("vec_id", F.lit(5)).alias("fold"))
+    return nb.nearest_by_axes(e, e, 5).groupBy("id").agg(
+        F.avg("dist").alias("mean_dist"), F.min("dist").alias("min_dist"), F.count("*").alias("k_found"))
+
+
 @query
 def knn_ratio(spark, sf):
     """Distance to references of one label over the distance to all others."""

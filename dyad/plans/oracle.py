@@ -1136,6 +1136,7 @@ def brute_knn(where: str) -> str:
 
 
 oracle("knn_mean_distance", "id ~mean_dist ~min_dist k_found", brute_knn("true"))
+oracle("knn_by_axes", "id ~mean_dist ~min_dist k_found", brute_knn("true"))
 oracle("knn_ratio", "id ~gold_dist ~other_dist ~dist_ratio", f"""
 SELECT g.id, g.mean_dist AS gold_dist, o.mean_dist AS other_dist, g.mean_dist / (o.mean_dist + 1e-9) AS dist_ratio
 FROM ({brute_knn('r.label < 3')}) AS g JOIN ({brute_knn('r.label >= 3')}) AS o ON g.id = o.id""")
