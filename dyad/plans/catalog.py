@@ -12,6 +12,7 @@ from dyad.functions import tails
 from dyad.functions.ordered import duplicates, percentiles
 from dyad.operators import aggregate as ag
 from dyad.operators import bags as bg
+from dyad.operators import best as bs
 from dyad.operators import cards as cd
 from dyad.operators import listwise as lw
 from dyad.operators import live as lv
@@ -556,6 +557,30 @@ def score_features(spark, sf):
     return d
 
 
+def scored_hands(spark, sf) -> DataFrame:
+    """Pair-hands with a score per family, the tail of the members' action surprise and the likelihood ratio of their play toward each other."""
+    tail = b.scored(spark, sf).groupBy("hand_id", "player_id").agg(F.max("surp").alias("tail"), F.sum("surp").alias("total"))
+    d = signals(spark, sf).select(*HAND_KEY, "pair_rn", "score", "pot_bb", "abs_net_gap", "contact",
+                                  *[F.round(f"{c}_vs_partner", 6).alias(f) for f, c in (("family_0", "fold"), ("family_1", "call"), ("family_2", "aggr"))])
+    for i in (1, 2):
+        d = d.join(tail.select("hand_id", F.col("player_id").alias(f"p{i}"), F.col("tail").alias(f"__t{i}"), F.col("total").alias(f"__s{i}")), ["hand_id", f"p{i}"], "left")
+    llr = rl.relational_hand(rl.encode_context(b.live(spark, sf), "96"), cells96(spark, sf)).groupBy(
+        "hand_id", F.least("player_id", "opp").alias("p1"), F.greatest("player_id", "opp").alias("p2")).agg(F.sum("rel_lr").alias("llr"))
+    d = d.join(llr, ["hand_id", "p1", "p2"], "left")
+    return d.select(*HAND_KEY, "pair_rn", "score", "pot_bb", "abs_net_gap", "contact", "family_0", "family_1", "family_2",
+                    F.round(F.greatest("__t1", "__t2"), 6).alias("action_tail"), F.round(F.col("__s1") + F.col("__s2"), 6).alias("action_sum"), F.round("llr", 6).alias("llr"))
+
+
+TOPS = {"score": (1, 3, 5, 10), "family_0": (3, 5, 10), "family_1": (3, 5, 10), "family_2": (3, 5, 10), "action_tail": (1, 5, 10), "action_sum": (5,), "llr": (3, 5, 10)}
+CARRIED = {"score": ["pot_bb", "abs_net_gap", "contact"], "llr": ["pot_bb", "contact"]}
+
+
+@query
+def many_score_features(spark, sf):
+    """Pair features from every hand score in one grouped pass."""
+    return bs.many_score_features(scored_hands(spark, sf), "pair_rn", TOPS, CARRIED)
+
+
 @query
 def family_rule(spark, sf):
     s = signals(spark, sf).withColumns({

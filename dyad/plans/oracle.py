@@ -964,6 +964,23 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY score DESC, han
              avg(score) OVER (PARTITION BY {_KEYS} ORDER BY pair_rn ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS roll15
       FROM sig) AS s GROUP BY 1, 2, 3, 4""")
 
+_TOPS = {"score": (1, 3, 5, 10), "family_0": (3, 5, 10), "family_1": (3, 5, 10), "family_2": (3, 5, 10), "action_tail": (1, 5, 10),
+         "action_sum": (5,), "llr": (3, 5, 10)}
+_CARRIED = {"score": ["pot_bb", "abs_net_gap", "contact"], "llr": ["pot_bb", "contact"]}
+cte("tail", "SELECT hand_id, player_id, max(surp) AS t, sum(surp) AS s FROM scored GROUP BY 1, 2")
+cte("hands_scored", f"""
+SELECT s.phase, s.table_id, s.p1, s.p2, s.hand_id, s.score, s.pot_bb, s.abs_net_gap, s.contact, round(s.fold_vs_partner, 6) AS family_0,
+  round(s.call_vs_partner, 6) AS family_1, round(s.aggr_vs_partner, 6) AS family_2, round(greatest(a.t, b.t), 6) AS action_tail,
+  round(a.s + b.s, 6) AS action_sum, round(l.llr, 6) AS llr
+FROM sig AS s LEFT JOIN tail AS a ON a.hand_id = s.hand_id AND a.player_id = s.p1 LEFT JOIN tail AS b ON b.hand_id = s.hand_id AND b.player_id = s.p2
+LEFT JOIN (SELECT hand_id, least(player_id, opp) AS p1, greatest(player_id, opp) AS p2, sum(c.lr) AS llr
+           FROM x96 JOIN cells96 AS c USING (phase, table_id, player_id, opp, ctx, act) GROUP BY 1, 2, 3) AS l
+  ON l.hand_id = s.hand_id AND l.p1 = s.p1 AND l.p2 = s.p2""")
+_MANY = ({f"{s}_top{n}": topk(s, n) for s, ns in _TOPS.items() for n in ns} | {f"{s}_sum": f"coalesce(sum({s}), 0)" for s in _TOPS}
+         | {f"{s}_mean": f"avg({s})" for s in _TOPS} | {f"{s}_best5_{c}": f"avg({c}) FILTER (r_{s} <= 5 AND {s} IS NOT NULL)" for s, cs in _CARRIED.items() for c in cs})
+oracle("many_score_features", _P + " ".join(f"~{c}" for c in _MANY), f"SELECT {_KEYS}, " + ", ".join(f"{e} AS {c}" for c, e in _MANY.items()) + " FROM (SELECT *, " + ", ".join(
+    f"row_number() OVER (PARTITION BY {_KEYS} ORDER BY {s} DESC NULLS LAST, hand_id) AS r_{s}" for s in _CARRIED) + " FROM hands_scored) AS q GROUP BY ALL")
+
 oracle("family_rule", _P + "~top5_0 ~top5_1 ~top5_2 $rule_family", f"""
 SELECT *, CASE WHEN top5_0 >= top5_1 AND top5_0 >= top5_2 THEN 'directed_transfer'
                WHEN top5_1 >= top5_2 THEN 'soft_play' ELSE 'coordinated_isolation' END AS rule_family

@@ -271,3 +271,26 @@ def test_rows_are_not_copied_per_replicate(spark):
     d = spark.createDataFrame([(i, float(i % 9), i % 2 == 0) for i in range(50)], "id long, s double, y boolean")
     plan = sweeps.precision_sweep(d, "s", "id", [F.col("y")] * 12)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("stretch", [4096, 3])
+def test_k_best_of_several_scores(spark, stretch):
+    """Stretches of three rows, merged level by level, give what a whole sort gives; nulls and ties included."""
+    from dyad.operators import best
+
+    rnd = random.Random(9)
+    rows = [("hot" if i < 150 else f"k{i % 4}", i, f"h{i:03d}", rnd.choice([None, 1.0, 2.0, rnd.random()]), rnd.randint(0, 5), rnd.choice([None, float(i)])) for i in range(200)]
+    d = spark.createDataFrame(rows, "k string, place long, hand_id string, a double, b int, c double").repartition(4)
+    got = {r["k"]: r for r in best.k_best(d, ["k"], "place", "hand_id", ["a", "b"], 4, ["c"], stretch).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for key, r in got.items():
+        for name, at in (("a", 3), ("b", 4)):
+            own = sorted(((-x[at], x[2], x[5]) for x in rows if x[0] == key and x[at] is not None), key=lambda t: t[:2])
+            assert [tuple(x) for x in r[f"best_{name}"]] == own[:4]
+            assert r[f"n_{name}"] == len(own) and r[f"sum_{name}"] == pytest.approx(-sum(x[0] for x in own))
+    features = best.many_score_features(d, "place", {"a": (1, 3), "b": (2,)}, {"a": ["c"]}, 3, ["k"]).collect()
+    for r in features:
+        own = sorted(((-x[3], x[2], x[5]) for x in rows if x[0] == r["k"] and x[3] is not None), key=lambda t: t[:2])[:3]
+        assert r["a_top3"] == pytest.approx(-sum(x[0] for x in own) / 3)
+        some = [x[2] for x in own if x[2] is not None]
+        assert r["a_best3_c"] == (pytest.approx(sum(some) / len(some)) if some else None)
