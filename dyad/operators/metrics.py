@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dyad.functions.cols import FAMILIES, as_int, md5_key
 from dyad.functions.ordered import (ident_segment, magnitude_segment, melt, percentiles, row_numbers, running,
                                     top_rows)
-from dyad.operators.sweeps import mixture_sweep, resampled
+from dyad.operators.sweeps import lanes, mixture_sweep, precision_sweep, resampled
 from dyad.session import settle
 
 UNSCORED = 1.7e308  # as a negated score: behind every other
@@ -179,6 +179,41 @@ def within_pair_auc(df: DataFrame, score: str, y: str, n: int, key: tuple[str, .
         *keys, "rows", "pos", ((F.col("rank_sum") - p * (p + 1) / 2.0) / (p * m)).alias("auc"))
 
 
+def precision_variants(df: DataFrame, score: str, ident: str, excluded: Column) -> DataFrame:
+    """(variant, rows, positives, ap): over all rows with unknown labels as negatives, over labelled rows, and without `excluded` ones.
+
+    ``label`` is 1, 0 or -1 (unknown). One ranking serves all three; a row a variant leaves out counts zero times in it.
+    """
+    known = F.coalesce(F.col("label") >= 0, F.lit(False))
+    count = {"population": F.lit(1), "labelled": as_int(known), "cleaned": 1 - as_int(excluded)}
+    sweep = precision_sweep(df, score, ident, [F.col("label") == 1] * len(count), weights=list(count.values()))
+    names = F.array(*map(F.lit, count))
+    return lanes(sweep, [], "__i").select(F.get(names, F.col("__i")).alias("variant"), "rows", "positives", "ap")
+
+
+def shortlist_auc(df: DataFrame, score: str, shortlist: str, y: str, n: int, key: tuple[str, ...] = ("p1", "p2")) -> DataFrame:
+    """Per pair: rows and positives among its n best by `shortlist`, rank-sum AUC of `score` there (null with one class), positives in all.
+
+    Ties of the shortlist go to the smaller hand, ties of the score count half.
+    """
+    keys = list(key)
+    total = df.groupBy(*keys).agg(F.sum(y).cast("bigint").alias("all_pos"))
+    best = top_rows(df.select(*keys, "hand_id", score, shortlist, y), keys, [F.col(shortlist).desc(), F.col("hand_id")], n)
+    # At most n rows per key enter these windows.
+    own = Window.partitionBy(*keys)
+    place = F.rank().over(own.orderBy(score)) + (F.count("*").over(Window.partitionBy(*keys, score)) - 1) / 2.0
+    g = best.withColumn("__place", place).groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.sum(y).cast("bigint").alias("pos"), F.sum(F.when(F.col(y) == 1, F.col("__place"))).alias("__sum"))
+    p, m = F.col("pos"), F.col("rows") - F.col("pos")
+    auc = F.when((p > 0) & (m > 0), (F.col("__sum") - p * (p + 1) / 2.0) / F.greatest(p * m, F.lit(1)))
+    return g.select(*keys, "rows", "pos", auc.alias("auc")).join(total, keys)
+
+
+def shortlist_summary(pairs: DataFrame) -> DataFrame:
+    """Mean AUC, pairs that have one, and the share of all positives that are in their pair's shortlist."""
+    return pairs.agg(F.avg("auc").alias("mean_auc"), F.count("auc").alias("pairs"), (F.sum("pos") / F.sum("all_pos")).alias("recall_inside"))
+
+
 def separation(df: DataFrame, columns: list[str], y: str, key: tuple[str, ...] = ("p1", "p2")) -> DataFrame:
     """Within-pair z of the positives against the rest, and Welch's t, per column."""
     keys = list(key)
@@ -211,5 +246,5 @@ def mixture_rows(df: DataFrame, held: str, share: float, seed: str, ident: str,
 
 def mixture_ap(df: DataFrame, held: str, share: float, seed: str, ident: str, draws: int = 5) -> DataFrame:
     """Mean over the draws of the average precision on mixture rows."""
-    lanes = mixture_sweep(df, {"score": F.col("score")}, held, [share], seed, ident, draws)
-    return lanes.agg(*[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])
+    each = mixture_sweep(df, {"score": F.col("score")}, held, [share], seed, ident, draws)
+    return each.agg(*[F.avg(c).alias(c) for c in ("rows", "positives", "ap")])

@@ -1004,6 +1004,25 @@ def within_pair_auc(spark, sf):
     return mt.within_pair_auc(gold_hands(spark, sf), "score", "gold", 12)
 
 
+@query
+def shortlist_auc(spark, sf):
+    """Surprise judged inside a shortlist made by another score."""
+    return mt.shortlist_auc(gold_hands(spark, sf), "score", "transfer_gross", "gold", 12)
+
+
+@query
+def shortlist_summary(spark, sf):
+    return mt.shortlist_summary(mt.shortlist_auc(gold_hands(spark, sf), "score", "transfer_gross", "gold", 12))
+
+
+@query
+def precision_variants(spark, sf):
+    """Pair AP over all pairs, labelled pairs, and all but the unknown pairs a reference model is nearly certain of."""
+    d = training_pairs(spark, sf).withColumn("y", F.when(F.col("label") >= 0, F.col("label")))
+    d = stn.linear_crossfit(d, ["risk", "fold_rate"], "y", TRAINED_FOLDS, out="reference")
+    return mt.precision_variants(d, "risk", "pid", (F.col("label") == -1) & (F.round("reference", 9) > 0.4))
+
+
 @query
 def separation(spark, sf):
     return mt.separation(gold_hands(spark, sf), ["score", "transfer_gross", "abs_net_gap", "pot_bb"], "gold")

@@ -1423,6 +1423,16 @@ SELECT p1, p2, count(*) AS rows, sum(gold) AS pos,
 FROM (SELECT *, rank() OVER (PARTITION BY p1, p2 ORDER BY score) + (count(*) OVER (PARTITION BY p1, p2, score) - 1) / 2.0 AS rk
       FROM (SELECT *, row_number() OVER (PARTITION BY p1, p2 ORDER BY score DESC, hand_id) AS i FROM goldhand) AS g
       WHERE i <= 12) AS b GROUP BY 1, 2 HAVING sum(gold) > 0 AND sum(gold) < count(*)""")
+cte("shortlisted", """
+SELECT p1, p2, count(*) AS rows, sum(gold) AS pos, max(all_pos) AS all_pos, CASE WHEN sum(gold) > 0 AND sum(gold) < count(*) THEN
+  (sum(rk) FILTER (gold = 1) - sum(gold) * (sum(gold) + 1) / 2.0) / (sum(gold) * (count(*) - sum(gold))) END AS auc
+FROM (SELECT *, rank() OVER (PARTITION BY p1, p2 ORDER BY score) + (count(*) OVER (PARTITION BY p1, p2, score) - 1) / 2.0 AS rk
+      FROM (SELECT *, sum(gold) OVER (PARTITION BY p1, p2) AS all_pos,
+                   row_number() OVER (PARTITION BY p1, p2 ORDER BY transfer_gross DESC, hand_id) AS i FROM goldhand) AS g
+      WHERE i <= 12) AS b GROUP BY 1, 2""")
+oracle("shortlist_auc", "p1 p2 rows pos ~auc all_pos", "SELECT * FROM shortlisted")
+oracle("shortlist_summary", "~mean_auc pairs ~recall_inside",
+       "SELECT avg(auc) AS mean_auc, count(auc) AS pairs, sum(pos)::DOUBLE / sum(all_pos) AS recall_inside FROM shortlisted")
 oracle("separation", "$signal n_pos n_neg ~gap ~welch_t", """
 SELECT signal, count(*) FILTER (gold = 1) AS n_pos, count(*) FILTER (gold = 0) AS n_neg,
   avg(z) FILTER (gold = 1) - avg(z) FILTER (gold = 0) AS gap,
@@ -1606,6 +1616,12 @@ cte("lin", """
 SELECT s.*, f, label::DOUBLE AS t, 1.0::DOUBLE AS w FROM strain AS s CROSS JOIN (SELECT unnest([0, 1, 2]) AS f) AS u WHERE label >= 0""")
 ridge_models("lin", "lin")
 oracle("linear_crossfit", "pid fold ~score", "SELECT pid, fold, c + b0 * x0 + b1 * x1 AS score FROM strain LEFT JOIN lin_model ON f = fold AND g = fold")
+cte("cleaned", """
+SELECT s.*, x0 AS risk, label = -1 AND coalesce(round(c + b0 * x0 + b1 * x1, 9) > 0.4, false) AS out
+FROM strain AS s LEFT JOIN lin_model ON f = fold AND g = fold""")
+oracle("precision_variants", "$variant rows positives ~ap", " UNION ALL ".join(
+    f"SELECT '{v}' AS variant, * FROM ({ap(f'(SELECT * FROM cleaned WHERE {c}) AS q', 'risk', 'label = 1', 'pid')}) AS a"
+    for v, c in (("population", "true"), ("labelled", "label >= 0"), ("cleaned", "NOT out"))))
 oracle("linear_crossfit_nested", "pid fold outer_fold ~score",
        "SELECT pid, fold, s.f AS outer_fold, c + b0 * x0 + b1 * x1 AS score FROM lin AS s LEFT JOIN lin_model AS m ON m.f = s.f AND m.g = fold")
 
