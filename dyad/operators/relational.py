@@ -258,7 +258,10 @@ def surprise_contrast(by_target: DataFrame) -> DataFrame:
 
     by_actions = F.sqrt(F.least(F.col("actions"), F.lit(400)).cast("double"))
     by_folds = F.sqrt(F.least(F.col("folds"), F.lit(200)).cast("double"))
-    d = d.withColumns({"sv_delta": gap("sv", "actions"), "ax_delta": gap("ax", "actions"),
+    rate = lambda x, by: F.col(x) / F.greatest(F.col(by), F.lit(1))
+    d = d.withColumns({"sv_per_action": rate("sv", "actions"), "sv_field_rate": rate("rest_sv", "rest_actions"),
+                       "ax_per_action": rate("ax", "actions"), "fs_per_fold": rate("fs", "folds"),
+                       "sv_delta": gap("sv", "actions"), "ax_delta": gap("ax", "actions"),
                        "fs_delta": gap("fs", "folds"), "cs_delta": gap("cs", "actions")})
     return d.withColumns({"sv_excess": F.col("sv_delta") * by_actions,
                           "fs_excess": F.col("fs_delta") * by_folds,
@@ -266,7 +269,8 @@ def surprise_contrast(by_target: DataFrame) -> DataFrame:
 
 
 CONTRAST_COLUMNS = ["sv", "sv_max", "sv_action_max", "actions", "sv_delta", "sv_excess", "ax", "ax_delta",
-                    "fs", "fs_max", "fs_delta", "fs_excess", "cs", "cs_delta", "cs_excess", "ars"]
+                    "fs", "fs_max", "fs_delta", "fs_excess", "cs", "cs_delta", "cs_excess", "ars",
+                    "sv_per_action", "sv_field_rate", "ax_per_action", "fs_per_fold"]
 
 
 def policy_residual(x: DataFrame, classes: int = 3) -> DataFrame:

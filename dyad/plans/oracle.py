@@ -774,8 +774,11 @@ _AGG = {
     "~weak_raise_top5": topk("weak_raise_weight", 5), "~concession_top3_1": topk("concession_weight_1", 3),
     "~concession_top3_2": topk("concession_weight_2", 3),
     "~event_top3": topk(f"(CASE WHEN {_EVENT} THEN transfer_gross ELSE 0 END)", 3),
-    "~transfer_p95": nearest("transfer_gross", 0.95)}
+    "~transfer_p95": nearest("transfer_gross", 0.95),
+    **{f"given_{s}_n": f"count(*) FILTER (fold_better_{d} OR paid_{d})" for s, d in (("12", "1_to_2"), ("21", "2_to_1"))}}
 _AGG2 = {
+    "transfer_hi_n": "greatest(given_12_n, given_21_n)",
+    "~transfer_oneway": "abs(given_12_n - given_21_n) / (given_12_n + given_21_n + 1e-9)",
     "flow_hi": "greatest(flow_12, flow_21)", "flow_imbalance": "abs(flow_12 - flow_21)",
     "~flow_oneway": "abs(flow_12 - flow_21) / (flow_12 + flow_21 + 1e-9)",
     "~top5_share": "transfer_top5 * 5 / (transfer_total + 1e-9)", "~peakiness": "transfer_max / (transfer_mean + 1e-9)",
@@ -814,14 +817,15 @@ cte("contrast", f"""
 SELECT *, sv_delta * sqrt(least(actions, 400)) AS sv_excess, fs_delta * sqrt(least(folds, 200)) AS fs_excess,
        cs_delta * sqrt(least(actions, 400)) AS cs_excess FROM (
   SELECT *, {_gap('sv', 'actions')} AS sv_delta, {_gap('ax', 'actions')} AS ax_delta, {_gap('fs', 'folds')} AS fs_delta,
-         {_gap('cs', 'actions')} AS cs_delta FROM (
+         {_gap('cs', 'actions')} AS cs_delta, sv / greatest(actions, 1) AS sv_per_action, ax / greatest(actions, 1) AS ax_per_action,
+         fs / greatest(folds, 1) AS fs_per_fold, (sum(sv) OVER a - sv) / greatest(sum(actions) OVER a - actions, 1) AS sv_field_rate FROM (
     SELECT phase, table_id, player_id AS actor, target AS partner, sum(surprise) AS sv, max(surprise) AS sv_max,
       max(surprise_max) AS sv_action_max, sum(actions) AS actions, sum(aggression_excess) AS ax,
       sum(fold_surprise) AS fs, max(fold_surprise) AS fs_max, sum(call_surprise) AS cs, sum(aggr_surprise) AS ars,
       sum(folds) AS folds FROM bytarget GROUP BY 1, 2, 3, 4) AS d
   WINDOW a AS (PARTITION BY phase, table_id, actor)) AS e""")
 _CC = ["sv", "sv_max", "sv_action_max", "actions", "sv_delta", "sv_excess", "ax", "ax_delta", "fs", "fs_max",
-       "fs_delta", "fs_excess", "cs", "cs_delta", "cs_excess", "ars"]
+       "fs_delta", "fs_excess", "cs", "cs_delta", "cs_excess", "ars", "sv_per_action", "sv_field_rate", "ax_per_action", "fs_per_fold"]
 oracle("surprise_contrast", _D + " ".join(c if c == "actions" else f"~{c}" for c in _CC), "SELECT * FROM contrast")
 _CS = ["sv_excess", "sv_delta", "ax_delta", "fs_excess", "cs_excess"]
 oracle("surprise_contrast_pair", _P + folded_spec(_CC, _CS, ("actions",)), folded("contrast", _CC, sums=_CS))
