@@ -23,13 +23,14 @@ SHINGLE = 16  # characters, a power of two
 FRACTION = 64  # one hash in so many is kept
 LEAST = 16
 SLICE = 1 << 16  # characters hashed at a time
-LIMIT = (1 << 63) // FRACTION
+RANGE = 1 << 48  # of the hashes: enough to tell shingles apart, and short to store
+LIMIT = RANGE // FRACTION
 
 _MULTIPLIERS = [np.uint64(pow(0xBF58476D1CE4E5B9, 1 << j, 1 << 64)) for j in range(16)]
 
 
 def shingle_hashes(value: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Hashes below 2**63 of the runs of `shingle` characters, a stretch of the text at a time."""
+    """Hashes below `RANGE` of the runs of `shingle` characters, a stretch of the text at a time."""
     for a in range(0, max(len(value) - shingle, 0) + 1, SLICE):
         h = np.frombuffer(value[a:a + SLICE + shingle - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         if len(h) < shingle:
@@ -38,7 +39,7 @@ def shingle_hashes(value: str, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
             for j in range(shingle.bit_length() - 1):  # a run of 2w characters is two runs of w
                 w = 1 << j
                 h = h[:-w] * _MULTIPLIERS[j] + h[w:]
-        yield text.mix(h) >> np.uint64(1)
+        yield text.mix(h) >> np.uint64(16)
 
 
 def sketch(value: str, shingle: int = SHINGLE, least: int = LEAST, limit: int = LIMIT) -> np.ndarray:
@@ -65,13 +66,23 @@ def containment(a: Column, b: Column, least: int = LEAST, limit: int = LIMIT) ->
     Two equal sketches have 1, also empty ones; if a sketch has nothing in that range, it is 0.
     """
     def reach(s: Column) -> Column:  # below it the sketch lacks nothing
-        return F.when(F.size(s) < least, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(limit), F.element_at(s, -1) + 1))
+        return F.when(F.size(s) < least, F.lit(RANGE)).otherwise(F.greatest(F.lit(limit), F.element_at(s, -1) + 1))
     top = F.least(reach(a), reach(b))
     x, y = (F.filter(s, lambda h: h < top) for s in (a, b))
     share = F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
     return F.when(a == b, F.lit(1.0)).when(F.least(F.size(x), F.size(y)) == 0, F.lit(0.0)).otherwise(share)
 
 
+def contained(a: np.ndarray, b: np.ndarray, least: int = LEAST, limit: int = LIMIT) -> float:
+    """`containment` of two sketches inside a task."""
+    if len(a) == len(b) and (a == b).all():
+        return 1.0
+    top = min(RANGE if len(s) < least else max(limit, int(s[-1]) + 1) for s in (a, b))
+    x, y = (s[:np.searchsorted(s, top)] for s in (a, b))
+    smaller = min(len(x), len(y))
+    return len(np.intersect1d(x, y, assume_unique=True)) / smaller if smaller else 0.0
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sketch (array of longs, in order) of every row. A null text is empty and has an empty sketch; rows stay as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,20 +94,23 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(run, "doc_id long, sketch array<long>")
 
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, sketch array<long>, edited array<long>, next array<long>"
-_FIELDS = ["doc_id", "n_chars", "edited_sha256", "sketch", "edited", "next"]
+_ROW = "doc_id long, n_chars long, edited_sha256 string, sketch array<long>, edited array<long>, near_edited double, near_next double"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("sketch", pa.list_(pa.int64())), ("edited", pa.list_(pa.int64())),
+                     ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_FIELDS = _SCHEMA.names
 
 
 def _row(key: int | None, own: str, sk: np.ndarray, after: str, after_sk: np.ndarray) -> tuple:
     cut = len(own) // 3
     edited = own[:len(own) - cut] + after[:cut]
-    return (key, len(own), hashlib.sha256(edited.encode()).hexdigest(), text.signed(sk), text.signed(sketch(edited)), text.signed(after_sk))
+    new = sketch(edited)
+    return (key, len(own), hashlib.sha256(edited.encode()).hexdigest(), text.signed(sk), text.signed(new), contained(sk, new), contained(sk, after_sk))
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their successor in the partition; its first and last row also come as they are, for the seams."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), *((c, pa.list_(pa.int64())) for c in _FIELDS[3:]),
-                        ("part", pa.int32()), ("first", pa.string()), ("last", pa.string())])
+    schema = pa.schema([*_SCHEMA, ("part", pa.int32()), ("first", pa.string()), ("last", pa.string())])
+    none = (None,) * len(_FIELDS)
     before, spot = None, None
     for batch in batches:
         for part in text.slices(batch):
@@ -106,13 +120,13 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sk = sketch(own)
                 if before is None:
                     spot = part.column("part")[0].as_py()
-                    done.append((None,) * 6 + (spot, own, None))
+                    done.append((*none, spot, own, None))
                 else:
                     done.append(_row(*before, own, sk) + (None, None, None))
                 before = (key, own, sk)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done), schema, strict=True)], schema=schema)
     if before is not None:
-        yield pa.record_batch([pa.array([c], f.type) for c, f in zip((before[0],) + (None,) * 5 + (spot, None, before[1]), schema, strict=True)], schema=schema)
+        yield pa.record_batch([pa.array([c], f.type) for c, f in zip((before[0], *none[1:], spot, None, before[1]), schema, strict=True)], schema=schema)
 
 
 def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +134,12 @@ def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(batch.num_rows):
             key, own, after = (batch.column(c)[r].as_py() for c in ("doc_id", "last", "first"))
             row = _row(key, own, sketch(own), after, sketch(after))
-            yield pa.record_batch([pa.array([row[0]], pa.int64()), pa.array([row[1]], pa.int64()), pa.array([row[2]]), *(pa.array([c], pa.list_(pa.int64())) for c in row[3:])], names=_FIELDS)
+            yield pa.record_batch([pa.array([c], f.type) for c, f in zip(row, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def edited_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_chars, edited_sha256 and the sketches of the text, of its edited form and of the next document.
+    """One row per row of `docs`: doc_id, n_chars, edited_sha256, the sketches of the text and of its edited form, and near_edited and
+    near_next, how much of the text's sketch that of the edited form and that of the next document contain.
 
     In the edited form the last third of the characters is replaced by as many of the next document's
     first; next is the one with the next smaller id, after the last the first. Rows of one id are
@@ -147,5 +162,5 @@ def edited_sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def as_text(s: Column) -> Column:
-    """A sketch as a string: its hashes in hexadecimal, 16 digits each."""
-    return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    """A sketch as a string: its hashes in hexadecimal, 12 digits each."""
+    return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), "")
