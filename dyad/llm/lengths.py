@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyad.llm import store, tokens
+from dyad.llm import store, text, tokens
 
 SPAN = 1024
 
@@ -17,8 +17,9 @@ def _counted(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(ranks_path)
         for batch in batches:
-            sizes = [len(enc(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([pa.array(sizes, pa.int64())], names=["length"])
+            for part in text.slices(batch, most=8 << 20):
+                sizes = [len(enc(t.as_py() or "")) for t in part.column("text")]
+                yield pa.record_batch([pa.array(sizes, pa.int64())], names=["length"])
     return run
 
 

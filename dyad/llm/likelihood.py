@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyad.llm import store
+from dyad.llm import store, text
 
 COMMON = 1 << 20  # a word is common if it is one in this many words or more, so there are no more common words than this
 FLUSH = 400_000
@@ -50,8 +50,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for value, held in zip(batch.column("text"), batch.column("held_out").to_pylist()):
-            (other if held else train).update(words_of(value.as_py()))
+        for value, held in zip(batch.column("text"), batch.column("held_out")):
+            (other if held.as_py() else train).update(words_of(value.as_py()))
             if len(train) + len(other) > FLUSH:
                 yield out()
     if train or other:
@@ -145,9 +145,9 @@ def _looked_up(common, floor: float):
     """Sums over the common words of each row; its other words are left for the join."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value
-        for batch in batches:
+        for part in (p for batch in batches for p in text.slices(batch, most=8 << 20)):
             rows, tails = [], []
-            for value in batch.column("text"):
+            for value in part.column("text"):
                 n, known, base, score, tail = 0, 0, 0.0, 0.0, []
                 for w, k in Counter(words_of(value.as_py())).items():
                     n += k
@@ -161,10 +161,10 @@ def _looked_up(common, floor: float):
                 rows.append((n, known, base, score))
                 tails.append(tail)
             cols = list(zip(*rows)) or [()] * 4
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+            yield pa.record_batch([part.column("doc_id"), part.column("row"), part.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                                    pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()),
                                    pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                                  names=["doc_id", "held_out", "n_words", "n_known", "base", "score", "rest"])
+                                  names=["doc_id", "row", "held_out", "n_words", "n_known", "base", "score", "rest"])
     return run
 
 
@@ -175,16 +175,17 @@ def default_model() -> str:
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, common: int = COMMON) -> DataFrame:
-    """One row per id of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words in lower case (A-Z) and one end per document are the tokens. base_score is the log10
     probability under smoothed word counts, score the log10 probability under the lattice. A null or
     empty text is an end alone; without training documents all counts are zero. Rows of one id are
-    summed, so ids should be unique; rows without an id count as training. Empty in, empty out.
+    documents of their own; rows without an id count as training. Empty in, empty out.
     """
     spark = docs.sparkSession
     model_path = model_path or default_model()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    keyed = source.withColumn("row", F.monotonically_increasing_id())  # written below, so each row keeps its key
     counts = source.select("text", "held_out").mapInArrow(_counted, "word binary, seen long, places long").groupBy("word").agg(
         F.sum("seen").alias("seen"), F.sum("places").alias("places"))
     counts, counts_path = store.kept(counts, "words")
@@ -200,14 +201,14 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     often = F.col("places") * F.lit(common) >= F.lit(places)
     top = {bytes(r[0]): (r[1], r[2]) for r in words.where(often).select("word", "seen", "score").toLocalIterator()}  # no more than `common` rows
-    rows, _ = store.kept(source.mapInArrow(_looked_up(spark.sparkContext.broadcast(top), floor), "doc_id long, held_out boolean, n_words long, n_known long, "
+    rows, _ = store.kept(keyed.mapInArrow(_looked_up(spark.sparkContext.broadcast(top), floor), "doc_id long, row long, held_out boolean, n_words long, n_known long, "
                                            "base double, score double, rest array<struct<word:binary,n:bigint>>"), "rows")
-    rest = rows.select("doc_id", "held_out", F.explode("rest").alias("r")).select("doc_id", "held_out", "r.word", "r.n").join(
+    rest = rows.select("doc_id", "row", "held_out", F.explode("rest").alias("r")).select("doc_id", "row", "held_out", "r.word", "r.n").join(
         words.where(~often).select("word", "seen", F.col("score").alias("s")), "word")
-    rest = rest.select("doc_id", "held_out", F.lit(0).cast("long").alias("n_words"), F.when(F.col("seen") > 0, F.col("n")).otherwise(0).alias("n_known"),
+    rest = rest.select("doc_id", "row", "held_out", F.lit(0).cast("long").alias("n_words"), F.when(F.col("seen") > 0, F.col("n")).otherwise(0).alias("n_known"),
                        (F.col("n") * (F.log10(F.col("seen") + 0.1) - F.lit(floor))).alias("base"), (F.col("n") * F.col("s")).alias("score"), F.lit(0).cast("long").alias("ends"))
-    whole = rows.select("doc_id", "held_out", "n_words", "n_known", "base", "score", F.lit(1).cast("long").alias("ends")).unionByName(rest)
-    sums = whole.groupBy("doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_known", "base", "score", "ends")))
+    whole = rows.select("doc_id", "row", "held_out", "n_words", "n_known", "base", "score", F.lit(1).cast("long").alias("ends")).unionByName(rest)
+    sums = whole.groupBy("row", "doc_id", "held_out").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_known", "base", "score", "ends")))
     return sums.select("doc_id", "held_out", (F.col("n_words") + F.col("ends")).alias("n_tokens"),
                        (F.col("n_known") + (F.col("ends") if ends else F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                        (F.col("base") + F.col("ends") * (math.log10(ends + 0.1) - floor)).alias("base_score"),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyad.llm import store
+from dyad.llm import store, text as slicing
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
@@ -105,13 +105,14 @@ _SPAN_SQL = "kind:int,start:int,end:int"
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, around = [], []
-        for value in batch.column("text").to_pylist():
-            b, p = places(value or "")
-            base.append(b)
-            around.append(p)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(pa.struct(_SPAN))), pa.array(around, pa.list_(pa.struct(_PLACE)))],
-                              names=["doc_id", "base", "around"])
+        for part in slicing.slices(batch, most=8 << 20):
+            base, around = [], []
+            for value in part.column("text"):
+                b, p = places(value.as_py() or "")
+                base.append(b)
+                around.append(p)
+            yield pa.record_batch([part.column("doc_id"), part.column("row"), pa.array(base, pa.list_(pa.struct(_SPAN))), pa.array(around, pa.list_(pa.struct(_PLACE)))],
+                                  names=["doc_id", "row", "base", "around"])
 
 
 def trusted_patterns(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
@@ -143,20 +144,20 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of `docs`: doc_id, base and added arrays of (kind, start, end), code points, end exclusive.
 
     A null text is empty and has no spans. Spans that patterns add never overlap those of the fixed
-    rules; where two kinds claim a place, the better pattern wins, then the earlier kind. `docs` must
-    have one row per id; a row without id keeps its base spans and gets no others. Empty in, empty out.
+    rules; where two kinds claim a place, the better pattern wins, then the earlier kind. Rows of one id and
+    rows without an id are texts of their own. Empty in, empty out.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen, _ = store.kept(source.mapInArrow(_scan, f"doc_id long, base array<struct<{_SPAN_SQL}>>, "
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    seen, _ = store.kept(source.mapInArrow(_scan, f"doc_id long, row long, base array<struct<{_SPAN_SQL}>>, "
                                            f"around array<struct<{_SPAN_SQL},value:string,seed:boolean,patterns:array<string>>>"), "places")
-    around = seen.where(F.size("around") > 0).select("doc_id", F.explode("around").alias("p")).select("doc_id", "p.*").withColumn(
+    around = seen.where(F.size("around") > 0).select("row", F.explode("around").alias("p")).select("row", "p.*").withColumn(
         "pattern", F.explode("patterns")).drop("patterns")
     trusted = trusted_patterns(around.select("kind", "value", "seed", "pattern"), support, trust, rounds)
-    best = around.where("not seed").join(trusted, ["kind", "pattern"]).groupBy("doc_id", "start", "end").agg(
+    best = around.where("not seed").join(trusted, ["kind", "pattern"]).groupBy("row", "start", "end").agg(
         F.max(F.struct("worth", (-F.col("kind")).alias("minus"))).alias("b"))
-    added = best.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("b.minus")).alias("kind"), "start", "end"))).alias("added"))
+    added = best.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.col("b.minus")).alias("kind"), "start", "end"))).alias("added"))
     none = F.array().cast(f"array<struct<{_SPAN_SQL}>>")
-    return seen.select("doc_id", "base").join(added, "doc_id", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return seen.select("doc_id", "row", "base").join(added, "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from dyad.llm import containment, exact, lengths, likelihood, lines, packing, pii, quality, simhash, substrings, tokens
+from dyad.llm import containment, exact, lengths, likelihood, lines, near, packing, pii, quality, simhash, substrings, tokens
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
@@ -365,7 +365,7 @@ def test_rows_without_an_id(spark):
     labels = spark.createDataFrame([(None, 1)], "doc_id long, quality int")
     assert substrings.without_repeats(own).count() == simhash.groups(own).count() == lines.without_similar(own).count() == 4
     assert pii.personal_data(own).count() == quality.scored(own, labels).count() == packing.pack(own).count() == 4
-    assert likelihood.scored(own).where("doc_id is null").count() == 1
+    assert likelihood.scored(own).where("doc_id is null").count() == 2 and likelihood.scored(own).count() == 4
 
 
 def test_rows_with_the_same_id_are_told_apart(spark):
@@ -390,3 +390,78 @@ def test_long_texts_without_an_id_or_with_the_same(spark):
         got = [tuple(r) for r in exact.duplicates(own).collect()]
         kept = None if key is None else True
         assert sorted(got, key=str) == sorted([(key, key, texts.count(t), kept, hashlib.sha256(t.encode()).hexdigest()) for t in texts], key=str)
+
+
+def test_strings_of_added_tokens_are_one_id(spark):
+    """Ids, lengths and checksums are those of the tokenizer itself, also where a text spells an added token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cases = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x<|endoftext|>y  z", "plain text", ""]
+    docs = table(spark, cases)
+    got = {r["doc_id"]: r for r in packing.pieces(docs).collect()}
+    for i, t in enumerate(cases):
+        ids = own.encode(t, add_special_tokens=False).ids + [2]
+        assert got[i]["length"] == len(ids)
+        assert got[i]["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+    assert {r["length"]: r["n_docs"] for r in lengths.histogram(docs).collect()} == Counter(len(own.encode(t, add_special_tokens=False).ids) for t in cases)
+
+
+def test_documents_of_one_id_have_results_of_their_own(spark):
+    """Personal data and likelihood of a row do not depend on the other rows of its id."""
+    seeds = [(100 + i, f"reach me, call now: +49 30 1234{i:04d}") for i in range(12)]
+    own = spark.createDataFrame([*seeds, (1, "reach me, call now: 030 555 7788 99"), (1, "no digit here"), (None, "no digit either")], "doc_id long, text string").repartition(3)
+    found = pii.personal_data(own, support=3).collect()
+    assert len(found) == 15
+    assert sorted(len(r["added"]) for r in found if r["doc_id"] == 1) == [0, 1]
+    scored = sorted((r["n_tokens"], r["score"]) for r in likelihood.scored(own.where("doc_id = 1")).collect())
+    assert [n for n, _ in scored] == [4, 9]
+
+
+def test_a_column_named_like_the_row_key_comes_back(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, passage, "A", 1), (1, "other words stand in this one", "C", 2), (2, passage, "B", 3)]
+    left = near.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string, row string, key int"))
+    assert left.columns == ["doc_id", "text", "row", "key"]
+    assert sorted((r["row"], r["key"]) for r in left.collect()) == [("A", 1), ("C", 2)]
+
+
+def test_texts_longer_than_a_slice(spark):
+    """A text of over a megabyte, twice, beside short ones."""
+    rnd = random.Random(9)
+    line = " ".join(rnd.choice([f"w{i}" for i in range(900)]) for _ in range(250_000))
+    cases = [line, "short one", line, None, "mail a.b@c.de"]
+    docs = table(spark, cases)
+    assert sorted(r["group_size"] for r in exact.duplicates(docs).collect()) == [1, 1, 1, 2, 2]
+    assert {r["doc_id"]: r["n_words"] - r["n_removed"] for r in substrings.without_repeats(docs).collect()}[2] == 0
+    assert {r["doc_id"]: r["component_id"] for r in simhash.groups(docs).collect()}[2] == 0
+    assert len({r["n_tokens"] for r in likelihood.scored(docs).where("doc_id in (0, 2)").collect()}) == 1
+    assert packing.pack(docs).agg({"length": "sum"}).first()[0] == lengths.histogram(docs).selectExpr("sum(length * n_docs)").first()[0] + 5
+    assert sum(r["n_email"] for r in pii.digest(pii.personal_data(docs)).collect()) == 1
+    assert lines.without_similar(docs).where("n_removed = 1").count() == 1
+    assert near.first_of_groups(docs).count() == 4
+
+
+def test_a_family_of_similar_lines_is_not_paired(spark, monkeypatch):
+    """Lines that are all similar to one another are verified against few others each, not in all pairs."""
+    from dyad.llm import store
+
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        own[rnd.randrange(80)] = f"x{i}"
+        texts.append(" ".join(own))
+    seen, real = [], store.kept
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            seen.append(out[0].count())
+        return out
+    monkeypatch.setattr(store, "kept", counted)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.without_similar(table(spark, texts)).collect()}
+    assert got == {i: int(i > 0) for i in range(150)}
+    assert sum(seen) < 10 * 150
