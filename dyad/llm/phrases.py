@@ -29,6 +29,7 @@ SUPPORT = 30
 TOP = 2000
 SCALE = 2_000_000  # of the score: 10**6 for a phrase that is all of both its parts
 FILTER_BITS = 26
+HASH_BITS = 40  # of a word or pair while they are counted: two of one hash count together, which can only keep a rare one
 STRETCH = 256  # edges in one row of a path
 SLICE_BYTES = 1 << 22
 SALTS = 64
@@ -88,14 +89,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text.slices(batch, most=SLICE_BYTES):
             p = Pieces(part)
-            seen, n = np.unique(np.concatenate([p.hash, p.pair[p.follows[:-1]]]), return_counts=True)
+            seen, n = np.unique(np.concatenate([p.hash, p.pair[p.follows[:-1]]]) >> np.uint64(64 - HASH_BITS), return_counts=True)
             yield pa.record_batch([pa.array(text.signed(seen)), pa.array(n)], names=["h", "n"])
 
 
 def frequent_bits(source: DataFrame, support: int = SUPPORT, bits: int = FILTER_BITS) -> np.ndarray:
     """A table of 2**bits bits in which every word and word pair that occurs `support` times has its bit set."""
     often = source.mapInArrow(_hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    place, bit = F.shiftrightunsigned("h", 64 - bits + 6).cast("int"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(F.lit(63)).cast("int")
+    place, bit = F.shiftright("h", HASH_BITS - bits + 6).cast("int"), F.shiftright("h", HASH_BITS - bits).bitwiseAND(F.lit(63)).cast("int")
     words = often.groupBy(place.alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("w")).toArrow()  # at most 2**(bits - 6) rows
     table = np.zeros(1 << (bits - 6), np.int64)
     table[np.asarray(words.column("at"))] = np.asarray(words.column("w"))
