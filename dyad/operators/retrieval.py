@@ -55,11 +55,15 @@ def _check(name: str, bad: Column) -> Column:
 
 
 def validate(result: DataFrame, template: DataFrame, hands: DataFrame, seats: DataFrame,
-             phase: str = "evaluation") -> DataFrame:
+             phase: str = "evaluation", columns: list[str] | None = None) -> DataFrame:
     """One row per rule with the number of rows that break it.
 
-    `result` has pair_id, p1, p2, risk_score, predicted_behavior and five slots.
+    `result` has pair_id, p1, p2, risk_score, predicted_behavior and five slots. `columns` must stand in it in this order (others
+    may stand between): the rule counts those that are missing or come too early. The row count is held against the template's.
     """
+    wanted = columns or ["pair_id", "risk_score", "predicted_behavior", *SLOTS]
+    places = [result.columns.index(c) if c in result.columns else -1 for c in wanted]
+    misplaced = sum(p <= max(places[:i], default=-1) for i, p in enumerate(places))
     vocabulary = ["none", *FAMILIES, "other_coordination"]
     copies = result.groupBy("pair_id").agg(F.count("*").alias("copies"))
     r = result.join(copies, "pair_id")
@@ -70,9 +74,13 @@ def validate(result: DataFrame, template: DataFrame, hands: DataFrame, seats: Da
         _check("risk_out_of_range", F.sum(as_int((F.col("risk_score") < 0) | (F.col("risk_score") > 1)))),
         _check("unknown_behaviour", F.sum(as_int(~F.col("predicted_behavior").isin(vocabulary)))),
         _check("repeated_evidence", F.sum(as_int(F.size(slots) != F.size(F.array_distinct(slots))))),
+        _check("column_order", F.lit(misplaced)),
+        _check("constant_risk", as_int(F.min("risk_score") == F.max("risk_score"))),
     ).alias("c")).select(F.explode("c").alias("c")).select("c.*")
     missing = template.join(result, "pair_id", "left_anti").agg(_check("missing_pair", F.count("*")).alias("c"))
     extra = result.join(template, "pair_id", "left_anti").agg(_check("unexpected_pair", F.count("*")).alias("c"))
+    sizes = result.agg(F.count("*").alias("n")).join(F.broadcast(template.agg(F.count("*").alias("m"))))
+    missing = missing.unionByName(sizes.select(_check("row_count", F.abs(F.col("n") - F.col("m"))).alias("c")))
     cited = (result.select("p1", "p2", F.explode(F.array(*[F.col(s) for s in SLOTS])).alias("hand_id"))
              .where(F.col("hand_id") != NO_EVIDENCE))
     known = cited.join(hands.select("hand_id", F.col("phase").alias("__ph")), "hand_id", "left")

@@ -883,7 +883,7 @@ def validate(spark, sf):
     broken = r.withColumn("risk_score", F.when(F.pmod("p1", F.lit(40)) == 0, 1.5).otherwise(F.col("risk_score")))
     broken = broken.withColumn("evidence_hand_2", F.when(F.pmod("p2", F.lit(25)) == 0, F.col("evidence_hand_1"))
                                .otherwise(F.col("evidence_hand_2")))
-    broken = broken.where(F.pmod("p1", F.lit(60)) != 7)
+    broken = broken.where(F.pmod("p1", F.lit(60)) != 7).select("pair_id", "p1", "p2", "risk_score", "predicted_behavior", *rt.SLOTS)
     return rt.validate(broken, r.select("pair_id"), b.hands(spark, sf), b.seats(spark, sf))
 
 

@@ -1306,6 +1306,9 @@ SELECT *, n_bad = 0 AS ok FROM (
   UNION ALL SELECT 'risk_out_of_range', count(*) FILTER (risk_score < 0 OR risk_score > 1) FROM broken
   UNION ALL SELECT 'unknown_behaviour', 0
   UNION ALL SELECT 'repeated_evidence', count(*) FILTER (len({_LIST}) <> len(list_distinct({_LIST}))) FROM broken
+  UNION ALL SELECT 'column_order', 0
+  UNION ALL SELECT 'constant_risk', coalesce(min(risk_score) = max(risk_score), false)::INT FROM broken
+  UNION ALL SELECT 'row_count', abs((SELECT count(*) FROM broken) - (SELECT count(*) FROM res))
   UNION ALL SELECT 'missing_pair', count(*) FROM res WHERE pair_id NOT IN (SELECT pair_id FROM broken)
   UNION ALL SELECT 'unexpected_pair', count(*) FROM broken WHERE pair_id NOT IN (SELECT pair_id FROM res)
   UNION ALL SELECT 'unknown_hand', count(*) FROM cited WHERE hand_id NOT IN (SELECT hand_id FROM hand)

@@ -90,3 +90,17 @@ def test_every_line_is_dealt_and_every_hand_ranked(spark):
     assert QUERIES["draws"](spark, sf).agg(F.sum("n_lines")).first()[0] == lines
     hands = base.pair_hands(spark, sf).count()
     assert all(QUERIES[q](spark, sf).count() == hands for q in ("borda_scores", "comparator_blend", "seed_bag_placebo", "template_features", "sizing_features"))
+
+
+def test_columns_out_of_place_and_missing_rows_are_told(spark):
+    from dyad.operators import retrieval
+
+    slots = ", ".join(f"{s} string" for s in retrieval.SLOTS)
+    rows = [(f"{i}", 1, 2, 0.5, "none", *["NO_EVIDENCE"] * 5) for i in range(3)]
+    d = spark.createDataFrame(rows, f"pair_id string, p1 int, p2 int, risk_score double, predicted_behavior string, {slots}")
+    hands = spark.createDataFrame([("h", "evaluation")], "hand_id string, phase string")
+    seats = spark.createDataFrame([("h", 1)], "hand_id string, player_id int")
+    got = {r["rule"]: r["n_bad"] for r in retrieval.validate(d.select("risk_score", *[c for c in d.columns if c != "risk_score"]).where("pair_id > 0"), d.select("pair_id"), hands, seats).collect()}
+    assert got["column_order"] == 1 and got["row_count"] == 1 and got["constant_risk"] == 1 and got["missing_pair"] == 1
+    fine = {r["rule"]: r["n_bad"] for r in retrieval.validate(d, d.select("pair_id"), hands, seats).collect()}
+    assert fine["column_order"] == fine["row_count"] == fine["missing_pair"] == 0
