@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import ATTRIBUTED_AGGRESSION, KINDS, as_int, flag, is_aggressive, is_pass
+from dyad.functions.ordered import minus_own
+from dyad.operators.pairs import fold_directions
 from dyad.operators.sequence import meet_seats, rel_position, strength_at
 from dyad.session import settle
 
@@ -217,3 +219,26 @@ def hidden_info_pair(hand: DataFrame) -> DataFrame:
                              (rate - field).alias("hi_delta"),
                              ((rate - field) * F.sqrt(F.least(F.col("n"), F.lit(400)))).alias("hi_excess"),
                              "hi_max")
+
+
+HIDDEN_SUMS = ["hi_sum", "gain_sum", "gain_fold", "gain_facing"]
+HIDDEN_COLUMNS = [*HIDDEN_SUMS, "hot", "hand_max", *[f"{c}_{f}" for c in HIDDEN_SUMS for f in ("rate", "delta", "excess")], "hot_rate", "hot_delta"]
+
+
+def hidden_info_unordered(hand: DataFrame, hot: float = 2.0) -> DataFrame:
+    """Both directions of every pair: sums and rates of the gain against the actor's other partners, and of hot hands, larger and smaller.
+
+    A hand is hot when its centred gain is over `hot`. Rates are per action, hot rates per hand.
+    """
+    d = hand.groupBy("phase", "table_id", F.col("player_id").alias("actor"), F.col("opp").alias("partner")).agg(
+        *[F.sum(c).alias(c) for c in HIDDEN_SUMS], F.sum("n").alias("n"), F.count("*").alias("hands"),
+        F.sum(as_int(F.round("hi_sum", 9) > hot)).alias("hot"), F.max("hi_sum").alias("hand_max"))
+    d = minus_own(d, ["phase", "table_id", "actor"], [*HIDDEN_SUMS, "n", "hands", "hot"])
+    rate = lambda c, by: F.col(c) / F.greatest(F.col(by), F.lit(1))
+    new = {}
+    for c in HIDDEN_SUMS:
+        new[f"{c}_rate"] = rate(c, "n")
+        new[f"{c}_delta"] = rate(c, "n") - rate(f"rest_{c}", "rest_n")
+        new[f"{c}_excess"] = new[f"{c}_delta"] * F.sqrt(F.least(F.col("n"), F.lit(400)).cast("double"))
+    new |= {"hot_rate": rate("hot", "hands"), "hot_delta": rate("hot", "hands") - rate("rest_hot", "rest_hands")}
+    return fold_directions(d.withColumns(new), ["phase", "table_id"], HIDDEN_COLUMNS)

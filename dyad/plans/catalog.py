@@ -322,6 +322,12 @@ def hidden_information(spark, sf):
     return lv.hidden_info_pair(hidden_hands(spark, sf))
 
 
+@query
+def hidden_information_pair(spark, sf):
+    """The same on unordered pairs, with the rate of hands of much gain."""
+    return lv.hidden_info_unordered(hidden_hands(spark, sf), 0.1)
+
+
 @query
 def hidden_information_hand(spark, sf):
     return hidden_hands(spark, sf).drop("phase", "table_id")

@@ -626,6 +626,21 @@ def folded_spec(cols: list[str], sums: list[str] = [], ints: tuple[str, ...] = (
     return " ".join([f"{mark(c)}{c}_{e}" for e in ("hi", "lo") for c in cols] + [f"{mark(c)}{c}_sum" for c in sums])
 
 
+_HS = ["hi_sum", "gain_sum", "gain_fold", "gain_facing"]
+_HC = [*_HS, "hot", "hand_max", *[f"{c}_{f}" for c in _HS for f in ("rate", "delta", "excess")], "hot_rate", "hot_delta"]
+cte("hidden_hand", """
+SELECT phase, table_id, hand_id, player_id, opp, sum(hi) AS hi_sum, sum(gain) AS gain_sum,
+  coalesce(sum(gain) FILTER (y = 0), 0) AS gain_fold, coalesce(sum(gain) FILTER (facing), 0) AS gain_facing, count(*) AS n
+FROM hidden_gain GROUP BY 1, 2, 3, 4, 5""")
+cte("hidden_directed", "SELECT *, " + ", ".join(f"{c}_delta * sqrt(least(n, 400)) AS {c}_excess" for c in _HS) + " FROM (SELECT *, " + ", ".join(
+    f"{c} / greatest(n, 1) AS {c}_rate, {c} / greatest(n, 1) - (sum({c}) OVER a - {c}) / greatest(sum(n) OVER a - n, 1) AS {c}_delta" for c in _HS)
+    + """, hot::DOUBLE / greatest(hands, 1) AS hot_rate,
+  hot::DOUBLE / greatest(hands, 1) - (sum(hot) OVER a - hot)::DOUBLE / greatest(sum(hands) OVER a - hands, 1) AS hot_delta FROM (
+    SELECT phase, table_id, player_id AS actor, opp AS partner, """ + ", ".join(f"sum({c}) AS {c}" for c in _HS) + """, sum(n) AS n, count(*) AS hands,
+      count(*) FILTER (round(hi_sum, 9) > 0.1) AS hot, max(hi_sum) AS hand_max FROM hidden_hand GROUP BY 1, 2, 3, 4) AS d
+  WINDOW a AS (PARTITION BY phase, table_id, actor)) AS e""")
+oracle("hidden_information_pair", _P + folded_spec(_HC, ints=("hot",)), folded("hidden_directed", _HC))
+
 cte("gpair", folded("gstat", _G, sums=["g"]))
 oracle("relational_pair", _P + folded_spec(_G, ["g"], ("n",)), "SELECT * FROM gpair")
 oracle("relational_hand", "$hand_id player_id opp ~rel_lr ~rest_nll acts", """
