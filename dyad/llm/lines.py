@@ -6,7 +6,9 @@ count of its first word, which no count of its own exceeds, so one that is commo
 late; rarer comes first, the hash breaking ties, and every line orders its shingles alike. Lines with equal sets are one class, of
 which the first line stands for all. First lines that reach Jaccard similarity 0.8 must share a
 shingle in their prefixes; pairs that do pass the length and positional filters, and what is left is
-verified on the whole sets. A line goes if an earlier line, in a smaller id or further up, is similar.
+verified on the whole sets. A line goes if an earlier line, in a smaller id or further up, is similar. Most
+are similar to the first line of a prefix shingle, so each line is held against these first; only
+lines that are still there meet all others of their shingles. A family of similar lines costs as many pairs as it has lines.
 """
 
 from __future__ import annotations
@@ -36,15 +38,20 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _shingles(lines: DataFrame) -> DataFrame:
     """The distinct shingle hashes of every line, as `set`, never empty."""
-    return lines.withColumn("set", F.array_distinct(F.transform(_starts(), _hash))).drop("words")
+    return _hashed(lines).withColumn("set", F.array_distinct(F.transform(_starts(), _hash))).drop("hashes")
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """`hashes` in place of the words: each word is hashed once, shingles from these."""
+    return lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
 
 
 def _starts() -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.size("words") - SHINGLE, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest(F.size("hashes") - SHINGLE, F.lit(0)))
 
 
 def _hash(start: Column) -> Column:
-    return F.xxhash64(*(F.get("words", start + j) for j in range(SHINGLE)))
+    return F.xxhash64(*(F.get("hashes", start + j) for j in range(SHINGLE)))
 
 
 def _bucket(h: Column) -> Column:
@@ -67,8 +74,8 @@ def _ordered(lines: DataFrame, classes: bytes) -> DataFrame:
     """`set`: distinct shingles as sorted integers, rarity in the upper bits, hash in the lower."""
     table = F.lit(bytearray(classes))
     rank = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string"))
-    place = lambda i: F.shiftleft(rank(F.xxhash64(F.get("words", i))).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(_hash(i), 6))
-    return lines.withColumn("set", F.array_distinct(F.array_sort(F.transform(_starts(), place)))).drop("words")
+    place = lambda i: F.shiftleft(rank(F.get("hashes", i)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(_hash(i), 6))
+    return _hashed(lines).withColumn("set", F.array_distinct(F.array_sort(F.transform(_starts(), place)))).drop("hashes")
 
 
 def _needed(n: Column) -> Column:
@@ -78,9 +85,9 @@ def _needed(n: Column) -> Column:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line) of every line that has an earlier similar one. `docs` has doc_id and text, no nulls, one row per id.
 
-    Candidates are verified on the texts again; joined by doc_id, these come from the exchange that a
-    caller's own join of `docs` on doc_id reads as well.
+    Candidates are verified on the texts again.
     """
+    spark = docs.sparkSession
     sets = _ordered(_lines(docs), rarity(docs))
     n = F.size("set")
     brief = sets.select("doc_id", "line", n.alias("n"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"),
@@ -89,24 +96,43 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     ranked = brief.withColumn("nth", nth).select("doc_id", "line", "n", (F.col("nth") > 1).alias("again"), F.when(F.col("nth") == 1, F.col("prefix")).alias("prefix"))
     ranked, path = store.kept(ranked, "lines")
     posts = ranked.where("prefix is not null").select("doc_id", "line", "n", F.posexplode_outer("prefix").alias("at", "token"))
-    a, b = (posts.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "line", "n", "at"))) for side in "ab")
-    earlier = (F.col("a_doc_id") < F.col("b_doc_id")) | ((F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_line") < F.col("b_line")))
-    length = 5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")
-    positional = 9 * F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= 4 * (F.col("a_n") + F.col("b_n"))
-    pairs = a.join(b.hint("merge"), "token").where(earlier & length & positional).select("a_doc_id", "a_line", "b_doc_id", "b_line").distinct()
-    pairs, _ = store.kept(pairs, "pairs")
+    end = F.struct("doc_id", "line", "n", "at")
+    first = posts.groupBy("token").agg(F.count("*").alias("many"), F.min(end).alias("a")).where("many > 1").select("token", "a")
+    posts, posts_path = store.kept(posts.join(first, "token").select("token", "a", end.alias("b")), "posts")
     again, _ = store.kept(ranked.where("again").select("doc_id", "line"), "again")
-    store.drop(docs.sparkSession, path)
+    store.drop(spark, path)
+
+    star = posts.where(_may_be_similar()).select("a", "b")
+    later, _ = store.kept(_similar_pairs(docs, star), "later")
+    still = posts.join(later.select(F.struct("doc_id", "line").alias("gone")), (F.col("b.doc_id") == F.col("gone.doc_id")) & (F.col("b.line") == F.col("gone.line")), "left_anti")
+    rest = posts.select("token", F.col("b").alias("a")).join(still.select("token", "b"), "token").where(_may_be_similar()).select("a", "b")
+    more, _ = store.kept(_similar_pairs(docs, rest), "later")
+    store.drop(spark, posts_path)
+    return again.unionByName(later).unionByName(more)
+
 
-    end = lambda side: F.struct(F.col(f"{side}_doc_id").alias("doc_id"), F.col(f"{side}_line").alias("line"))
-    wanted = pairs.select(F.explode(F.array(end("a"), end("b"))).alias("e")).select("e.*").groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    each = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
+def _may_be_similar() -> Column:
+    """Whether a is earlier than b and the length and positional filters let the pair through."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    earlier = (a("doc_id") < b("doc_id")) | ((a("doc_id") == b("doc_id")) & (a("line") < b("line")))
+    length = 5 * F.least(a("n"), b("n")) >= 4 * F.greatest(a("n"), b("n"))
+    return earlier & length & (9 * F.least(a("n") - a("at"), b("n") - b("at")) >= 4 * (a("n") + b("n")))
+
+
+def _similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, line) of the later line of each pair that is similar on the whole sets.
+
+    The lines asked for are written out first: while they are few, texts stay where they are.
+    """
+    key = lambda side: F.struct(F.col(f"{side}.doc_id").alias("doc_id"), F.col(f"{side}.line").alias("line"))
+    pairs, _ = store.kept(pairs.select(key("a").alias("a"), key("b").alias("b")).distinct(), "pairs")
+    wanted, _ = store.kept(pairs.select(F.explode(F.array("a", "b")).alias("e")).select("e.*").groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "wanted")
+    each = docs.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
     found = _shingles(each.select("doc_id", "line", words_of(F.get("all", F.col("line"))).alias("words")))
-    left, right = (found.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "line", "set"))) for side in "ab")
-    both = pairs.join(left, ["a_doc_id", "a_line"]).join(right, ["b_doc_id", "b_line"])
+    left, right = (found.select(F.struct("doc_id", "line").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
+    both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
-    later = both.where(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select(F.col("b_doc_id").alias("doc_id"), F.col("b_line").alias("line"))
-    return again.unionByName(later)
+    return both.where(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select("b.doc_id", "b.line").distinct()
 
 
 def _as(docs: DataFrame, column: str, name: str, kind: str) -> Column:

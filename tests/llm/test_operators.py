@@ -448,11 +448,11 @@ def test_a_family_of_similar_lines_is_not_paired(spark, monkeypatch):
     from dyad.llm import store
 
     rnd = random.Random(12)
-    base = [f"w{i}" for i in range(80)]
+    base = [f"w{i}" for i in range(150)]
     texts = []
     for i in range(150):
         own = list(base)
-        own[rnd.randrange(80)] = f"x{i}"
+        own[rnd.randrange(150)] = f"x{i}"
         texts.append(" ".join(own))
     seen, real = [], store.kept
 
