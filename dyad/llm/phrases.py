@@ -29,7 +29,7 @@ SUPPORT = 30
 TOP = 2000
 SCALE = 2_000_000  # of the score: 10**6 for a phrase that is all of both its parts
 FILTER_BITS = 26
-HASH_BITS = 40  # of a word or pair while they are counted: two of one hash count together, which can only keep a rare one
+HASH_BITS = 32  # of a word or pair while they are counted: two of one hash count together, which can only keep a rare one
 STRETCH = 256  # edges in one row of a path
 SLICE_BYTES = 1 << 22
 SALTS = 64

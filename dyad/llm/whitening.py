@@ -183,7 +183,7 @@ def leading(product: Callable[[np.ndarray], np.ndarray], d: int, k: int = COMPON
         whole = basis.shape[1] >= d - len(values)  # the subspace is all there is: nothing is left to correct
         worst = size.max(initial=0)
         best, stuck = (worst, 0) if worst < 0.5 * best else (best, stuck + 1)
-        good = size <= (fine if stuck < 8 else 100 * fine)  # the sums of very many rows may round to no less
+        good = size <= (fine if stuck < 8 else 16 * fine)  # the sums of very many rows may round to no less
         done = want if whole or good.all() else int(np.argmin(good))
         if done:
             locked, values = np.hstack([locked, basis[:, :done]]), np.append(values, theta[:done])
