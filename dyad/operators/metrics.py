@@ -167,8 +167,7 @@ def within_pair_auc(df: DataFrame, score: str, y: str, n: int, key: tuple[str, .
     """Rank-sum AUC inside each pair's n best hands; pairs with both classes only."""
     keys = list(key)
     best = settle(top_rows(df.select(*keys, "hand_id", score, y), keys, [F.col(score).desc(), F.col("hand_id")], n))
-    pct = percentiles(best, keys, [*keys, "hand_id"], [score])
-    d = best.select(*keys, "hand_id", y).join(pct, [*keys, "hand_id"])
+    d = percentiles(best, keys, [*keys, "hand_id"], [score], keep=[y])
     size = best.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(y).alias("pos"))
     d = d.join(size, keys)
     g = d.groupBy(*keys).agg(

@@ -136,8 +136,7 @@ def rank_blend(df: DataFrame, key: list[str], ident: list[str], weights: dict[st
 def routed_blend(df: DataFrame, key: list[str], ident: list[str], pooled: str, specialists: dict[str, str],
                  probabilities: dict[str, str], weight: float = 0.5) -> DataFrame:
     """Specialist ranks weighted by family probability, mixed with the pooled rank."""
-    pct = percentiles(df, key, ident, [pooled, *specialists.values()])
-    d = df.select(*ident, *probabilities.values()).join(pct, ident)
+    d = percentiles(df, key, ident, [pooled, *specialists.values()], keep=list(probabilities.values()))
     soft = F.lit(0.0)
     for f, c in specialists.items():
         soft = soft + F.col(probabilities[f]) * F.col(f"pct_{c}")

@@ -108,7 +108,7 @@ def template_features(pair_hands: DataFrame, templates: DataFrame) -> DataFrame:
         new[f"t_{g}_rec"] = F.when(first, F.col(f"__{g}_2")).otherwise(F.col(f"__{g}_1"))
     names = [*new, "t_chk_chk"]
     d = d.withColumns(new).select(*HAND_KEY, *names)
-    return d.join(percentiles(d, PAIR, HAND_KEY, names), HAND_KEY)
+    return percentiles(d, PAIR, HAND_KEY, names, keep=names)
 
 
 SIZES = {"bet": "largest own bet in pots", "mean_bet": "mean own bet in pots", "depth": "smallest stack in blinds", "pot": "largest pot in blinds",
@@ -130,4 +130,4 @@ def sizing_features(pair_hands: DataFrame, sizing: DataFrame) -> DataFrame:
         d = d.join(sizing.select("hand_id", F.col("player_id").alias(f"p{i}"), *[F.col(m).alias(f"__{m}_{i}") for m in SIZES]), ["hand_id", f"p{i}"], "left")
     new = {f"sz_{m}_{end}": f(f"__{m}_1", f"__{m}_2") for m in SIZES for end, f in (("hi", F.greatest), ("lo", F.least))}
     d = d.withColumns(new).select(*HAND_KEY, *new)
-    return d.join(percentiles(d, PAIR, HAND_KEY, list(new)), HAND_KEY)
+    return percentiles(d, PAIR, HAND_KEY, list(new), keep=list(new))
