@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyad.llm import containment, lines, near, packing, quality
+from dyad.llm import containment, lines, near, packing, quality, simhash
 from dyad.llm.store import kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity 0.8 of their five-word shingles the one with the smallest id."""
-    return near.first_of_groups(docs).select(COLUMNS)
+    """Of each group of documents linked by fingerprints or by similarity 0.8 of their five-word shingles the one with the smallest id."""
+    return near.first_of_groups(docs, by=(simhash.groups, near.groups)).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

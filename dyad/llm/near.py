@@ -17,7 +17,8 @@ prefixes hold; a posting whose bit is not set is never made. A false bit costs a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -187,12 +188,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return named.join(found, "u", "left").select("doc_id", F.coalesce("root", "u").alias("component_id"))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text and others) that are first in their group: the smallest id, and of rows with the same id one."""
+def _later(docs: DataFrame, id_col: str, by: tuple[Callable[..., DataFrame], ...]) -> DataFrame:
+    """The ids (column doc_id) that are not the smallest their links of any kind reach."""
+    moved = [g(docs, id_col).where("component_id <> doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for g in by]
+    if len(moved) == 1:
+        return moved[0].select(F.col("u").alias("doc_id"))
+    return components.roots(reduce(DataFrame.unionByName, moved)).where("root <> u").select(F.col("u").alias("doc_id"))
+
+
+def first_of_groups(docs: DataFrame, by: tuple[Callable[..., DataFrame], ...] = (groups,)) -> DataFrame:
+    """The rows of `docs` (doc_id, text and others) that are first in their group: the smallest id, and of rows with the same id one.
+
+    `by` gives the kinds of groups, as functions of rows and the name of their key; groups that share a row are one.
+    """
     if not rows.repeated(docs):
-        later = groups(docs).where("component_id <> doc_id").select("doc_id")
+        later = _later(docs, "doc_id", by)
         return docs.join(later.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole"))  # a caller's own column may have the key's name
     own = rows.numbered(whole, "doc_id", "text")
-    later = groups(own, "row").where("component_id <> doc_id").select(F.col("doc_id").alias("row"))
+    later = _later(own, "row", by).withColumnRenamed("doc_id", "row")
     return own.join(later.hint("merge"), "row", "left_anti").select("whole.*")

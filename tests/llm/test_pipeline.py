@@ -99,3 +99,11 @@ def test_near_copies_at_the_similarity_leave(spark):
     twice = docs.unionByName(docs.where("doc_id = 0")).unionByName(docs.limit(1).selectExpr("0L as doc_id", "'quite another text' as text", "lang", "source", "n_chars"))
     got = [r["doc_id"] for r in stage(spark, twice, SF).collect()]
     assert sorted(got) == sorted([i for i, r in enumerate(root) if i == r] + [0])
+
+
+def test_fingerprints_drop_what_shingle_sets_do_not_see(spark):
+    refrain = "one two three " * 200
+    texts = [refrain, refrain + " ".join(f"new{i}" for i in range(12)), "quite another text of its own"]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 3
+    docs = spark.createDataFrame([(i, t, "l", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(rows(dict(pipeline.STAGES)["simhash near-dedup"](spark, docs, SF))) == {0, 2}
