@@ -54,3 +54,11 @@ def test_crowded_hands_give_the_same_pair_hands(spark, monkeypatch):
     assert rows() == plain
     want = wp.with_pair_position(b.pair_hands(spark, SF).drop("pair_rn")).select(*keys, "pair_rn")
     assert sorted(map(tuple, want.collect())) == [r[:4] for r in plain] and len(PAIR) == 4
+
+
+def test_time_subsets_have_every_pair(spark, monkeypatch):
+    from dyad.plans import catalog
+    hands = [("development", 1, p, p + 1, f"{p}-{i}", i + 1) for p in range(40) for i in range(1 + p % 3)]
+    monkeypatch.setattr(catalog, "signals", lambda *_: spark.createDataFrame(hands, "phase string, table_id long, p1 long, p2 long, hand_id string, pair_rn long"))
+    got = QUERIES["time_subsets"](spark, SF).collect()
+    assert len(got) == 40 and any(r["late_hands"] is None and r["sampled_hands"] is None for r in got)
