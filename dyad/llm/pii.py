@@ -23,13 +23,15 @@ SUPPORT = 3
 TRUST = 0.8
 ROUNDS = 3
 
-_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_SIGN = re.compile("@")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])+")
-_AT = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\[at\]|\(at\))[A-Za-z0-9.-]*[A-Za-z0-9]")
+_MARK = re.compile(r"@|\[at\]|\(at\)")
+_AFTER = re.compile(r"[A-Za-z0-9.-]*[A-Za-z0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -38,24 +40,25 @@ def luhn(digits: str) -> bool:
     return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
-def _emails(text: str) -> list[tuple[int, int]]:
-    """As `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+` finds them, in time linear in the text."""
-    found, free, at = [], 0, text.find("@")
-    while at >= 0:
-        begin = at
+def _around(text: str, mark: re.Pattern, host: re.Pattern) -> list[tuple[int, int]]:
+    """As `[A-Za-z0-9._%+-]+`, `mark` and `host` in a row are found, in time linear in the text."""
+    found, free = [], 0
+    m = mark.search(text)
+    while m:
+        begin = m.start()
         while begin > free and (c := text[begin - 1]).isascii() and (c.isalnum() or c in "._%+-"):
             begin -= 1
-        host = _HOST.match(text, at) if begin < at else None
-        free = host.end() if host else at + 1
-        if host:
+        after = host.match(text, m.end()) if begin < m.start() else None
+        free = after.end() if after else m.end()
+        if after:
             found.append((begin, free))
-        at = text.find("@", free)
+        m = mark.search(text, free)
     return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed rules in code points, by kind and start."""
-    found = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
+    found = [(0, a, b) for a, b in _around(text, _SIGN, _HOST)] if "@" in text else []
     if _DIGIT.search(text):
         found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
@@ -88,13 +91,12 @@ def places(text: str) -> tuple[list[dict], list[dict]]:
     if "@" in text or "at]" in text or "at)" in text or _DIGIT.search(text):
         covered = sorted((a, b) for _, a, b in base)
         i = 0
-        for m in sorted([*_AT.finditer(text), *_NUMBER.finditer(text)], key=lambda m: m.start()):
-            a, b = m.span()
+        for a, b in sorted([*_around(text, _MARK, _AFTER), *(m.span() for m in _NUMBER.finditer(text))], key=lambda s: s[0]):
             while i < len(covered) and covered[i][1] <= a:
                 i += 1
             if any(x < b and y > a for x, y in covered[i:i + 4]) or (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()):
                 continue
-            out += [{"kind": k, "start": a, "end": b, "value": m[0], "seed": False, "patterns": _left(text, a)} for k in _fits(m[0])]
+            out += [{"kind": k, "start": a, "end": b, "value": text[a:b], "seed": False, "patterns": _left(text, a)} for k in _fits(text[a:b])]
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], [x for x in out if x["seed"] or x["patterns"]]
 
 
@@ -165,6 +167,7 @@ def digest(found: DataFrame) -> DataFrame:
     kinds = F.array(*map(F.lit, KINDS))
     line = lambda spans: F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(
         ":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")  # noqa: E731; a second argument would be the index
+    count = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         line(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

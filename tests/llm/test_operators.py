@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -465,3 +466,19 @@ def test_a_family_of_similar_lines_is_not_paired(spark, monkeypatch):
     got = {r["doc_id"]: r["n_removed"] for r in lines.without_similar(table(spark, texts)).collect()}
     assert got == {i: int(i > 0) for i in range(150)}
     assert sum(seen) < 10 * 150
+
+
+def test_a_long_run_of_letters_or_digits_takes_linear_time():
+    begin = time.monotonic()
+    for t in ("1" * 100_000, "a" * 100_000 + " 1", "a@" * 50_000 + "1"):
+        pii.places(t)
+    assert time.monotonic() - begin < 10
+    found, _ = pii.places("ask ann[at]host.org. or bob@host.org")
+    assert found == [{"kind": 0, "start": 24, "end": 36}]
+
+
+def test_counts_of_personal_data_are_by_kind(spark):
+    text = "1.2.3.4 ann@host.org bob@host.org +1 555 010 9999 4111 1111 1111 1111 x 10.0.0.9"
+    docs = spark.createDataFrame([(1, text), (2, "ann@host.org"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.digest(pii.personal_data(docs)).collect()}
+    assert got == {1: (2, 2, 1, 1), 2: (1, 0, 0, 0), 3: (0, 0, 0, 0)}
