@@ -62,3 +62,19 @@ def test_time_subsets_have_every_pair(spark, monkeypatch):
     monkeypatch.setattr(catalog, "signals", lambda *_: spark.createDataFrame(hands, "phase string, table_id long, p1 long, p2 long, hand_id string, pair_rn long"))
     got = QUERIES["time_subsets"](spark, SF).collect()
     assert len(got) == 40 and any(r["late_hands"] is None and r["sampled_hands"] is None for r in got)
+
+
+def test_tokens_move_bags_and_actions_only(spark):
+    plan = QUERIES["sequence_tokens"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "token" not in "".join(line for line in plan.splitlines() if "Exchange" in line) and "Window" not in plan
+
+
+def test_tokens_of_long_hands_are_the_same(spark, monkeypatch):
+    from dyad.operators import tokens as tk
+    bags, acts = b.pair_hands(spark, SF), tk.described_actions(b.context(spark, SF))
+    read = lambda: sorted(map(tuple, tk.sequence_tokens(bags, acts).collect()))
+    factor = lambda: {r[0]: [abs(round(x, 6)) for x in r[1]] for r in tk.fit_bag_svd(tk.bag_tokens(bags, acts), 2, 20).collect()}
+    plain, loadings = read(), factor()
+    monkeypatch.setattr(tk, "LINE_ROWS", 6)
+    assert len({r["whole"] for r in tk.bag_tokens(bags, acts).select("whole").distinct().collect()}) == 2
+    assert read() == plain and factor() == loadings
