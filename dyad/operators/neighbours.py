@@ -3,8 +3,8 @@
 Two vectors are at least as far apart as their leading coordinates and the lengths of what is left
 of them. References are filed in cells of a few hundred rows: slices of the first coordinate, each
 cut along the second, so their number grows with the references. A query first meets its own cell, which bounds its
-k-th distance, then only cells whose box, and there only references whose coordinates, the bound
-does not rule out. Equal vectors are one query, and of equal references of one fold no more than
+k-th distance, then the slices within the bound, and there only cells whose box the bound
+does not rule out; references and queries of a slice meet block by block. Equal vectors are one query, and of equal references of one fold no more than
 k can be among the k nearest, so very common vectors cost nothing.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.ordered import top_rows
-from dyad.operators.similarity import distance
+from dyad.operators.similarity import distance, nearest_in_groups, parts_of
 from dyad.session import settle
 
 CELL_ROWS = 256
@@ -89,31 +89,41 @@ def _to_box(y: Column, lo: Column, hi: Column, width: int) -> Column:
     return F.sqrt(total)
 
 
-def candidates(queries: DataFrame, refs: DataFrame, k: int, axis_count: int = AXES, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Pairs of distinct queries and references whose distance is computed: (those of the own cell, with their distance; the rest).
-
-    Columns qkey, ref, dist. Both sides have ``id``, ``vec`` (doubles), ``fold``, ``qkey`` the query class.
-    """
+def _placed(queries: DataFrame, refs: DataFrame, k: int, axis_count: int, cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
+    """Queries with a bound ``theta`` of their k-th distance, filed references, the best of the own cells, and the slices' bounds."""
     size = len(refs.select("vec").first()[0])
     width = min(axis_count, size) + 1
     mean, directions = axes(refs, width - 1)
     filed, second, first = file_references(settle(with_coordinates(refs.select(F.col("id").alias("ref"), "fold", "vec"), mean, directions)), cell_rows)
-    bounds = F.lit(first).cast("array<double>")
-    q = with_coordinates(queries, mean, directions).withColumn("slice", _place(F.get("y", F.lit(0)), bounds))
+    q = with_coordinates(queries, mean, directions).withColumn("slice", _place(F.get("y", F.lit(0)), F.lit(first).cast("array<double>")))
     q = settle(q.join(second, "slice", "left").withColumn("cell", F.coalesce(_place(F.get("y", F.lit(1)), F.col("bounds")), F.lit(0))).drop("bounds"))
-    right = filed.select("slice", "cell", "ref", F.col("fold").alias("r_fold"), F.col("vec").alias("rvec"), F.col("y").alias("ry"))
-    gap = distance(F.col("vec"), F.col("rvec"), size)
-    home = q.join(right, ["slice", "cell"]).where("fold <> r_fold").select("qkey", "ref", gap.alias("dist"))
-    home = settle(top_rows(home, ["qkey"], [F.col("dist"), F.col("ref")], k))
+    home = settle(nearest_in_groups(q.select("qkey", F.col("fold").alias("q_fold"), "vec", "slice", "cell"),
+                                    filed.select("ref", "fold", F.col("vec").alias("rvec"), "slice", "cell"), ["slice", "cell"], k))
     reach = home.groupBy("qkey").agg(F.max("dist").alias("__far"), F.count("*").alias("__n"))
     q = q.join(reach, "qkey", "left").withColumn("theta", F.when(F.col("__n") >= k, F.col("__far") * (1 + SLACK) + SLACK).otherwise(float("inf")))
-    y0 = F.get("y", F.lit(0))
-    away = q.withColumn("__slice", F.explode(F.sequence(_place(y0 - F.col("theta"), bounds), _place(y0 + F.col("theta"), bounds))))
+    return q.drop("__far", "__n"), filed, home, first
+
+
+def _slices_in_reach(q: DataFrame, first: list[float]) -> DataFrame:
+    """A row for every slice of references within a query's bound, as ``__slice``."""
+    bounds, y0 = F.lit(first).cast("array<double>"), F.get("y", F.lit(0))
+    return q.withColumn("__slice", F.explode(F.sequence(_place(y0 - F.col("theta"), bounds), _place(y0 + F.col("theta"), bounds))))
+
+
+def candidates(queries: DataFrame, refs: DataFrame, k: int, axis_count: int = AXES, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Pairs of distinct queries and references that the bounds leave: (the best of the own cell; those outside), with their distance.
+
+    Columns qkey, ref, dist. Both sides have ``id``, ``vec`` (doubles), ``fold``, ``qkey`` the query class.
+    """
+    q, filed, home, first = _placed(queries, refs, k, axis_count, cell_rows)
+    size = len(refs.select("vec").first()[0])
+    width = min(axis_count, size) + 1
+    right = filed.select("slice", "cell", "ref", F.col("fold").alias("r_fold"), F.col("vec").alias("rvec"), F.col("y").alias("ry"))
     cells = boxes(filed, width).select(F.col("slice").alias("__slice"), F.col("cell").alias("__cell"), "lo", "hi")
-    away = away.join(cells, "__slice").where(((F.col("__slice") != F.col("slice")) | (F.col("__cell") != F.col("cell"))) & (_to_box(F.col("y"), F.col("lo"), F.col("hi"), width) <= F.col("theta")))
+    away = _slices_in_reach(q, first).join(cells, "__slice").where(((F.col("__slice") != F.col("slice")) | (F.col("__cell") != F.col("cell"))) & (_to_box(F.col("y"), F.col("lo"), F.col("hi"), width) <= F.col("theta")))
     away = away.select("qkey", "fold", "vec", "y", "theta", F.col("__slice").alias("slice"), F.col("__cell").alias("cell"))
     near = away.join(right, ["slice", "cell"]).where((F.col("fold") != F.col("r_fold")) & (distance(F.col("y"), F.col("ry"), width) <= F.col("theta")))
-    return home.select("qkey", "ref", "dist"), near.select("qkey", "ref", gap.alias("dist"))
+    return home.select("qkey", "ref", "dist"), near.select("qkey", "ref", distance(F.col("vec"), F.col("rvec"), size).alias("dist"))
 
 
 def nearest_by_axes(queries: DataFrame, refs: DataFrame, k: int, axis_count: int = AXES, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -127,6 +137,12 @@ def nearest_by_axes(queries: DataFrame, refs: DataFrame, k: int, axis_count: int
     q = settle(queries.select("id", "fold", vec).withColumn("qkey", F.sha2(F.concat_ws(",", F.col("fold").cast("string"), F.col("vec").cast("string")), 256)))
     r = refs.select("id", "fold", vec)
     few = top_rows(r.withColumn("__v", F.sha2(F.col("vec").cast("string"), 256)), ["fold", "__v"], [F.col("id")], k, "__i").select("id", "fold", "vec")
-    home, near = candidates(q.groupBy("qkey").agg(F.first("fold").alias("fold"), F.first("vec").alias("vec")), settle(few), k, axis_count, cell_rows)
-    best = top_rows(home.unionByName(near), ["qkey"], [F.col("dist"), F.col("ref")], k)
+    distinct = q.groupBy("qkey").agg(F.first("fold").alias("fold"), F.first("vec").alias("vec"))
+    placed, filed, _, first = _placed(distinct, settle(few), k, axis_count, cell_rows)
+    parts = parts_of(q.count())
+    left = _slices_in_reach(placed, first).select("qkey", F.col("fold").alias("q_fold"), "vec", "y", "theta", F.col("__slice").alias("slice"),
+                                                  F.floor(F.pmod(F.xxhash64("qkey"), F.lit(parts))).cast("int").alias("part"))
+    right = filed.select("ref", "fold", F.col("vec").alias("rvec"), "y", "slice", "cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    # A slice is compared whole with the part of the queries that reach it; cells beyond their bounds are passed over there.
+    best = top_rows(nearest_in_groups(left, right, ["slice", "part"], k), ["qkey"], [F.col("dist"), F.col("ref")], k)
     return q.select("id", "qkey").join(best, "qkey").select("id", "ref", "dist", "rank")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import md5_key
 from dyad.functions.ordered import magnitude_segment, melt, order_values, row_numbers, top_rows
 from dyad.operators.pairs import PAIR
-from dyad.session import settle
+from dyad.session import carried, settle
+
+carried(__name__)
 
 
 def fit_standardiser(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,8 +64,84 @@ def distance(a: Column, b: Column, dims: int | None = None) -> Column:
                               lambda acc, d: acc + d))
 
 
-# References per shard of a pivot cell.
+# References per shard of a pivot cell, and queries that meet them in one group.
 SHARD_ROWS = 20_000
+QUERY_ROWS = 16_384
+# What rounding may add to a squared distance, per unit of squared length.
+ROUNDING = 1e-12
+
+
+def _distances(q: np.ndarray, r: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """`distance` of the named rows, its terms added in the same order."""
+    total = np.zeros(len(row))
+    for i in range(q.shape[1]):
+        gap = q[:, i][row] - r[:, i][col]
+        total += gap * gap
+    return np.sqrt(total)
+
+
+def _best_of_group(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k nearest references of a cogroup for every query of it, ties to the smaller reference.
+
+    A matrix product rules most pairs out; what is within its rounding of the k-th distance is computed as `distance` does.
+    Queries with ``theta`` (a bound of the k-th distance) and coordinates ``y`` skip cells of references that lie beyond it.
+    """
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        bounded = "theta" in left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qkey": left["qkey"].iloc[:0], "ref": right["ref"].iloc[:0], "dist": np.zeros(0)})
+        right = right.sort_values(["cell", "ref"] if bounded else "ref")
+        if bounded:
+            left = left.sort_values("y", key=lambda ys: ys.map(lambda y: y[1]))
+            y, ry, theta = np.stack(left["y"]), np.stack(right["y"]), left["theta"].to_numpy()
+            cell = right["cell"].to_numpy()
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sizes = np.diff(np.r_[start, len(cell)])
+            low, high = np.minimum.reduceat(ry, start), np.maximum.reduceat(ry, start)
+        fold = pd.factorize(pd.concat([left["q_fold"], right["fold"]]))[0]
+        q_fold, fold = fold[:len(left)], fold[len(left):]
+        q, r, keys, ids = np.stack(left["vec"]), np.stack(right["rvec"]), left["qkey"].to_numpy(), right["ref"].to_numpy()
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        q_square, r_square = (q * q).sum(1), (r * r).sum(1)
+        slack = ROUNDING * (q_square.max() + r_square.max())
+        found = []
+        for i in range(0, len(q), 512):
+            at = slice(i, i + 512)
+            cols = np.arange(len(r))
+            if bounded:
+                beyond = np.maximum(np.maximum(low - y[at].max(0), y[at].min(0) - high), 0)
+                cols = np.flatnonzero(np.repeat((beyond * beyond).sum(1) <= theta[at].max() ** 2 + slack, sizes))
+            apart = q_square[at, None] + r_square[cols] - 2 * (q[at] @ r[cols].T)
+            apart[q_fold[at, None] == fold[cols]] = np.inf
+            some = apart[:, ::max(1, len(cols) // 2048)]
+            limit = np.partition(some, k - 1, axis=1)[:, k - 1] if some.shape[1] > k else np.full(len(apart), np.inf)
+            if bounded:
+                limit = np.minimum(limit, theta[at] ** 2)
+            row, col = np.nonzero((apart <= limit[:, None] + slack) & np.isfinite(apart))
+            col = cols[col]
+            dist = _distances(q[at], r, row, col)
+            order = np.lexsort((rank[col], dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append(pd.DataFrame({"qkey": keys[at][row[first]], "ref": ids[col[first]], "dist": dist[first]}))
+        return pd.concat(found)
+    return best
+
+
+def nearest_in_groups(queries: DataFrame, refs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(qkey, ref, dist): the k nearest references of other folds, for every query and every group of `keys` it stands in.
+
+    `queries` has qkey, q_fold and vec, `refs` has ref, fold and rvec, vectors as doubles. Pairs are compared in blocks: no row is made
+    for a pair that is not among the k best of its group.
+    """
+    kinds = f"qkey {dict(queries.dtypes)['qkey']}, ref {dict(refs.dtypes)['ref']}, dist double"
+    q, r = queries.where("q_fold is not null"), refs.where("fold is not null")
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_best_of_group(k), kinds)
+
+
+def parts_of(n: int) -> int:
+    """Parts in which n queries meet a block of references."""
+    return max(1, -(-n // QUERY_ROWS))
 
 
 def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int = 16,
@@ -70,9 +152,8 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int
     its own fold. References are filed under their nearest pivot. From per-cell
     summaries (a number of rows bounded by pivots x folds) each query gets an
     upper bound on its k-th distance, visits only cells that the triangle
-    inequality cannot rule out, and compares only references whose distance to
-    the pivot is within the bound. A crowded cell is cut into shards so that it
-    spreads over several tasks.
+    inequality cannot rule out, where queries and references meet block by block.
+    A crowded cell is cut into shards so that it spreads over several tasks.
     """
     spark = refs.sparkSession
     as_double = F.transform("vec", lambda v: v.cast("double"))
@@ -109,9 +190,10 @@ def nearest_references(queries: DataFrame, refs: DataFrame, k: int, pivots: int
                  F.explode(F.sequence(F.lit(0), F.col("c.shards") - 1)).alias("shard"))
     filed = r.join(F.broadcast(sizes), "cell").select(
         "ref", "fold", "rvec", "cell", "to_pivot", F.pmod(F.xxhash64("ref"), F.col("shards")).cast("int").alias("shard"))
-    near = d.join(filed, ["cell", "shard"]).where(
-        (F.col("fold") != F.col("q_fold")) & (F.abs(F.col("q_pivot") - F.col("to_pivot")) <= F.col("theta")))
-    near = near.select("id", "ref", distance(F.col("vec"), F.col("rvec"), len(chosen[0])).alias("dist"))
+    parts = parts_of(queries.count())
+    left = d.select(F.col("id").alias("qkey"), "q_fold", "vec", "cell", "shard", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(parts)).alias("part"))
+    right = filed.select("ref", "fold", "rvec", "cell", "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+    near = nearest_in_groups(left, right, ["cell", "shard", "part"], k).withColumnRenamed("qkey", "id")
     return top_rows(near, ["id"], [F.col("dist"), F.col("ref")], k)
 
 

@@ -70,3 +70,15 @@ def test_fewer_references_than_asked_for(spark):
     got = sorted((r["id"], r["ref"]) for r in nearest_by_axes(d, d, 5).collect())
     assert got == [(0, 1), (0, 2), (1, 0), (2, 0)]
     assert nearest_by_axes(d, d.where("id < 0"), 5).count() == 0
+
+
+def test_pairs_that_are_not_near_make_no_rows(spark):
+    """Comparing 600 vectors with one another yields the best of every group, not a row for every pair."""
+    from dyad.operators import similarity
+    rng = np.random.default_rng(4)
+    d = frame(spark, rng.standard_normal((600, 8)), rng.integers(0, 3, 600))
+    q = d.select(F.col("id").alias("qkey"), F.col("fold").alias("q_fold"), "vec", F.lit(0).alias("g"))
+    r = d.select(F.col("id").alias("ref"), "fold", F.col("vec").alias("rvec"), F.pmod("id", F.lit(1)).cast("int").alias("g"))
+    assert similarity.nearest_in_groups(q, r, ["g"], 4).count() == 4 * 600
+    for found in (similarity.nearest_references(d, d, 4), nearest_by_axes(d, d, 4)):
+        assert " SortMergeJoin [cell" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "FlatMapCoGroupsInPandas" in plan
