@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyad.functions.cols import FAMILIES, NO_EVIDENCE, as_int
@@ -122,9 +124,9 @@ def table_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str], score:
 
 
 def rank_blend(df: DataFrame, key: list[str], ident: list[str], weights: dict[str, float],
-               out: str = "blend") -> DataFrame:
-    """Weighted mean of percentile ranks inside each key."""
-    pct = percentiles(df, key, ident, list(weights))
+               out: str = "blend", short: bool = False) -> DataFrame:
+    """Weighted mean of percentile ranks inside each key; `short` as in `percentiles`."""
+    pct = percentiles(df, key, ident, list(weights), short=short)
     total = sum(weights.values())
     mixed = None
     for c, w in weights.items():
@@ -217,3 +219,33 @@ def under_compared(hands: DataFrame, compared: DataFrame, key: list[str] = PAIR)
     listwise = value_ranks(hands, key, "score").select(*key, "score", ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("n")).alias("__place"))
     d = hands.select(*key, "hand_id", "score").join(listwise, [*key, "score"], "left").join(compared, [*key, "hand_id"], "left")
     return d.select(*key, "hand_id", F.coalesce("borda", -1.0 + 1e-3 * F.coalesce("__place", F.lit(0.0))).alias("borda"))
+
+
+def compare_best(hands: DataFrame, top: int, features: list[str], win: Callable, key: list[str] = PAIR, short: bool = False) -> DataFrame:
+    """Every hand with its ``borda``: the mean chance of the key's `top` best by ``score`` against one another; others stand below.
+
+    ``win(a, b)`` gives the chance of hand a against hand b from their `features`, by name. `short` says that no key is longer than
+    a block of rows: then the best of a key are gathered beside its hands (at most `top`), and couples make no rows.
+    """
+    if not short:
+        best = top_rows(hands, key, [F.col("score").desc(), F.col("hand_id")], top)
+        side = lambda p: {c: F.col(f"{p}_{c}") for c in features}
+        couples = shortlist_pairs(best, features, key).withColumn("win", win(side("a"), side("b")))
+        return under_compared(hands, borda(couples, "win", key), key).join(hands.select(*key, "hand_id", "score"), [*key, "hand_id"])
+    every = Window.partitionBy(*key)
+    order = every.orderBy(F.col("score").asc_nulls_last())
+    ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    place = F.when(F.col("score").isNotNull(), (F.rank().over(order) - 1 + (ties + 1) / 2) / F.count("score").over(every))
+    own = F.struct("hand_id", *features)
+    d = hands.select(*key, "hand_id", "score", *[c for c in features if c != "score"]).withColumns({
+        "__rank": F.row_number().over(every.orderBy(F.col("score").desc(), "hand_id")), "__place": place})
+    d = d.withColumn("__others", F.collect_list(F.when(F.col("__rank") <= top, own)).over(every))
+    others = F.filter("__others", lambda o: o["hand_id"] != F.col("hand_id"))
+    seen = F.size(others)
+
+    def mean(chance: Callable) -> Column:
+        known = F.filter(F.transform(others, chance), lambda x: x.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x)) / seen
+
+    won = F.when(F.col("__rank") <= top, 0.5 * (mean(lambda o: win(own, o)) + 1.0 - mean(lambda o: win(o, own))))
+    return d.select(*key, "hand_id", "score", F.coalesce(won, -1.0 + 1e-3 * F.coalesce("__place", F.lit(0.0))).alias("borda"))

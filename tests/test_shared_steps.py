@@ -78,3 +78,13 @@ def test_tokens_of_long_hands_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(tk, "LINE_ROWS", 6)
     assert len({r["whole"] for r in tk.bag_tokens(bags, acts).select("whole").distinct().collect()}) == 2
     assert read() == plain and factor() == loadings
+
+
+def test_comparisons_make_no_couples(spark, monkeypatch):
+    for name in ("borda_scores", "comparator_blend"):
+        df = QUERIES[name](spark, SF)
+        assert shuffles(df) == 1 and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+        plain = sorted(map(tuple, df.collect()))
+        monkeypatch.setattr(od, "BLOCK_ROWS", 5)
+        assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == plain
+        monkeypatch.undo()
