@@ -88,3 +88,20 @@ def test_comparisons_make_no_couples(spark, monkeypatch):
         monkeypatch.setattr(od, "BLOCK_ROWS", 5)
         assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == plain
         monkeypatch.undo()
+
+
+def test_pair_aggregate_moves_hands_once(spark):
+    from dyad.operators import aggregate as ag
+    ph = b.pair_hands(spark, SF)
+    once, apart = ag.pair_aggregate(ph, True), ag.pair_aggregate(ph)
+    assert shuffles(once) == 1 and once.columns == apart.columns
+    read = lambda d: sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in d.collect()), key=lambda r: r[:4])
+    for x, y in zip(read(once), read(apart), strict=True):
+        assert x == y
+
+
+def test_residual_sums_do_not_move(spark):
+    from dyad.operators import relational as rl
+    plan = rl.policy_residual(b.live(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert "REPARTITION_BY_COL" in moved and shuffles(rl.policy_residual(b.live(spark, SF))) == 1
