@@ -105,3 +105,30 @@ def test_residual_sums_do_not_move(spark):
     plan = rl.policy_residual(b.live(spark, SF))._jdf.queryExecution().executedPlan().toString()
     moved = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
     assert "REPARTITION_BY_COL" in moved and shuffles(rl.policy_residual(b.live(spark, SF))) == 1
+
+
+def test_rows_without_fold_are_not_moved(spark):
+    from dyad.operators import models as md
+    d = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 4 != 0, (F.col("id") % 3).cast("int")).alias("fold"),
+                                F.when(F.col("id") % 2 == 0, (F.col("id") % 7 > 3).cast("double")).alias("y"))
+    out = md.crossfit(d, md.logistic("y"), ["x"], "y", ["id"], 2, 3)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == 300
+    whole = md.with_features(d, ["x"])
+    fits = [md.logistic("y")().fit(whole.where(F.col("y").isNotNull() & (F.col("fold") != k))) for k in range(3)]
+    want = [{r["id"]: r["probability"][1] for r in m.transform(whole).collect()} for m in fits]
+    for i, r in got.items():
+        mean = sum(w[i] for w in want) / 3 if r["fold"] is None else want[r["fold"]][i]
+        assert abs(r["prob1"] - mean) < 1e-9
+
+
+def test_labels_of_hands_are_those_of_the_bags(spark):
+    from dyad.operators import bags as bg
+    from dyad.plans import catalog as c
+    ph = b.pair_hands(spark, SF).select(*PAIR, "hand_id")
+    d = bg.label_hands(ph, c.labels(spark, SF), c.evidence(spark, SF))
+    got = {(r["p1"], r["p2"], r["hand_id"]): r["bag_label"] for r in d.collect()}
+    bags = {(r["p1"], r["p2"], r["hand_id"]): r["bag_label"] for r in c.bag_rows(spark, SF).collect()}
+    assert len(got) == ph.count() and got == {k: bags.get(k) for k in got} and len(set(bags.values())) == 3
+    assert {r[0] for r in d.select("family").distinct().collect()} >= {r[0] for r in c.labels(spark, SF).select("family").distinct().collect()}
