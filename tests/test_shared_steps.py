@@ -132,3 +132,16 @@ def test_labels_of_hands_are_those_of_the_bags(spark):
     bags = {(r["p1"], r["p2"], r["hand_id"]): r["bag_label"] for r in c.bag_rows(spark, SF).collect()}
     assert len(got) == ph.count() and got == {k: bags.get(k) for k in got} and len(set(bags.values())) == 3
     assert {r[0] for r in d.select("family").distinct().collect()} >= {r[0] for r in c.labels(spark, SF).select("family").distinct().collect()}
+
+
+def test_cells_move_actions_once(spark):
+    from dyad.operators import relational as rl
+    plan = rl.relational_cells(rl.encode_context(b.live(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_positions_of_long_pairs_are_the_same(spark):
+    d = b.pair_hands(spark, SF).select(*PAIR, "hand_id", "started_at")
+    once, apart = wp.with_pair_position(d, True), wp.with_pair_position(d)
+    assert shuffles(once) == 1
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, apart.select(*once.columns).collect()))
