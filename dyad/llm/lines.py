@@ -1,18 +1,21 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its five-word shingles (a shorter line is one shingle). Shingles are ordered by
-rarity: a table of fixed size counts all words of the corpus by hash, and a shingle is placed by the
-count of its first word, which no count of its own exceeds, so one that is common anywhere comes
-late; rarer comes first, the hash breaking ties, and every line orders its shingles alike. Lines with equal sets are one class, of
-which the first line stands for all. First lines that reach Jaccard similarity 0.8 must share a
-shingle in their prefixes; pairs that do pass the length and positional filters, and what is left is
-verified on the whole sets. A line goes if an earlier line, in a smaller id or further up, is similar. Most
-are similar to the first line of a prefix shingle, so each line is held against these first; only
-lines that are still there meet all others of their shingles. A family of similar lines costs as many pairs as it has lines.
+A line is the set of its five-word shingles (a shorter line is one shingle), told by their hashes. Lines with equal sets are one
+class, of which the first line stands for all. First lines that reach Jaccard similarity 0.8 must share a shingle in their
+prefixes, the smallest hashes; pairs that do pass the length and positional filters, and what is left is verified on the whole
+sets. A line goes if an earlier line, in a smaller id or further up, is similar. Most are similar to the first line of a prefix
+shingle, so each line is held against these first: at most as many pairs as prefixes have shingles. Lines of a shingle that few
+have meet one another as well.
+
+What is left are pairs of lines of a shingle that many have. These lines, a small part, are ordered anew: by the number of these lines that hold a shingle, rarest first. Lines of one family then differ in
+their first shingles, those of their edits, and the positional filter rules out a pair that shares only what the whole family
+has. A family of similar lines costs as many pairs as it has lines.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +23,15 @@ from dyad.llm import rows, store
 
 SHINGLE = 5
 SMALLEST = 4  # shingles: below, only equal sets are similar
-BUCKETS = 1 << 18
+FEW = 8  # lines of a shingle that meet one another
 _SOLID = "[^\x20\x09-\x0d]"
-_ODD_SPACE = "[\x09\x0b-\x0d]|^ |  | \\z"
+_ODD_SPACE = ("\x09", "\x0b", "\x0c", "\x0d", "  ")
 
 
 def words_of(line: Column) -> Column:
     """Words of a line; the costlier split only where there is other white space than single blanks between words."""
-    return F.when(line.rlike(_ODD_SPACE), F.array_remove(F.split(line, "[\x20\x09-\x0d]"), "")).otherwise(F.split(line, " "))
+    odd = reduce(Column.__or__, (line.contains(x) for x in _ODD_SPACE), line.startswith(" ") | line.endswith(" "))
+    return F.when(odd, F.array_remove(F.split(line, "[\x20\x09-\x0d]"), "")).otherwise(F.split(line, " "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -37,13 +41,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(lines: DataFrame) -> DataFrame:
-    """The distinct shingle hashes of every line, as `set`, never empty."""
-    return _hashed(lines).withColumn("set", F.array_distinct(F.transform(_starts(), _hash))).drop("hashes")
-
-
-def _hashed(lines: DataFrame) -> DataFrame:
-    """`hashes` in place of the words: each word is hashed once, shingles from these."""
-    return lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    """The distinct shingle hashes of every line, sorted, as `set`, never empty. Each word is hashed once, shingles from these."""
+    hashed = lines.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    return hashed.withColumn("set", F.array_distinct(F.sort_array(F.transform(_starts(), _hash)))).drop("hashes")
 
 
 def _starts() -> Column:
@@ -54,30 +54,6 @@ def _hash(start: Column) -> Column:
     return F.xxhash64(*(F.get("hashes", start + j) for j in range(SHINGLE)))
 
 
-def _bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
-def rarity(docs: DataFrame) -> bytes:
-    """Logarithmic counts of all words, a byte below 32 for each bucket of them.
-
-    Words are exploded as outer: a filter on their number would be pushed below and split every line twice.
-    """
-    seen = _lines(docs).select(F.explode_outer("words").alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    whole = seen.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n")))
-    ranks = whole.groupBy("b").agg(F.least(F.floor(F.log2(F.sum("n") + 1)), F.lit(31)).cast("int").alias("c"))
-    runs = ranks.groupBy(F.shiftright("b", 10).alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("cs"))
-    return b"".join(bytes(r[1]) for r in sorted(runs.collect()))  # always BUCKETS bytes
-
-
-def _ordered(lines: DataFrame, classes: bytes) -> DataFrame:
-    """`set`: distinct shingles as sorted integers, rarity in the upper bits, hash in the lower."""
-    table = F.lit(bytearray(classes))
-    rank = lambda h: F.ascii(F.substring(table, _bucket(h) + 1, F.lit(1)).cast("string"))
-    place = lambda i: F.shiftleft(rank(F.get("hashes", i)).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(_hash(i), 6))
-    return _hashed(lines).withColumn("set", F.array_distinct(F.array_sort(F.transform(_starts(), place)))).drop("hashes")
-
-
 def _needed(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5).cast("int")  # the least overlap with a set of equal size: four fifths, rounded up
 
@@ -88,7 +64,7 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     Candidates are verified on the texts again.
     """
     spark = docs.sparkSession
-    sets = _ordered(_lines(docs), rarity(docs))
+    sets = _shingles(_lines(docs))
     n = F.size("set")
     brief = sets.select("doc_id", "line", n.alias("n"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"),
                         F.when(n >= SMALLEST, F.slice("set", 1, n - _needed(n) + 1)).alias("prefix"))
@@ -97,20 +73,36 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     ranked, path = store.kept(ranked, "lines")
     posts = ranked.where("prefix is not null").select("doc_id", "line", "n", F.posexplode_outer("prefix").alias("at", "token"))
     end = F.struct("doc_id", "line", "n", "at")
-    first = posts.groupBy("token").agg(F.count("*").alias("many"), F.min(end).alias("a")).where("many > 1").select("token", "a")
-    posts, posts_path = store.kept(posts.join(first, "token").select("token", "a", end.alias("b")), "posts")
+    left = F.col("n") - F.col("at")
+    first = posts.groupBy("token").agg(F.count("*").alias("many"), F.min(end).alias("a"), F.min("n").alias("least"), F.max(left).alias("longest")).where("many > 1")
+    posts, posts_path = store.kept(posts.join(first, "token").select("token", "a", end.alias("b"), "many", "least", "longest"), "posts")
     again, _ = store.kept(ranked.where("again").select("doc_id", "line"), "again")
     store.drop(spark, path)
 
-    star = posts.where(_may_be_similar()).select("a", "b")
-    later, _ = store.kept(_similar_pairs(docs, star), "later")
-    still = posts.join(later.select(F.struct("doc_id", "line").alias("gone")), (F.col("b.doc_id") == F.col("gone.doc_id")) & (F.col("b.line") == F.col("gone.line")), "left_anti")
-    rest = posts.select("token", F.col("b").alias("a")).join(still.select("token", "b"), "token").where(_may_be_similar()).select("a", "b")
-    more, _ = store.kept(_similar_pairs(docs, rest), "later")
+    size, rest = F.col("b.n"), F.col("b.n") - F.col("b.at")
+    partner = F.greatest(F.col("least"), _needed(size))  # no similar line of the shingle is smaller
+    others = posts.where((F.col("many") > 2) & (9 * F.least(rest, "longest") >= 4 * (size + partner)))
+    few = others.where(F.col("many") <= FEW).groupBy("token").agg(F.collect_list("b").alias("all")).where(F.size("all") > 1)
+    few = few.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b"))
+    close, close_path = store.kept(posts.select("a", "b").unionByName(few).where(_may_be_similar()).select(_key("a"), _key("b")).distinct(), "pairs")
+    crowd, crowd_path = store.kept(others.where((F.col("many") > FEW) & (_key("a") != _key("b"))).select(_key("b").alias("e")).distinct(), "crowd")
     store.drop(spark, posts_path)
+    wanted = close.select(F.explode(F.array("a", "b")).alias("e")).unionByName(crowd)
+    found, found_path = store.kept(_sets_of(docs, wanted), "sets")
+    later, _ = store.kept(_similar(close, found), "later")
+    store.drop(spark, close_path)
+
+    own = found.join(crowd, F.struct("doc_id", "line") == F.col("e"), "left_semi")
+    rest, rest_path = store.kept(_family_pairs(own, later), "pairs")
+    more, _ = store.kept(_similar(rest, found), "later")
+    store.drop(spark, rest_path, crowd_path, found_path)
     return again.unionByName(later).unionByName(more)
 
 
+def _key(side: str) -> Column:
+    return F.struct(F.col(f"{side}.doc_id").alias("doc_id"), F.col(f"{side}.line").alias("line")).alias(side)
+
+
 def _may_be_similar() -> Column:
     """Whether a is earlier than b and the length and positional filters let the pair through."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
@@ -119,17 +111,34 @@ def _may_be_similar() -> Column:
     return earlier & length & (9 * F.least(a("n") - a("at"), b("n") - b("at")) >= 4 * (a("n") + b("n")))
 
 
-def _similar_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, line) of the later line of each pair that is similar on the whole sets.
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, line and set of the lines `e`.
 
     The lines asked for are written out first: while they are few, texts stay where they are.
     """
-    key = lambda side: F.struct(F.col(f"{side}.doc_id").alias("doc_id"), F.col(f"{side}.line").alias("line"))
-    pairs, _ = store.kept(pairs.select(key("a").alias("a"), key("b").alias("b")).distinct(), "pairs")
-    wanted, _ = store.kept(pairs.select(F.explode(F.array("a", "b")).alias("e")).select("e.*").groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "wanted")
-    each = docs.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
-    found = _shingles(each.select("doc_id", "line", words_of(F.get("all", F.col("line"))).alias("words")))
-    left, right = (found.select(F.struct("doc_id", "line").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
+    by_doc, _ = store.kept(wanted.select("e.*").groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "wanted")
+    each = docs.join(by_doc, "doc_id").select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line"))
+    return _shingles(each.select("doc_id", "line", words_of(F.get("all", F.col("line"))).alias("words")))
+
+
+def _family_pairs(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar, b not in `gone`, by prefixes in the order of the exact counts of shingles in `sets`.
+
+    A shingle of one line alone comes before all others: it takes a place and is in no pair.
+    """
+    tokens = sets.select("doc_id", "line", F.size("set").alias("n"), F.explode_outer("set").alias("token"))
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "token")
+    of_line = Window.partitionBy("doc_id", "line")
+    at = F.col("n") - F.count("*").over(of_line) + F.row_number().over(of_line.orderBy("many", "token")) - 1
+    ordered = shared.withColumn("at", at.cast("int")).where(F.col("at") <= F.col("n") - _needed(F.col("n")))
+    posts, _ = store.kept(ordered.select("token", F.struct("doc_id", "line", "n", "at").alias("b")), "posts")
+    still = posts.join(gone.select(F.struct("doc_id", "line").alias("gone")), (F.col("b.doc_id") == F.col("gone.doc_id")) & (F.col("b.line") == F.col("gone.line")), "left_anti")
+    return posts.select("token", F.col("b").alias("a")).join(still, "token").where(_may_be_similar()).select(_key("a"), _key("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, line) of the later line of each pair that is similar on the whole sets."""
+    left, right = (sets.select(F.struct("doc_id", "line").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(9 * shared >= 4 * (F.size("a_set") + F.size("b_set"))).select("b.doc_id", "b.line").distinct()

@@ -468,6 +468,33 @@ def test_a_family_of_similar_lines_is_not_paired(spark, monkeypatch):
     assert sum(seen) < 10 * 150
 
 
+def test_a_family_of_lines_short_of_similar_is_not_paired(spark, monkeypatch):
+    """Lines that share most of their shingles, but not enough of them to be similar, are not verified in all pairs."""
+    from dyad.llm import store
+
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(120):  # three edits each, in places of their own
+        own = list(base)
+        for j in range(3):
+            own[(i + 40 * j) % 120] = f"x{i}_{j}"
+        texts.append(" ".join(own))
+    texts += [" ".join([*texts[70].split(" "), "more"]), " ".join(base)]
+    seen, real = [], store.kept
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            seen.append(out[0].count())
+        return out
+    monkeypatch.setattr(store, "kept", counted)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.without_similar(table(spark, texts)).collect()}
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    want = {i: int(any(9 * len(x & y) >= 4 * (len(x) + len(y)) for y in sets[:i])) for i, x in enumerate(sets)}
+    assert got == want and any(want.values())
+    assert sum(seen) < 10 * len(texts)
+
+
 def test_a_long_run_of_letters_or_digits_takes_linear_time():
     begin = time.monotonic()
     for t in ("1" * 100_000, "a" * 100_000 + " 1", "a@" * 50_000 + "1"):
